@@ -99,8 +99,7 @@ def _last_positions(stream: BinaryIO, name: str) -> dict[str, int]:
 
 def _blocks(content: BinaryIO) -> Iterator[bytes]:
     """The content in blocks that end at a line end; line ends are unified to a line feed."""
-    pending = []
-    held = b""
+    ready, pending, held = b"", [], b""
     while data := content.read(BLOCK_BYTES):
         data = held + data
         # A carriage return at the very end may be one half of a pair.
@@ -108,10 +107,11 @@ def _blocks(content: BinaryIO) -> Iterator[bytes]:
         data = data[:len(data) - len(held)].replace(b"\r\n", b"\n").replace(b"\r", b"\n")
         cut = data.rfind(b"\n") + 1
         if cut:
-            yield b"".join((*pending, data[:cut]))
-            pending = []
+            if ready:
+                yield ready
+            ready, pending = b"".join((*pending, data[:cut])), []
         pending.append(data[cut:])
-    if rest := b"".join(pending):
+    if rest := b"".join((ready, *pending)):
         yield rest
 
 
