@@ -19,6 +19,7 @@ import posixpath
 import tarfile
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from typing import BinaryIO
 
 import pyarrow as pa
@@ -42,8 +43,8 @@ Member = tuple[str, Callable[[], BinaryIO]]
 
 def is_archive(name: Column) -> Column:
     """Whether a file name denotes an archive, in any letter case."""
-    pattern = "|".join(ending.replace(".", r"\.") for ending in ARCHIVE_ENDINGS)
-    return F.lower(name).rlike(f"(?:{pattern})$")
+    end = F.lower(F.right(name, F.lit(max(map(len, ARCHIVE_ENDINGS)))))
+    return reduce(Column.__or__, (F.endswith(end, F.lit(ending)) for ending in ARCHIVE_ENDINGS))
 
 
 def is_safe(name: str) -> bool:

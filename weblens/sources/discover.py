@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import fnmatch
 import logging
 from collections.abc import Sequence
+from typing import TypeVar
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F
+from pyspark.sql.streaming import DataStreamReader
 
 from weblens import schemas
 from weblens.formats import LogFormat
@@ -15,6 +16,8 @@ from weblens.sources import archives
 
 log = logging.getLogger(__name__)
 
+Reader = TypeVar("Reader", DataFrameReader, DataStreamReader)
+
 #: Archives are opened this deep by default: an archive, one inside it, one inside that.
 MAX_DEPTH = 3
 
@@ -24,48 +27,69 @@ def glob_list(text: str) -> list[str]:
     return [part.strip() for part in text.split(",") if part.strip()]
 
 
-def matches(name: Column, globs: Sequence[str]) -> Column:
-    """Whether a base name matches any glob, in any letter case."""
-    if not globs:
-        return F.lit(False)
-    translated = (fnmatch.translate(glob.lower()).replace(r"\Z", r"\z") for glob in globs)
-    return F.lower(name).rlike("^(?:" + "|".join(translated) + ")")
-
+def listing_glob(globs: Sequence[str]) -> str:
+    """One glob for Spark's file listing that matches any of `globs`, in any letter case.
 
-def _load(spark: SparkSession, folder: str, kind: str) -> DataFrame | None:
-    """All files below a folder as a lazy frame; None, with a warning, where there is no folder."""
+    The listing's own globs tell letter case apart, so a letter becomes a set of both cases.
+    A condition on file names would do as well, but it is evaluated again for every line.
+    """
+    def any_case(glob: str) -> str:
+        out, i = "", 0
+        while i < len(glob):
+            char = glob[i]
+            end = glob.find("]", i + 2) if char == "[" else -1
+            if end > 0:
+                negation = "!" if glob[i + 1] == "!" else ""
+                inner = glob[i + 1 + len(negation):end].replace("\\", "\\\\").replace("^", "\\^")
+                both = inner.lower() + (inner.upper() if inner.upper() != inner.lower() else "")
+                out, i = f"{out}[{negation}{both}]", end
+            elif char in "*?":
+                out += char
+            elif char.lower() != char.upper():
+                out += f"[{char.lower()}{char.upper()}]"
+            else:
+                out += f"\\{char}" if char in "[]{},\\" else char
+            i += 1
+        return out
+
+    return "{" + ",".join(any_case(glob) for glob in globs) + "}"
+
+
+def listed(reader: Reader, globs: Sequence[str]) -> Reader:
+    """A reader of all files below a folder whose names match, hidden files aside."""
+    return reader.option("recursiveFileLookup", True).option("pathGlobFilter", listing_glob(globs))
+
+
+def _load(
+    spark: SparkSession, folder: str, kind: str, globs: Sequence[str]
+) -> DataFrame | None:
+    """The matching files as a lazy frame; None, with a warning, where there is no folder."""
     found = path_kind(spark, folder)
     if found != "folder":
         log.warning("not a directory: %s" if found else "directory does not exist: %s", folder)
         return None
-    return spark.read.format(kind).option("recursiveFileLookup", True).load(folder)
+    return listed(spark.read.format(kind), globs).load(folder)
 
 
-def _none(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], schemas.RAW_LINES)
+def plain_lines(files: DataFrame, fmt: LogFormat) -> DataFrame:
+    """Lines of the files that are not archives. Bytes that are not UTF-8 become U+FFFD."""
+    name = F.col("_metadata.file_name")
+    return files.where(~archives.is_archive(name)).select(
+        F.make_valid_utf8("value").alias("value"),
+        F.concat(F.lit(f"{fmt.name}:"), name).alias("file_source"),
+        F.col("_metadata.file_path").alias("file_path"),
+        F.lit(None).cast("string").alias("problem"),
+    )
 
 
 def read_plain(
     spark: SparkSession, folder: str, fmt: LogFormat, globs: Sequence[str] | None = None
 ) -> DataFrame:
-    """Lines of the matching files that are not archives.
-
-    The conditions touch only file metadata, so files that do not match are never opened.
-    Bytes that are not UTF-8 become U+FFFD.
-    """
-    files = _load(spark, folder, "text")
+    """Lines of the matching files that are not archives."""
+    files = _load(spark, folder, "text", globs or fmt.globs)
     if files is None:
-        return _none(spark)
-    name = F.col("_metadata.file_name")
-    return (
-        files.where(matches(name, globs or fmt.globs) & ~archives.is_archive(name))
-        .select(
-            F.make_valid_utf8("value").alias("value"),
-            F.concat(F.lit(f"{fmt.name}:"), name).alias("file_source"),
-            F.col("_metadata.file_path").alias("file_path"),
-            F.lit(None).cast("string").alias("problem"),
-        )
-    )
+        return spark.createDataFrame([], schemas.RAW_LINES)
+    return plain_lines(files, fmt)
 
 
 def read_archived(
@@ -79,12 +103,12 @@ def read_archived(
     """
     if not 1 <= max_depth <= 10:
         raise ValueError("max_depth must be between 1 and 10")
-    files = _load(spark, folder, "binaryFile")
-    if files is None:
-        return _none(spark)
     globs = list(globs or fmt.globs)
+    files = _load(spark, folder, "binaryFile", globs)
+    if files is None:
+        return spark.createDataFrame([], schemas.RAW_LINES)
     name = F.col("_metadata.file_name")
-    wanted = files.where(matches(name, globs) & archives.is_archive(name))
+    wanted = files.where(archives.is_archive(name))
     small = wanted.where(F.col("length") <= archives.INLINE_BYTES).select(
         name.alias("name"), "path", "content"
     )

@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from weblens.formats import FORMATS, LogFormat
 from weblens.plans.ingest import LogStore
-from weblens.sources.archives import is_archive
-from weblens.sources.discover import matches
+from weblens.sources.discover import listed, plain_lines
 
 
 def stream_lines(
@@ -22,20 +21,8 @@ def stream_lines(
     files_per_batch: int = 1000,
 ) -> DataFrame:
     """Lines of the plain files of a folder as a stream, in the shape of `schemas.RAW_LINES`."""
-    name = F.col("_metadata.file_name")
-    return (
-        spark.readStream.format("text")
-        .option("recursiveFileLookup", True)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .load(folder)
-        .where(matches(name, globs or fmt.globs) & ~is_archive(name))
-        .select(
-            F.make_valid_utf8("value").alias("value"),
-            F.concat(F.lit(f"{fmt.name}:"), name).alias("file_source"),
-            F.col("_metadata.file_path").alias("file_path"),
-            F.lit(None).cast("string").alias("problem"),
-        )
-    )
+    reader = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch)
+    return plain_lines(listed(reader, globs or fmt.globs).load(folder), fmt)
 
 
 def ingest_new_files(
