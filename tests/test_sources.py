@@ -220,14 +220,19 @@ def test_blocks_join_to_the_whole_text(monkeypatch):
         assert all(b.endswith(b"\n") for b in blocks[:-1])
 
 
-def test_large_archives_are_streamed_from_their_path(spark, tmp_path, monkeypatch):
-    (tmp_path / "request.log.gz").write_bytes(gzip.compress(b"one\ntwo\n"))
+@pytest.mark.parametrize("alone,inline", [(1, 1), (1, 1 << 20), (1 << 20, 1 << 20)])
+def test_archives_of_every_size_class(spark, tmp_path, monkeypatch, alone, inline):
+    """Streamed from the path, dealt out, parsed where unpacked: the same lines."""
+    body = b"".join(b"line %d\n" % i for i in range(2000))
+    (tmp_path / "request.log.gz").write_bytes(gzip.compress(body))
     (tmp_path / "nexus_logs_1.tar.gz").write_bytes(tar_bytes([("request.log", b"three\n")], "w:gz"))
-    monkeypatch.setattr(archives, "INLINE_BYTES", 1)
+    (tmp_path / "request.log.2.gz").write_bytes(b"corrupt")
+    monkeypatch.setattr(archives, "ALONE_BYTES", alone)
+    monkeypatch.setattr(archives, "INLINE_BYTES", inline)
     found, problems = lines_of(spark, tmp_path, NEXUS)
-    assert problems == {}
-    assert found == {"nexus:request.log.gz->request.log": ["one", "two"],
-                     "nexus:nexus_logs_1.tar.gz->request.log": ["three"]}
+    assert list(problems) == ["nexus:request.log.2.gz"]
+    assert found["nexus:nexus_logs_1.tar.gz->request.log"] == ["three"]
+    assert sorted(found["nexus:request.log.gz->request.log"]) == sorted(body.decode().split("\n")[:-1])
 
 
 def test_bz2_text_is_unpacked_by_name(spark, tmp_path):

@@ -189,3 +189,33 @@ def test_streaming_ingest_takes_each_file_once(spark, store, tmp_path):
     assert store.quarantine("nginx").count() == 1
     ids = [r.id for r in store.table("nginx").orderBy(F.col("path")).collect()]
     assert ids == sorted(set(ids))
+
+
+def test_inserting_parsed_rows(spark, store):
+    columns = "ip_address string, timestamp timestamp_ntz, path string, response_size int"
+    when = dt.datetime(2025, 1, 15, 10)
+    rows = [("1.1.1.1", when, "/a", 7), ("1.1.1.2", when, "/b", None)]
+    assert store.insert(spark.createDataFrame(rows, columns), "nginx") == 2
+    assert store.insert(spark.createDataFrame([], columns), "nginx") == 0
+    found = store.table("nginx").orderBy("path").collect()
+    assert [(r.path, r.response_size, r.method, r.status_code, r.referer) for r in found] == [
+        ("/a", 7, "", 0, None), ("/b", None, "", 0, None)]
+    broken = [("1.1.1.3", when, "/c", 1), ("1.1.1.4", None, "/d", 1)]
+    with pytest.raises(Exception, match="timestamp must not be NULL"):
+        store.insert(spark.createDataFrame(broken, columns), "nginx")
+    assert store.table("nginx").count() == 2
+    with pytest.raises(ValueError):
+        store.insert(spark.createDataFrame([("/x",)], "path string"), "nginx")
+
+
+def test_times_do_not_depend_on_the_session_zone(spark, store):
+    text = good(1).replace("01/May/2025:10:00:01", "09/Mar/2025:02:30:00")  # skipped in New York
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        store.write(raw(spark, text), NGINX)
+        assert store.preview("nginx").first().timestamp == "2025-03-09T02:30:00"
+        at = dt.datetime(2025, 3, 9, 2, 30)
+        assert store.time_range("nginx", at, at).count() == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from weblens.formats import FORMATS
 
@@ -35,11 +35,10 @@ def preview(logs: DataFrame, schema: T.StructType, limit: int = 10, stored: bool
     return newest(logs, limit, stored=stored).select(*shown)
 
 
-def iso_text(column: str):
+def iso_text(column: str) -> Column:
     """ISO 8601 text of a time, with microseconds only where there are any."""
-    base = F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss")
-    fraction = F.date_format(column, ".SSSSSS")
-    return F.concat(base, F.when(fraction != ".000000", fraction).otherwise(""))
+    text = F.replace(F.col(column).cast("string"), F.lit(" "), F.lit("T"))
+    return F.when(F.contains(text, F.lit(".")), F.rpad(text, 26, "0")).otherwise(text)
 
 
 def table_sample(

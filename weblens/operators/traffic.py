@@ -67,7 +67,8 @@ def between(logs: DataFrame, start: dt.datetime | None, end: dt.datetime | None)
     for bound, op in ((start, Column.__ge__), (end, Column.__le__)):
         if bound is None:
             continue
-        logs = logs.where(op(F.col("timestamp"), F.lit(bound).cast("timestamp_ntz")))
+        # As text: a datetime literal would be taken for local time.
+        logs = logs.where(op(F.col("timestamp"), F.lit(str(bound)).cast("timestamp_ntz")))
         if "log_date" in logs.columns:
             logs = logs.where(op(F.col("log_date"), F.lit(bound.date())))
     return logs

@@ -63,15 +63,17 @@ class LogStore:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
+        self._yields: dict[str, list[T.StructField]] = {}
 
     # --- writing ----------------------------------------------------------------------------
 
     def path(self, fmt: LogFormat) -> str:
         return f"{self.root}/{fmt.table_name}"
 
-    def _stored_schema(self, fmt: LogFormat, extra: Sequence[T.StructField]) -> T.StructType:
+    def _stored_schema(self, fmt: LogFormat) -> T.StructType:
         return T.StructType([
-            *(T.StructField(f.name, f.dataType, True) for f in fmt.schema.fields), *extra,
+            *(T.StructField(f.name, f.dataType, True) for f in fmt.schema.fields),
+            *self._extra_fields(fmt),
             T.StructField("file_path", T.StringType()), T.StructField("reason", T.StringType()),
             T.StructField("outcome", T.StringType()), T.StructField("ingest", T.LongType()),
             T.StructField("log_date", T.DateType()),
@@ -79,12 +81,15 @@ class LogStore:
 
     def _extra_fields(self, fmt: LogFormat) -> list[T.StructField]:
         """Columns a format yields beyond its table's declared ones."""
-        probe = self.spark.createDataFrame([], schemas.RAW_LINES)
-        declared = {*fmt.schema.names, "file_path", "reason", "outcome"}
-        return [f for f in p.parse(probe, fmt).schema.fields if f.name not in declared]
+        if fmt.name not in self._yields:
+            probe = self.spark.createDataFrame([], schemas.RAW_LINES)
+            declared = {*fmt.schema.names, "file_path", "reason", "outcome"}
+            fields = p.parse(probe, fmt).schema.fields
+            self._yields[fmt.name] = [f for f in fields if f.name not in declared]
+        return self._yields[fmt.name]
 
     def _stored(self, fmt: LogFormat) -> DataFrame:
-        schema = self._stored_schema(fmt, self._extra_fields(fmt))
+        schema = self._stored_schema(fmt)
         if path_kind(self.spark, self.path(fmt)) is None:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self.path(fmt))
@@ -112,6 +117,41 @@ class LogStore:
         is stored once. `rebalance` evens out file sizes per day at the price of a shuffle; a
         day holding most of the rows is split over several files.
         """
+        return self._save(p.parse(lines, fmt), fmt, fresh, ingest, rebalance)
+
+    def insert(self, rows: DataFrame, fmt: LogFormat | str, fresh: bool = False) -> int:
+        """Store rows that are parsed already; their number.
+
+        A required text column the rows lack is stored as the empty text, a required number as
+        0. A required value that is NULL fails the job, and then none of the rows is stored.
+        """
+        fmt = FORMATS[fmt] if isinstance(fmt, str) else fmt
+
+        def stored(field: T.StructField) -> Column:
+            if field.name in rows.columns:
+                value = F.col(field.name).cast(field.dataType)
+                if field.nullable:
+                    return value
+                return F.coalesce(value, F.raise_error(F.lit(f"{field.name} must not be NULL")))
+            default = None
+            if not field.nullable:
+                if isinstance(field.dataType, T.TimestampNTZType):
+                    raise ValueError(f"the rows have no column {field.name!r}")
+                default = "" if isinstance(field.dataType, T.StringType) else 0
+            return F.lit(default).cast(field.dataType)
+
+        given = [f for f in fmt.schema.fields if f.name not in ("id", "created_at")]
+        complete = rows.select(
+            *(stored(f).alias(f.name) for f in [*given, *self._extra_fields(fmt)]),
+            *(F.lit(None).cast("string").alias(c) for c in ("file_path", "reason")),
+            F.lit(p.PARSED).alias("outcome"),
+        )
+        return self._save(complete, fmt, fresh).entries
+
+    def _save(
+        self, parsed: DataFrame, fmt: LogFormat, fresh: bool = False, ingest: int | None = None,
+        rebalance: bool = False,
+    ) -> IngestReport:
         began = time.monotonic()
         number, largest = (-1, -1) if fresh else self._last(fmt)
         retry = ingest is not None
@@ -120,17 +160,17 @@ class LogStore:
             largest = earlier.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
         number = ingest if retry else number + 1
 
+        rows = parsed.withColumn("log_date", F.to_date("timestamp"))
+        if rebalance:
+            rows = rows.hint("rebalance", "outcome", "log_date")
+        # Ids are given in the stage that writes: a stage run again before a shuffle could
+        # number its rows differently, and two rows could end up with one id.
         rows = (
-            p.parse(lines, fmt)
-            .withColumn("id", F.monotonically_increasing_id() + F.lit(largest + 1))
+            rows.withColumn("id", F.monotonically_increasing_id() + F.lit(largest + 1))
             .withColumn("created_at", utc_now())
             .withColumn("ingest", F.lit(number).cast("long"))
-            .withColumn("log_date", F.to_date("timestamp"))
+            .select(*self._stored_schema(fmt).names)
         )
-        order = [f.name for f in self._stored_schema(fmt, self._extra_fields(fmt)).fields]
-        rows = rows.select(*order)
-        if rebalance:
-            rows = rows.hint("rebalance", "outcome", "log_date")
         writer = rows.write.partitionBy(*PARTITIONS)
         if retry and not fresh:
             writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")

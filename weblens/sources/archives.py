@@ -26,6 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 BLOCK_BYTES = 4 << 20
+
+#: An archive up to this size is parsed by the task that unpacks it. The blocks of a larger one
+#: are dealt out to all tasks first, as parsing takes far longer than unpacking.
+ALONE_BYTES = 32 << 20
+
+#: An archive up to this size arrives as the content of a row; a larger one is streamed by the
+#: task from its path.
 INLINE_BYTES = 256 << 20
 
 # Name endings that make a file an archive.
@@ -186,13 +193,13 @@ def expand(files: DataFrame, log_type: str, globs: Sequence[str], max_depth: int
     return files.mapInArrow(task, _SPARK_BLOCKS)
 
 
-def split_lines(blocks: DataFrame) -> DataFrame:
-    """Blocks cut into lines, in the shape of `schemas.RAW_LINES`.
+def deal_out(blocks: DataFrame) -> DataFrame:
+    """Spread blocks evenly. The place of a block depends on nothing but the block."""
+    return blocks.repartition("file_path", "number")
 
-    The blocks are dealt out first: parsing takes far longer than unpacking, and a single big
-    archive would otherwise be parsed by the one task that unpacked it.
-    """
-    blocks = blocks.repartition("file_path", "number")
+
+def split_lines(blocks: DataFrame) -> DataFrame:
+    """Blocks cut into lines, in the shape of `schemas.RAW_LINES`."""
     text = F.make_valid_utf8(F.col("block").cast("string"))
     # A block of a problem row is NULL; its one element is NULL as well.
     lines = F.when(F.col("problem").isNull(), F.split(text, "\n")).otherwise(

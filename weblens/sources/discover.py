@@ -6,7 +6,7 @@ import logging
 from collections.abc import Sequence
 from typing import TypeVar
 
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamReader
 
 from weblens import schemas
@@ -98,8 +98,8 @@ def read_archived(
 ) -> DataFrame:
     """Lines of the matching members of the matching archives, nested ones included.
 
-    Archives up to `archives.INLINE_BYTES` arrive as file content. Larger ones would not fit
-    one row; the task streams those from their path.
+    Sizes decide how an archive travels (see `archives.ALONE_BYTES` and `INLINE_BYTES`). The
+    size reaches the scan as a filter, so content is read only where it is wanted.
     """
     if not 1 <= max_depth <= 10:
         raise ValueError("max_depth must be between 1 and 10")
@@ -107,18 +107,19 @@ def read_archived(
     files = _load(spark, folder, "binaryFile", globs)
     if files is None:
         return spark.createDataFrame([], schemas.RAW_LINES)
-    name = F.col("_metadata.file_name")
+    name, size = F.col("_metadata.file_name"), F.col("length")
     wanted = files.where(archives.is_archive(name))
-    small = wanted.where(F.col("length") <= archives.INLINE_BYTES).select(
-        name.alias("name"), "path", "content"
-    )
-    large = wanted.where(F.col("length") > archives.INLINE_BYTES).select(
-        name.alias("name"), "path", F.lit(None).cast("binary").alias("content")
-    )
-    expanded = archives.expand(small, fmt.name, globs, max_depth).unionByName(
-        archives.expand(large, fmt.name, globs, max_depth)
-    )
-    return archives.split_lines(expanded)
+    alone, inline = archives.ALONE_BYTES, archives.INLINE_BYTES
+
+    def blocks(some: DataFrame, content: Column) -> DataFrame:
+        given = some.select(name.alias("name"), "path", content.alias("content"))
+        return archives.expand(given, fmt.name, globs, max_depth)
+
+    small = blocks(wanted.where(size <= alone), F.col("content"))
+    medium = blocks(wanted.where((size > alone) & (size <= inline)), F.col("content"))
+    large = blocks(wanted.where((size > alone) & (size > inline)), F.lit(None).cast("binary"))
+    dealt = archives.deal_out(medium.unionByName(large))
+    return archives.split_lines(small).unionByName(archives.split_lines(dealt))
 
 
 def read_logs(
