@@ -6,10 +6,13 @@ import bz2
 import fnmatch
 import gzip
 import io
+import subprocess
+import sys
 import tarfile
 import zipfile
 
 import pytest
+from pyspark import cloudpickle
 
 from weblens.formats import NEXUS, NGINX
 from weblens.sources import archives
@@ -245,3 +248,17 @@ def test_files_that_do_not_match_are_never_opened(spark, tmp_path):
     (tmp_path / "other.gz").write_bytes(b"corrupt")
     frame = read_logs(spark, str(tmp_path), NGINX)
     assert frame.count() == 1
+
+
+def test_tasks_do_not_need_the_package(tmp_path):
+    """What a task runs can be loaded and used where the package cannot be imported."""
+    (tmp_path / "task").write_bytes(cloudpickle.dumps((archives._walk, gzip.compress(b"a\nb\n"))))
+    script = (
+        "import io, pickle, sys\n"
+        "from pyspark import cloudpickle\n"
+        "walk, data = pickle.load(open('task', 'rb'))\n"
+        "found = list(walk(io.BytesIO(data), ('access.log.gz',), ['access.log*'], 3))\n"
+        "assert found == [(('access.log.gz', 'access.log'), b'a\\nb\\n', None)], found\n"
+        "assert 'weblens' not in sys.modules\n"
+    )
+    subprocess.run([sys.executable, "-c", script], cwd=tmp_path, check=True)
