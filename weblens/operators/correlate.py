@@ -61,42 +61,36 @@ def correlated_requests(
     """Per client, method, path and second of the proxy log: how many requests the proxy saw,
     and how many the repository log holds within `seconds` of it.
 
-    Both sides are reduced to one row per key and second, then counted in a sliding window. A
-    window partition is one key in one stretch of time, so its size is bounded by the stretch.
-    Repository rows near the border of a stretch are handed to both neighbours.
+    Both logs are reduced together to one row per key and second, then counted in a sliding
+    window. A window partition is one key in one stretch of time, so its size is bounded by the
+    length of the stretch. Repository rows near a border are handed to both neighbours.
     """
     _check(seconds)
     stretch = max(2 * seconds + 1, 600)
 
-    def per_second(logs: DataFrame, seen: str) -> DataFrame:
-        return logs.groupBy(*KEYS, _epoch(logs, normalise).alias("second")).agg(
-            F.count("*").alias(seen)
-        )
-
     def part(second: Column) -> Column:
         return F.floor(second / stretch)
 
-    proxy = per_second(nginx, "nginx_requests").select(
-        *KEYS, "second", part(F.col("second")).alias("part"), "nginx_requests",
-        F.lit(0).cast("long").alias("seen"),
+    second = F.col("second")
+    near = F.array_distinct(F.array(part(second - seconds), part(second + seconds)))
+    proxy = nginx.select(*KEYS, _epoch(nginx, normalise).alias("second")).select(
+        "*", part(second).alias("part"), F.lit(1).alias("by_proxy"), F.lit(0).alias("by_repository")
+    )
+    repository = nexus.select(*KEYS, _epoch(nexus, normalise).alias("second")).select(
+        "*", F.explode(near).alias("part"), F.lit(0).alias("by_proxy"), F.lit(1).alias("by_repository")
     )
-    near = F.array_distinct(F.array(
-        part(F.col("second") - seconds), part(F.col("second") + seconds)
-    ))
-    repository = per_second(nexus, "seen").select(
-        *KEYS, "second", F.explode(near).alias("part"),
-        F.lit(None).cast("long").alias("nginx_requests"), "seen",
+    per_second = proxy.unionByName(repository).groupBy(*KEYS, "part", "second").agg(
+        F.sum("by_proxy").alias("nginx_requests"), F.sum("by_repository").alias("seen")
     )
     around = (
         Window.partitionBy(*KEYS, "part").orderBy("second").rangeBetween(-seconds, seconds)
     )
     return (
-        proxy.unionByName(repository)
-        .withColumn("nexus_requests", F.sum("seen").over(around))
-        .where(F.col("nginx_requests").isNotNull())
+        per_second.withColumn("nexus_requests", F.sum("seen").over(around))
+        .where(F.col("nginx_requests") > 0)
         .select(
             *KEYS,
-            F.timestamp_add("SECOND", F.col("second"), F.lit("1970-01-01").cast("timestamp_ntz"))
+            F.timestamp_add("SECOND", second, F.lit("1970-01-01").cast("timestamp_ntz"))
             .alias("timestamp"),
             "nginx_requests", "nexus_requests",
         )
