@@ -14,6 +14,7 @@ from weblens import schemas
 from weblens.formats import NEXUS, NGINX
 from weblens.operators import catalog, parse as p, quality
 from weblens.plans.ingest import LogStore
+from weblens.sources.discover import list_plain, read_plain
 from weblens.streaming.incremental import ingest_new_files
 
 GOOD = '10.0.0.{n} - - [{day:02d}/May/2025:10:00:{n:02d} +0000] "GET /p{n} HTTP/1.1" {status} 1 "-" "a"'
@@ -219,3 +220,29 @@ def test_times_do_not_depend_on_the_session_zone(spark, store):
         assert store.time_range("nginx", at, at).count() == 1
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_files_without_lines_count_when_listed(spark, store, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    (logs / "access.log").write_text(good(1) + "\nbad\n")
+    (logs / "access.log.1").write_text("\n  \n")
+    (logs / "access.log.2").write_text("")  # no bytes at all: Spark lists no such file
+    (logs / "error.log").write_text("x")
+    store.ingest(str(logs), "nginx")
+    assert store.file_statistics("nginx").count() == 1
+    files = list_plain(spark, str(logs), NGINX)
+    stats = {r.file_source: tuple(r)[2:] for r in store.file_statistics("nginx", files).collect()}
+    assert stats == {"nginx:access.log": (1, 1, 2, 0.5), "nginx:access.log.1": (0, 0, 0, 1.0)}
+    parsed = p.parse(read_plain(spark, str(logs), NGINX), NGINX)
+    total = quality.stats_by_format({"nginx": parsed}, {"nginx": files}).where("format IS NULL").first()
+    assert (total.files, total.lines) == (2, 2)
+
+
+def test_ingest_of_several_formats(spark, store, tmp_path):
+    for name, text in (("access.log", good(1) + "\nbad"), ("request.log", "worse")):
+        (tmp_path / name).write_text(text)
+    reports = store.ingest_all({"nginx": str(tmp_path), "nexus": str(tmp_path)}, fresh=True)
+    assert {n: (r.lines, r.entries, r.parse_errors) for n, r in reports.items()} == {
+        "nginx": (2, 1, 1), "nexus": (1, 0, 1), "total": (3, 1, 2)}
+    assert reports["total"].success_rate == 1 / 3

@@ -25,27 +25,37 @@ def _with_rate(stats: DataFrame) -> DataFrame:
     )
 
 
-def stats_by_file(parsed: DataFrame) -> DataFrame:
+def stats_by_file(parsed: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Lines, entries, errors and success rate per file.
 
     Files are told apart by full path where the input carries one, as two folders may hold
-    files of the same name.
+    files of the same name. A file without any line shows up only if it is among `files`
+    (`file_path`, `file_source`; see `sources.discover.list_plain`).
     """
     keys = [k for k in ("file_path", "file_source") if k in parsed.columns]
     counted = parsed.where(~_is(SKIPPED)).groupBy(*keys).agg(
         F.count_if(_is(PARSED)).alias("entries"),
         F.count_if(_is(REJECTED)).alias("parse_errors"),
     )
+    if files is not None:
+        seen = files.select(*keys, F.lit(0).alias("entries"), F.lit(0).alias("parse_errors"))
+        counted = counted.unionByName(seen).groupBy(*keys).agg(
+            F.sum("entries").alias("entries"), F.sum("parse_errors").alias("parse_errors")
+        )
     return _with_rate(counted)
 
 
-def stats_by_format(parsed: dict[str, DataFrame]) -> DataFrame:
+def stats_by_format(
+    parsed: dict[str, DataFrame], files: dict[str, DataFrame] | None = None
+) -> DataFrame:
     """Files, lines, entries, errors and success rate per format, and the total (`format` NULL).
 
-    Each format is counted per file first, so the roll-up runs over one row per file.
+    Each format is counted per file first, so the roll-up runs over one row per file. `files`
+    may name all files of a format, as for `stats_by_file`.
     """
     per_file = [
-        stats_by_file(frame).select(F.lit(name).alias("format"), "entries", "parse_errors")
+        stats_by_file(frame, (files or {}).get(name))
+        .select(F.lit(name).alias("format"), "entries", "parse_errors")
         for name, frame in parsed.items()
     ]
     files = reduce(DataFrame.unionByName, per_file)

@@ -14,7 +14,7 @@ from __future__ import annotations
 import datetime as dt
 import time
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -197,6 +197,18 @@ class LogStore:
         lines = read_logs(self.spark, folder, fmt, globs, max_depth)
         return self.write(lines, fmt, fresh=fresh, rebalance=rebalance)
 
+    def ingest_all(
+        self, folders: dict[str, str], fresh: bool = False, rebalance: bool = False
+    ) -> dict[str, IngestReport]:
+        """Ingest one folder per format; the report of each and of all together (`total`)."""
+        reports = {
+            name: self.ingest(folder, name, fresh=fresh, rebalance=rebalance)
+            for name, folder in folders.items()
+        }
+        counts = [f.name for f in fields(IngestReport) if f.name not in ("format", "ingest")]
+        sums = {c: sum(getattr(report, c) for report in reports.values()) for c in counts}
+        return {**reports, "total": IngestReport("total", -1, **sums)}
+
     # --- reading ----------------------------------------------------------------------------
 
     def table(self, fmt: LogFormat | str) -> DataFrame:
@@ -226,21 +238,25 @@ class LogStore:
             rejected = part if rejected is None else rejected.unionByName(part)
         rejected.createOrReplaceTempView("log_quarantine")
 
-    def file_statistics(self, fmt: LogFormat | str) -> DataFrame:
+    def file_statistics(self, fmt: LogFormat | str, files: DataFrame | None = None) -> DataFrame:
+        """See `quality.stats_by_file`."""
         fmt = FORMATS[fmt] if isinstance(fmt, str) else fmt
-        return quality.stats_by_file(self._stored(fmt))
+        return quality.stats_by_file(self._stored(fmt), files)
 
     def statistics(self, *formats: str) -> DataFrame:
+        """See `quality.stats_by_format`; nginx and Nexus if no format is named."""
         chosen = [FORMATS[name] for name in formats or ("nginx", "nexus")]
         return quality.stats_by_format({fmt.name: self._stored(fmt) for fmt in chosen})
 
     def preview(self, fmt: LogFormat | str, limit: int = 10) -> DataFrame:
+        """The newest rows, read in two passes; see `catalog.newest`."""
         fmt = FORMATS[fmt] if isinstance(fmt, str) else fmt
         return catalog.preview(self.table(fmt), fmt.schema, limit, stored=True)
 
     def time_range(
         self, fmt: LogFormat | str, start: dt.datetime, end: dt.datetime, limit: int = 100
     ) -> DataFrame:
+        """The newest requests of a time range; only the days of the range are read."""
         fmt = FORMATS[fmt] if isinstance(fmt, str) else fmt
         query = traffic.nexus_time_range if fmt.name == "nexus" else traffic.nginx_time_range
         return query(self.table(fmt), start, end, limit)

@@ -92,6 +92,23 @@ def read_plain(
     return plain_lines(files, fmt)
 
 
+def list_plain(
+    spark: SparkSession, folder: str, fmt: LogFormat, globs: Sequence[str] | None = None
+) -> DataFrame:
+    """The files `read_plain` reads (`file_path`, `file_source`), also those without a line.
+
+    Spark's listing leaves out files of zero bytes.
+    """
+    files = _load(spark, folder, "binaryFile", globs or fmt.globs)
+    if files is None:
+        return spark.createDataFrame([], "file_path string, file_source string")
+    name = F.col("_metadata.file_name")
+    return files.where(~archives.is_archive(name)).select(
+        F.col("_metadata.file_path").alias("file_path"),
+        F.concat(F.lit(f"{fmt.name}:"), name).alias("file_source"),
+    )
+
+
 def read_archived(
     spark: SparkSession, folder: str, fmt: LogFormat, globs: Sequence[str] | None = None,
     max_depth: int = MAX_DEPTH,
