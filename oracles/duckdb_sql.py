@@ -16,6 +16,7 @@ DIALECT = {
     "ISO": "strftime(ts, '%Y-%m-%d %H:%M:%S')",
 }
 
+# The line patterns, one group per field.
 NGINX_PATTERN = r'^(\S+) (\S+) (\S+) \[([^\]]+)\] "([^"]*)" (\d+) (\S+) "([^"]*)" "([^"]*)"'
 NEXUS_PATTERN = (
     r'^(\S+) - (\S+) \[([^\]]+)\] "(\S+) (\S+) ([^"]+)" (\d+) (\d+|-) (\d+|-) (\d+|-)'

@@ -50,6 +50,7 @@ def lines_of(spark, folder, fmt=NGINX, **kwargs):
 
 def test_glob_list():
     assert glob_list(" access.log*, other ,,") == ["access.log*", "other"]
+    assert glob_list(("a ", "")) == ["a"]
 
 
 @pytest.mark.parametrize("name,globs,expected", [
@@ -118,7 +119,7 @@ def test_archives_side_by_side(spark, tmp_path):
 def test_gzip_member_must_match_as_well(spark, tmp_path):
     (tmp_path / "x.log.gz").write_bytes(gzip.compress(b"line\n"))
     assert lines_of(spark, tmp_path, globs=["*.gz"]) == ({}, {})
-    assert lines_of(spark, tmp_path, globs=["*.log*"])[0] == {"nginx:x.log.gz->x.log": ["line"]}
+    assert lines_of(spark, tmp_path, globs="*.log*, y")[0] == {"nginx:x.log.gz->x.log": ["line"]}
 
 
 def test_nested_archives_and_depth(spark, tmp_path):

@@ -3,10 +3,11 @@
 One pass over the logs writes good lines, rejected lines and skipped sources of a format
 together, into the folders of one dataset:
 
-    <root>/<table>/outcome=parsed|rejected|skipped/ingest=<n>/log_date=<day>/part-*.parquet
+    <root>/<table>/outcome=parsed|rejected|skipped/origin=<name>/ingest=<n>/log_date=<day>/
 
 so nothing is read or parsed twice, and every reader prunes to the part it wants. Statistics
-are counted afterwards on the few columns they need.
+are counted afterwards on the few columns they need. Ingests are numbered per origin: plain
+ingests share one, every stream has its own, so neither can replace what the other stored.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import datetime as dt
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass, fields
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -24,7 +26,8 @@ from weblens.operators import catalog, parse as p, quality, traffic
 from weblens.session import path_kind
 from weblens.sources.discover import MAX_DEPTH, read_logs
 
-PARTITIONS = ("outcome", "ingest", "log_date")
+PARTITIONS = ("outcome", "origin", "ingest", "log_date")
+PLAIN_ORIGIN = "batch"
 
 
 def utc_now() -> Column:
@@ -75,8 +78,8 @@ class LogStore:
             *(T.StructField(f.name, f.dataType, True) for f in fmt.schema.fields),
             *self._extra_fields(fmt),
             T.StructField("file_path", T.StringType()), T.StructField("reason", T.StringType()),
-            T.StructField("outcome", T.StringType()), T.StructField("ingest", T.LongType()),
-            T.StructField("log_date", T.DateType()),
+            T.StructField("outcome", T.StringType()), T.StructField("origin", T.StringType()),
+            T.StructField("ingest", T.LongType()), T.StructField("log_date", T.DateType()),
         ])
 
     def _extra_fields(self, fmt: LogFormat) -> list[T.StructField]:
@@ -94,30 +97,36 @@ class LogStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self.path(fmt))
 
-    def _last(self, fmt: LogFormat) -> tuple[int, int]:
-        """Number of the newest ingest and its largest id; -1 where there is none.
+    def _last(self, fmt: LogFormat, origin: str, retried: int | None) -> tuple[int, int]:
+        """Number of the newest ingest of an origin and the largest id of all; -1 for none.
 
-        The number comes from folder names. The ids are read in that one ingest only.
+        Ids only grow, so the largest is in the newest ingest of some origin. Which those are
+        comes from folder names; ids are read in them only. What an earlier try of the ingest
+        `retried` left does not count.
         """
         stored = self._stored(fmt)
-        ingest = stored.agg(F.max("ingest")).first()[0]
-        if ingest is None:
+        if retried is not None:
+            stored = stored.where((F.col("origin") != origin) | (F.col("ingest") < retried))
+        newest = dict(stored.groupBy("origin").agg(F.max("ingest")).collect())
+        if not newest:
             return -1, -1
-        largest = stored.where(F.col("ingest") == ingest).agg(F.max("id")).first()[0]
-        return ingest, largest
+        is_newest = reduce(Column.__or__, (
+            (F.col("origin") == name) & (F.col("ingest") == n) for name, n in newest.items()
+        ))
+        return newest.get(origin, -1), stored.where(is_newest).agg(F.max("id")).first()[0]
 
     def write(
-        self, lines: DataFrame, fmt: LogFormat, fresh: bool = False, ingest: int | None = None,
-        rebalance: bool = False,
+        self, lines: DataFrame, fmt: LogFormat, fresh: bool = False, rebalance: bool = False,
+        origin: str = PLAIN_ORIGIN, ingest: int | None = None,
     ) -> IngestReport:
         """Parse lines (`schemas.RAW_LINES`) and store them.
 
         `fresh` replaces the table, else the lines are added. With an explicit `ingest` number
-        the write replaces just what an earlier try of the same number left, so a retried batch
-        is stored once. `rebalance` evens out file sizes per day at the price of a shuffle; a
+        the write replaces just what an earlier try of that number of the same origin left, so
+        a retried batch is stored once. `rebalance` evens out file sizes per day at the price of a shuffle; a
         day holding most of the rows is split over several files.
         """
-        return self._save(p.parse(lines, fmt), fmt, fresh, ingest, rebalance)
+        return self._save(p.parse(lines, fmt), fmt, fresh, rebalance, origin, ingest)
 
     def insert(self, rows: DataFrame, fmt: LogFormat | str, fresh: bool = False) -> int:
         """Store rows that are parsed already; their number.
@@ -149,15 +158,12 @@ class LogStore:
         return self._save(complete, fmt, fresh).entries
 
     def _save(
-        self, parsed: DataFrame, fmt: LogFormat, fresh: bool = False, ingest: int | None = None,
-        rebalance: bool = False,
+        self, parsed: DataFrame, fmt: LogFormat, fresh: bool = False, rebalance: bool = False,
+        origin: str = PLAIN_ORIGIN, ingest: int | None = None,
     ) -> IngestReport:
         began = time.monotonic()
-        number, largest = (-1, -1) if fresh else self._last(fmt)
+        number, largest = (-1, -1) if fresh else self._last(fmt, origin, ingest)
         retry = ingest is not None
-        if retry and number >= ingest:
-            earlier = self._stored(fmt).where(F.col("ingest") < ingest)
-            largest = earlier.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
         number = ingest if retry else number + 1
 
         rows = parsed.withColumn("log_date", F.to_date("timestamp"))
@@ -168,6 +174,7 @@ class LogStore:
         rows = (
             rows.withColumn("id", F.monotonically_increasing_id() + F.lit(largest + 1))
             .withColumn("created_at", utc_now())
+            .withColumn("origin", F.lit(origin))
             .withColumn("ingest", F.lit(number).cast("long"))
             .select(*self._stored_schema(fmt).names)
         )
@@ -180,16 +187,16 @@ class LogStore:
             writer = writer.mode("append")
         writer.parquet(self.path(fmt))
         seconds = time.monotonic() - began
-        # Both columns are folder names: the rows are counted without reading any.
-        written = self._stored(fmt).where(F.col("ingest") == number).groupBy("outcome").count()
-        found = dict(written.collect())
+        # These columns are folder names: the rows are counted without reading any.
+        mine = (F.col("origin") == origin) & (F.col("ingest") == number)
+        found = dict(self._stored(fmt).where(mine).groupBy("outcome").count().collect())
         entries, errors = found.get(p.PARSED, 0), found.get(p.REJECTED, 0)
         return IngestReport(
             fmt.name, number, entries + errors, entries, errors, found.get(p.SKIPPED, 0), seconds
         )
 
     def ingest(
-        self, folder: str, fmt: LogFormat | str, globs: Sequence[str] | None = None,
+        self, folder: str, fmt: LogFormat | str, globs: str | Sequence[str] | None = None,
         max_depth: int = MAX_DEPTH, fresh: bool = False, rebalance: bool = False,
     ) -> IngestReport:
         """Read every log of a format below a folder and store it."""
@@ -215,7 +222,7 @@ class LogStore:
         """The good rows: the declared columns, then what else the format yields, `log_date`."""
         fmt = FORMATS[fmt] if isinstance(fmt, str) else fmt
         stored = self._stored(fmt).where(F.col("outcome") == p.PARSED)
-        hidden = {"file_path", "reason", "outcome", "ingest"}
+        hidden = {"file_path", "reason", "outcome", "origin", "ingest"}
         return stored.select(*(c for c in stored.columns if c not in hidden))
 
     def quarantine(self, fmt: LogFormat | str) -> DataFrame:

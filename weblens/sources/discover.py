@@ -22,9 +22,10 @@ Reader = TypeVar("Reader", DataFrameReader, DataStreamReader)
 MAX_DEPTH = 3
 
 
-def glob_list(text: str) -> list[str]:
-    """Comma-separated globs, e.g. `access.log*, other*.log`."""
-    return [part.strip() for part in text.split(",") if part.strip()]
+def glob_list(globs: str | Sequence[str]) -> list[str]:
+    """Globs as a list; a text holds them separated by commas, `access.log*, other*.log`."""
+    parts = globs.split(",") if isinstance(globs, str) else globs
+    return [part.strip() for part in parts if part.strip()]
 
 
 def listing_glob(globs: Sequence[str]) -> str:
@@ -46,7 +47,8 @@ def listing_glob(globs: Sequence[str]) -> str:
             elif char in "*?":
                 out += char
             elif char.lower() != char.upper():
-                out += f"[{char.lower()}{char.upper()}]"
+                cases = dict.fromkeys((char, char.lower(), char.upper()))
+                out += f"[{''.join(c for c in cases if len(c) == 1)}]"
             else:
                 out += f"\\{char}" if char in "[]{},\\" else char
             i += 1
@@ -83,23 +85,23 @@ def plain_lines(files: DataFrame, fmt: LogFormat) -> DataFrame:
 
 
 def read_plain(
-    spark: SparkSession, folder: str, fmt: LogFormat, globs: Sequence[str] | None = None
+    spark: SparkSession, folder: str, fmt: LogFormat, globs: str | Sequence[str] | None = None
 ) -> DataFrame:
     """Lines of the matching files that are not archives."""
-    files = _load(spark, folder, "text", globs or fmt.globs)
+    files = _load(spark, folder, "text", glob_list(globs or fmt.globs))
     if files is None:
         return spark.createDataFrame([], schemas.RAW_LINES)
     return plain_lines(files, fmt)
 
 
 def list_plain(
-    spark: SparkSession, folder: str, fmt: LogFormat, globs: Sequence[str] | None = None
+    spark: SparkSession, folder: str, fmt: LogFormat, globs: str | Sequence[str] | None = None
 ) -> DataFrame:
     """The files `read_plain` reads (`file_path`, `file_source`), also those without a line.
 
     Spark's listing leaves out files of zero bytes.
     """
-    files = _load(spark, folder, "binaryFile", globs or fmt.globs)
+    files = _load(spark, folder, "binaryFile", glob_list(globs or fmt.globs))
     if files is None:
         return spark.createDataFrame([], "file_path string, file_source string")
     name = F.col("_metadata.file_name")
@@ -110,7 +112,7 @@ def list_plain(
 
 
 def read_archived(
-    spark: SparkSession, folder: str, fmt: LogFormat, globs: Sequence[str] | None = None,
+    spark: SparkSession, folder: str, fmt: LogFormat, globs: str | Sequence[str] | None = None,
     max_depth: int = MAX_DEPTH,
 ) -> DataFrame:
     """Lines of the matching members of the matching archives, nested ones included.
@@ -120,7 +122,7 @@ def read_archived(
     """
     if not 1 <= max_depth <= 10:
         raise ValueError("max_depth must be between 1 and 10")
-    globs = list(globs or fmt.globs)
+    globs = glob_list(globs or fmt.globs)
     files = _load(spark, folder, "binaryFile", globs)
     if files is None:
         return spark.createDataFrame([], schemas.RAW_LINES)
@@ -140,7 +142,7 @@ def read_archived(
 
 
 def read_logs(
-    spark: SparkSession, folder: str, fmt: LogFormat, globs: Sequence[str] | None = None,
+    spark: SparkSession, folder: str, fmt: LogFormat, globs: str | Sequence[str] | None = None,
     max_depth: int = MAX_DEPTH,
 ) -> DataFrame:
     """Every line of a format below a folder, from plain files and archives alike."""

@@ -6,6 +6,7 @@ with the batch ingest.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,32 +14,34 @@ from pyspark.sql.streaming import StreamingQuery
 
 from weblens.formats import FORMATS, LogFormat
 from weblens.plans.ingest import LogStore
-from weblens.sources.discover import listed, plain_lines
+from weblens.sources.discover import glob_list, listed, plain_lines
 
 
 def stream_lines(
-    spark: SparkSession, folder: str, fmt: LogFormat, globs: Sequence[str] | None = None,
+    spark: SparkSession, folder: str, fmt: LogFormat, globs: str | Sequence[str] | None = None,
     files_per_batch: int = 1000,
 ) -> DataFrame:
     """Lines of the plain files of a folder as a stream, in the shape of `schemas.RAW_LINES`."""
     reader = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch)
-    return plain_lines(listed(reader, globs or fmt.globs).load(folder), fmt)
+    return plain_lines(listed(reader, glob_list(globs or fmt.globs)).load(folder), fmt)
 
 
 def ingest_new_files(
     store: LogStore, folder: str, fmt: LogFormat | str, checkpoint: str,
-    globs: Sequence[str] | None = None,
+    globs: str | Sequence[str] | None = None,
 ) -> StreamingQuery:
     """Store all files not seen before, then stop.
 
     The checkpoint remembers the files. A batch keeps its number when it is retried, and the
-    store replaces what an earlier try of that number left, so every line is stored once.
+    store replaces what an earlier try of that number left, so every line is stored once. The
+    numbers belong to the checkpoint: another checkpoint is another origin to the store.
     """
+    origin = f"stream-{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}"
     fmt = FORMATS[fmt] if isinstance(fmt, str) else fmt
     lines = stream_lines(store.spark, folder, fmt, globs)
 
     def save(batch: DataFrame, number: int) -> None:
-        store.write(batch, fmt, ingest=number)
+        store.write(batch, fmt, origin=origin, ingest=number)
 
     return (
         lines.writeStream.foreachBatch(save)
