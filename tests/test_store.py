@@ -154,6 +154,7 @@ def test_views(spark, store):
     store.register_views()
     assert spark.sql("SELECT count(*) FROM nginx_logs").first()[0] == 1
     assert spark.sql("SELECT count(*) FROM nexus_logs").first()[0] == 0
+    assert spark.sql("SELECT log_type, count(*) FROM all_logs GROUP BY 1").collect() == [("nginx_logs", 1)]
     assert spark.sql("SELECT format, raw_line FROM log_quarantine").collect() == [("nginx", "bad")]
 
 

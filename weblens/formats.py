@@ -26,7 +26,9 @@ class LogFormat:
     `pattern` must start at the beginning of the line (`^`); text after it is ignored.
     `groups` names its capture groups in order; a group that took no part is the empty string.
     `columns` turns groups into typed columns. `checks` lists the columns that must not be
-    NULL, each with the reason a line is rejected for otherwise.
+    NULL, each with the reason a line is rejected for otherwise. A format that is to be stored
+    needs a column `timestamp`, and every other column of `schema` but `id`, `raw_log`,
+    `file_source` and `created_at`, which are added.
     """
 
     name: str

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from weblens import schemas
 from weblens.formats import FORMATS, LogFormat
-from weblens.operators import catalog, parse as p, quality, traffic
+from weblens.operators import catalog, correlate, parse as p, quality, traffic
 from weblens.session import path_kind
 from weblens.sources.discover import MAX_DEPTH, read_logs
 
@@ -236,7 +236,7 @@ class LogStore:
         return {fmt.table_name: self.table(fmt) for fmt in chosen}
 
     def register_views(self, *formats: str) -> None:
-        """Temporary views `<table>` of the good rows and `log_quarantine` of everything else."""
+        """Temporary views: `<table>` and `all_logs` of the good rows, `log_quarantine` of the rest."""
         chosen = [FORMATS[name] for name in formats or ("nginx", "nexus")]
         rejected = None
         for fmt in chosen:
@@ -244,6 +244,7 @@ class LogStore:
             part = self.quarantine(fmt)
             rejected = part if rejected is None else rejected.unionByName(part)
         rejected.createOrReplaceTempView("log_quarantine")
+        correlate.all_logs(self.tables(*formats)).createOrReplaceTempView("all_logs")
 
     def file_statistics(self, fmt: LogFormat | str, files: DataFrame | None = None) -> DataFrame:
         """See `quality.stats_by_file`."""
