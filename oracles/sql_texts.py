@@ -45,8 +45,9 @@ TEXTS: dict[str, tuple[str, dict | list | None]] = {
         "SELECT COUNT(*) AS unseen FROM nginx_logs n WHERE NOT EXISTS"
         " (SELECT 1 FROM nexus_logs x WHERE x.path = n.path)", None),
     "sql_window": (
-        "SELECT ip_address, requests, RANK() OVER (ORDER BY requests DESC) AS place FROM"
-        " (SELECT ip_address, COUNT(*) AS requests FROM nginx_logs GROUP BY ip_address) t", None),
+        "SELECT ip_address, day, requests, CAST(SUM(requests) OVER (PARTITION BY ip_address ORDER BY day)"
+        " AS BIGINT) AS so_far FROM (SELECT ip_address, CAST(timestamp AS DATE) AS day,"
+        " COUNT(*) AS requests FROM nginx_logs GROUP BY ip_address, CAST(timestamp AS DATE)) t", None),
     "sql_predicate": (
         "SELECT ip_address, method, status_code, COUNT(*) AS requests FROM nginx_logs"
         " WHERE status_code = 200 GROUP BY ip_address, method, status_code", None),

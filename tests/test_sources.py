@@ -6,6 +6,7 @@ import bz2
 import fnmatch
 import gzip
 import io
+import random
 import subprocess
 import sys
 import tarfile
@@ -263,3 +264,15 @@ def test_tasks_do_not_need_the_package(tmp_path):
         "assert 'weblens' not in sys.modules\n"
     )
     subprocess.run([sys.executable, "-c", script], cwd=tmp_path, check=True)
+
+
+def test_broken_bytes_are_replaced_as_a_text_reader_would(spark, tmp_path):
+    draw = random.Random(7)
+    pieces = [b"a", b"\xff", b"\xf0\x9f", b"\xf0\x9f\x98\x80", b"\xe2\x82", b"\xc3", b"\xc3\xa9", b"\x80",
+              b"\xed\xa0\x80", b"\xc0\xaf", b"\xf4\x90\x80\x80"]
+    lines = [b"x" + b"".join(draw.choices(pieces, k=6)) for _ in range(300)]
+    (tmp_path / "access.log").write_bytes(b"\n".join(lines))
+    (tmp_path / "access.log.gz").write_bytes(gzip.compress(b"\n".join(lines)))
+    found, _ = lines_of(spark, tmp_path)
+    expected = sorted(line.decode("utf-8", errors="replace") for line in lines)
+    assert [sorted(texts) for texts in found.values()] == [expected, expected]
