@@ -123,8 +123,8 @@ class LogStore:
 
         `fresh` replaces the table, else the lines are added. With an explicit `ingest` number
         the write replaces just what an earlier try of that number of the same origin left, so
-        a retried batch is stored once. `rebalance` evens out file sizes per day at the price of a shuffle; a
-        day holding most of the rows is split over several files.
+        a retried batch is stored once. `rebalance` evens out file sizes per day at the price
+        of a shuffle; a day holding most of the rows is split over several files.
         """
         return self._save(p.parse(lines, fmt), fmt, fresh, rebalance, origin, ingest)
 
