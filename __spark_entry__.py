@@ -22,6 +22,14 @@ from weblens.session import shared_folder
 from weblens.sources import archives
 from weblens.streaming.incremental import ingest_new_files
 
+try:
+    from weblens.llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    # The subpackage may be left out; anything else that is missing is an error.
+    if not (missing.name or "").startswith(("weblens.llm", "corpus_pipeline")):
+        raise
+    llm_queries = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 START = dt.datetime.fromisoformat(duckdb_sql.START)
@@ -276,8 +284,8 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **(llm_queries.QUERIES if llm_queries else {})}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**duckdb_sql.QUERIES, **sql_texts.QUERIES}
+    return {**duckdb_sql.QUERIES, **sql_texts.QUERIES, **(llm_queries.ORACLES if llm_queries else {})}
