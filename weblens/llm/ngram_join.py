@@ -34,6 +34,8 @@ LOWER[65:91] += 32
 TABLE_BITS, FREQUENT = 22, 12
 #: N-grams at the front of a set's order that look for a leader.
 LEADING = 8
+#: Leaders that a set may find through one n-gram.
+CLASSES = 8
 _BUFFER = 1 << 21
 
 
@@ -183,13 +185,25 @@ def _is_link(percent: int):
     return 100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))
 
 
-def _leaders(index: DataFrame) -> DataFrame:
-    """(a, b): a set and the least one with which it shares an n-gram at the front of its order."""
-    fronts = index.select("node", F.explode(F.slice("grams", 1, LEADING)).alias("gram"))
-    first = fronts.groupBy("gram").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
+def _leaders(index: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a set and one with which it shares at least half of the front of its order.
+
+    Of all sets with an n-gram the least one of each class is asked. Sets that only have a
+    passage in common share too little of their fronts; what is missed here is found through the
+    index.
+    """
+    fronts = index.select("node", "n", F.explode(F.slice("grams", 1, LEADING)).alias("gram"), F.least(
+        F.size("grams"), F.lit(LEADING)).alias("front"))
+    kind = F.pmod(F.xxhash64("node"), F.lit(CLASSES))
+    asked = F.array(*(F.min(F.when(kind == k, F.struct("node", "n"))) for k in range(CLASSES)))
+    first = fronts.groupBy("gram").agg(asked.alias("asked"), F.count("*").alias("count")).where("count > 1")
     return (
-        fronts.select(F.col("node").alias("a"), again("gram").alias("key"))
-        .join(first.select("b", again("gram").alias("key")), "key").where("a != b").select("a", "b").distinct()
+        fronts.select(F.col("node").alias("a"), "n", "front", again("gram").alias("key"))
+        .join(first.select(again("gram").alias("key"), F.explode("asked").alias("b")), "key")
+        .where(F.col("a") != F.col("b.node"))
+        .where(f"100 * n >= {percent} * b.n and 100 * b.n >= {percent} * n")
+        .groupBy("a", F.col("b.node").alias("b"), "front").agg(F.count("*").alias("met"))
+        .where("2 * met >= front").select("a", "b")
     )
 
 
@@ -293,7 +307,7 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     rows, repeated = _documents(docs, n)
     index = _index(docs, n, percent, _frequent(repeated, rows.count()))
 
-    stars = stored(_verified(docs, n, stored(_leaders(index), "leaders")).where(_is_link(percent)), "stars")
+    stars = stored(_verified(docs, n, stored(_leaders(index, percent), "leaders")).where(_is_link(percent)), "stars")
     chosen = stars.groupBy(F.col("a").alias("node")).agg(
         F.min(F.struct(_distance().alias("d"), F.col("b").alias("g"))).alias("best"))
     roots = components(stars.select("a", "b"))
@@ -309,6 +323,13 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     crossed = stored(_verified(docs, n, pairs), "crossed")
     links = crossed.where(_is_link(percent)).select("a", "b")
 
+    # What links join by now needs no further answers.
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+
+    def with_root(frame: DataFrame, key: str, name: str) -> DataFrame:
+        named = frame.join(roots.select(F.col("node").alias(key), F.col("root").alias(name)), key, "left")
+        return named.withColumn(name, F.coalesce(name, key))
+
     radius = groups.groupBy("g").agg(F.max("d").alias("r")).where("r > 0")
     slack = F.lit(1e-9 + 1 - percent / 100)
     near = (
@@ -318,6 +339,7 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
         .where(F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0)) + slack >= F.col("d"))
         .where("ra is not null or rb is not null")
     )
+    near = with_root(with_root(near, "a", "ca"), "b", "cb").where("ca != cb")
     member = groups.select("g", "node", F.col("d").alias("dm"))
     open_pairs = stored(
         near.join(member.select(F.col("g").alias("a"), F.col("node").alias("x"), F.col("dm").alias("dx")), "a", "left")
@@ -325,11 +347,9 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
         .where(F.coalesce("dx", F.lit(0.0)) + F.coalesce("dy", F.lit(0.0)) + slack >= F.col("d"))
         .select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).where("a != b").distinct(), "open")
     if not open_pairs.isEmpty():
-        links = links.union(_verified(docs, n, open_pairs).where(_is_link(percent)).select("a", "b"))
-
-    both = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)
-    final = components(both)
-    return rows.join(final, "node", "left").select(
+        links = _verified(docs, n, open_pairs).where(_is_link(percent)).select("a", "b")
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+    return rows.join(roots, "node", "left").select(
         "rid", "doc_id", "n_shingles", "node", F.coalesce("root", "node").alias("root"))
 
 
