@@ -112,11 +112,10 @@ def _index(docs: DataFrame, n: int, percent: int, table: bytes) -> DataFrame:
             for _, grams in _sets(batch.column("text"), n):
                 if not len(grams):
                     continue
-                place = grams >> np.uint64(64 - TABLE_BITS)
-                common = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
+                common = _is_common(bits, grams)
                 front = len(grams) - _needed(len(grams), percent) + 1
-                rare = grams[common == 0][:front]
-                fronts.append(rare if len(rare) == front else np.concatenate((rare, grams[common == 1][:front - len(rare)])))
+                rare = grams[~common][:front]
+                fronts.append(rare if len(rare) == front else np.concatenate((rare, grams[common][:front - len(rare)])))
                 nodes.append(_node(grams))
                 sizes.append(len(grams))
             ends = np.cumsum([0, *map(len, fronts)]).astype(np.int32)
@@ -129,15 +128,78 @@ def _index(docs: DataFrame, n: int, percent: int, table: bytes) -> DataFrame:
     return stored(fronts.groupBy("node").agg(F.first("n").alias("n"), F.first("grams").alias("grams")), "index")
 
 
+def _marked_nodes(pairs: DataFrame) -> bytes:
+    """A bit table of fixed size that lets pass all nodes of `pairs` (a, b), and a few more."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    place = F.pmod(F.shiftrightunsigned("node", 20), F.lit(1 << TABLE_BITS))
+    return bit_table(nodes, place, TABLE_BITS)
+
+
+def _is_marked(bits: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    at = (nodes.view(np.uint64) >> np.uint64(20)) % np.uint64(1 << TABLE_BITS)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _is_common(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Whether n-grams are marked in the table of frequent ones."""
+    at = grams >> np.uint64(64 - TABLE_BITS)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _plausible(pairs: DataFrame, index: DataFrame, table: bytes) -> DataFrame:
+    """`pairs` (a, b) with `least`, a bound from below for their distance, from prefixes alone.
+
+    Up to where the shorter of both prefixes ends in the common order, what is shared is known;
+    beyond, no more than what is left of either set can be.
+    """
+    wanted = _marked_nodes(pairs)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(wanted, np.uint8)
+        for batch in batches:
+            yield batch.filter(pa.array(_is_marked(bits, np.asarray(batch.column("node")))))
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(table, np.uint8)
+
+        def ordered(grams: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+            front = np.asarray(grams.values).view(np.uint64)
+            return _is_common(bits, front).astype(np.uint8), front
+
+        def up_to(common: np.ndarray, front: np.ndarray, end: tuple[int, int]) -> int:
+            rare = int(np.searchsorted(common, 1))
+            if end[0]:
+                return rare + int(np.searchsorted(front[rare:], np.uint64(end[1]), "right"))
+            return int(np.searchsorted(front[:rare], np.uint64(end[1]), "right"))
+
+        for batch in batches:
+            out = np.empty(len(batch))
+            for i, (x, y, na, nb) in enumerate(zip(*(batch.column(k) for k in ("x", "y", "na", "nb")))):
+                (cx, x), (cy, y), na, nb = ordered(x), ordered(y), na.as_py(), nb.as_py()
+                end = min((int(cx[-1]), int(x[-1])), (int(cy[-1]), int(y[-1])))
+                kx, ky = up_to(cx, x, end), up_to(cy, y, end)
+                met = np.sort(np.concatenate((x[:kx], y[:ky])))
+                most = int((met[1:] == met[:-1]).sum()) + min(na - kx, nb - ky)
+                out[i] = 1 - most / (na + nb - most)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(out)], ["a", "b", "least"])
+
+    fronts = index.mapInArrow(task, index.schema)
+    joined = (
+        pairs.join(fronts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("grams").alias("x")), "a")
+        .join(fronts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("y")), "b")
+        .select("a", "b", "na", "nb", "x", "y")
+    )
+    return joined.mapInArrow(bound, "a long, b long, least double")
+
+
 def _verified(docs: DataFrame, n: int, pairs: DataFrame) -> DataFrame:
     """`pairs` (a, b) with the size of both sets and of what they share (na, nb, shared).
 
     Sets are made again from the texts, only of nodes that occur in a pair: a bit table of fixed
     size lets pass all of these (and a few more), the joins are exact.
     """
-    width = 1 << TABLE_BITS
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
-    wanted = bit_table(nodes, F.pmod(F.shiftrightunsigned("node", 20), F.lit(width)), TABLE_BITS)
+    wanted = _marked_nodes(pairs)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(wanted, np.uint8)
@@ -146,8 +208,7 @@ def _verified(docs: DataFrame, n: int, pairs: DataFrame) -> DataFrame:
             for _, grams in _sets(batch.column("text"), n):
                 if len(grams):
                     node = _node(grams)
-                    at = ((node % 2**64) >> 20) % width
-                    if bits[at >> 3] >> (at & 7) & 1:
+                    if _is_marked(bits, np.array([node]))[0]:
                         nodes.append(node)
                         sets.append(grams.tobytes())
             yield pa.RecordBatch.from_arrays(
@@ -305,7 +366,8 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     `node` and `root` are NULL where there is no n-gram.
     """
     rows, repeated = _documents(docs, n)
-    index = _index(docs, n, percent, _frequent(repeated, rows.count()))
+    table = _frequent(repeated, rows.count())
+    index = _index(docs, n, percent, table)
 
     stars = stored(_verified(docs, n, stored(_leaders(index, percent), "leaders")).where(_is_link(percent)), "stars")
     chosen = stars.groupBy(F.col("a").alias("node")).agg(
@@ -319,7 +381,20 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     labelled = index.join(groups, "node", "left").select(
         "grams", "n", F.coalesce("g", "node").alias("g"), F.coalesce("c", "node").alias("c"))
 
+    radius = groups.groupBy("g").agg(F.max("d").alias("r")).where("r > 0")
+    slack = F.lit(1e-9 + 1 - percent / 100)
+
+    def within_reach(frame: DataFrame, distance: str) -> DataFrame:
+        """Pairs of leaders near enough for a link between members of their blocks."""
+        reach = slack + F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0))
+        return (
+            frame.join(radius.select(F.col("g").alias("a"), F.col("r").alias("ra")), "a", "left")
+            .join(radius.select(F.col("g").alias("b"), F.col("r").alias("rb")), "b", "left")
+            .where(F.col(distance) <= reach)
+        )
+
     pairs = stored(_candidates(_entries(labelled), percent), "candidates")
+    pairs = stored(within_reach(_plausible(pairs, index, table), "least").select("a", "b"), "plausible")
     crossed = stored(_verified(docs, n, pairs), "crossed")
     links = crossed.where(_is_link(percent)).select("a", "b")
 
@@ -330,15 +405,9 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
         named = frame.join(roots.select(F.col("node").alias(key), F.col("root").alias(name)), key, "left")
         return named.withColumn(name, F.coalesce(name, key))
 
-    radius = groups.groupBy("g").agg(F.max("d").alias("r")).where("r > 0")
-    slack = F.lit(1e-9 + 1 - percent / 100)
-    near = (
-        crossed.where(~_is_link(percent)).select("a", "b", _distance().alias("d"))
-        .join(radius.select(F.col("g").alias("a"), F.col("r").alias("ra")), "a", "left")
-        .join(radius.select(F.col("g").alias("b"), F.col("r").alias("rb")), "b", "left")
-        .where(F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0)) + slack >= F.col("d"))
-        .where("ra is not null or rb is not null")
-    )
+    near = within_reach(
+        crossed.where(~_is_link(percent)).select("a", "b", _distance().alias("d")), "d"
+    ).where("ra is not null or rb is not null")
     near = with_root(with_root(near, "a", "ca"), "b", "cb").where("ca != cb")
     member = groups.select("g", "node", F.col("d").alias("dm"))
     open_pairs = stored(
