@@ -4,23 +4,45 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from weblens.llm import ngram_join
+from weblens.llm import (
+    decontaminate, language, line_dedup, mixing, ngram_join, prefix_tokens, quality, sharding, url_filter, warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _over(operator: Callable[..., DataFrame], *names: str, **options) -> Query:
+    """A query that applies an operator to whole tables."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return operator(*(spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in names), **options)
+    return run
 
 
-def _ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.linked_documents(_table(spark, sf_dir, "documents"), n=4, percent=85)
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return prefix_tokens.counted_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Query] = {
-    "op6_ngram_jaccard_join": _ngram_join,
+    "op1_line_dedup": _over(line_dedup.deduplicated_documents, "documents"),
+    "op2_sharding": _over(sharding.sharded_documents, "documents", shards=16),
+    "op3_warc": _over(warc.archived_pages, "pages"),
+    "op4_url_filter": _over(url_filter.judged_pages, "pages"),
+    "op5_source_mixing": _over(mixing.mixed_documents, "documents"),
+    "op6_ngram_jaccard_join": _over(ngram_join.linked_documents, "documents", n=4, percent=85),
+    "op7_language_id": _over(language.identified_documents, "documents"),
+    "op8_quality_rules": _over(quality.judged_documents, "documents", "labels"),
+    "op9_benchmark_decontamination": _over(decontaminate.leaks, "documents", "benchmark"),
+    "op10_token_counts": _tokens,
+    "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_url_filter": url_filter.SQL,
+    **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
+}
