@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
 from weblens.llm.graph import components
@@ -28,14 +29,16 @@ from weblens.llm.text import Block, blocks, distinct, mix, shingle_sets, signed
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-#: Bits of the table that marks frequent n-grams. An n-gram counts as frequent in at least one
-#: of 2**FREQUENT documents, so their number is bounded by that times the mean size of a set.
-#: Which n-grams are marked decides the order in the index and so the speed, never the result.
-TABLE_BITS, FREQUENT = 22, 12
-#: N-grams at the front of a set's order that look for a leader.
+#: How often n-grams occur is counted in 2**SLOT_BITS slots, dealt out in 2**PART_BITS parts. An
+#: n-gram is marked as common if its slot holds COMMON more than slots hold by chance. The marks
+#: decide the order in the index and so the speed, never the result.
+SLOT_BITS, PART_BITS, COMMON = 27, 8, 8
+#: Bits of the table of wanted sets.
+TABLE_BITS = 22
+#: N-grams with the least hashes of a set, which look for a leader.
 LEADING = 8
 #: Leaders that a set may find through one n-gram.
-CLASSES = 8
+CLASSES = 4
 _BUFFER = 1 << 21
 
 
@@ -56,21 +59,37 @@ def _needed(size: int, percent: int) -> int:
     return (percent * size + 99) // 100
 
 
+def _packed(slots: np.ndarray) -> bytes:
+    """Ascending numbers as steps of a byte each; 255 is a step that goes on in the next byte."""
+    steps = np.diff(slots, prepend=slots.dtype.type(0)).astype(np.int64)
+    more = steps // 255
+    out = np.full(len(steps) + int(more.sum()), 255, np.uint8)
+    out[np.cumsum(more + 1) - 1] = steps - 255 * more
+    return out.tobytes()
+
+
+def _unpacked(steps: bytes | pa.Buffer) -> np.ndarray:
+    read = np.frombuffer(steps, np.uint8)
+    return np.cumsum(read, dtype=np.int64)[read != 255]
+
+
 def _documents(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """(rid, doc_id, n_shingles, node) per row, and (gram, n) of n-grams that repeat in a task."""
+    """(rid, doc_id, n_shingles, node) per row, and (part, slots): which slots n-grams fall in."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
         held = 0
+        names = ["kind", "rid", "doc_id", "n", "node", "slots"]
 
-        def repeated() -> pa.RecordBatch:
-            grams, counts = np.unique(np.concatenate(kept), return_counts=True)
+        def slots() -> pa.RecordBatch:
+            found = np.sort((np.concatenate(kept) >> np.uint64(64 - SLOT_BITS)).astype(np.uint32))
             kept.clear()
-            more = counts > 1
-            size = int(more.sum())
-            none = pa.nulls(size, pa.int64())
+            width = 1 << (SLOT_BITS - PART_BITS)
+            at = np.searchsorted(found, np.arange((1 << PART_BITS) + 1, dtype=np.int64) * width)
+            parts = [k for k in range(1 << PART_BITS) if at[k] < at[k + 1]]
+            made = [_packed(found[at[k]:at[k + 1]] - np.uint32(k * width)) for k in parts]
+            none = pa.nulls(len(parts), pa.int64())
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(size, np.int32)), none, none, pa.array(counts[more].astype(np.int64)),
-                 pa.array(signed(grams[more]))], ["kind", "rid", "doc_id", "n", "node"])
+                [pa.array(np.ones(len(parts), np.int32)), none, none, pa.array(parts, pa.int64()), none, pa.array(made, pa.binary())], names)
 
         for batch in batches:
             sizes = np.zeros(len(batch), np.int64)
@@ -82,50 +101,87 @@ def _documents(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
                     kept.append(grams)
                     held += len(grams)
                     if held >= _BUFFER:
-                        yield repeated()
+                        yield slots()
                         held = 0
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(len(batch), np.int32)), batch.column("rid"), batch.column("doc_id"),
-                 pa.array(sizes), pa.array(nodes, pa.int64())], ["kind", "rid", "doc_id", "n", "node"])
+                 pa.array(sizes), pa.array(nodes, pa.int64()), pa.nulls(len(batch), pa.binary())], names)
         if kept:
-            yield repeated()
+            yield slots()
 
     given = docs.select(row_hash(docs).alias("rid"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    both = stored(given.mapInArrow(task, "kind int, rid long, doc_id long, n long, node long"), "sets", "kind")
+    both = stored(
+        given.mapInArrow(task, "kind int, rid long, doc_id long, n long, node long, slots binary"), "sets", "kind")
     rows = both.where("kind = 0").select("rid", "doc_id", F.col("n").alias("n_shingles"), "node")
-    return rows, both.where("kind = 1").select(F.col("node").alias("gram"), "n")
+    return rows, both.where("kind = 1").select(F.col("n").alias("part"), "slots")
 
 
-def _frequent(repeated: DataFrame, n_documents: int) -> bytes:
-    """The table of frequent n-grams, 2**TABLE_BITS bits."""
-    least = max(4, n_documents >> FREQUENT)
-    known = repeated.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return bit_table(known, F.shiftrightunsigned("gram", 64 - TABLE_BITS), TABLE_BITS)
+def _common(slots: DataFrame, total: int) -> bytes:
+    """The table of common n-grams, 2**SLOT_BITS bits.
 
+    Of `total` n-grams some fall in one slot by chance; what exceeds that mean and its spread by
+    COMMON marks a slot. Each part is counted by one task in an array of fixed size.
+    """
+    mean = total / (1 << SLOT_BITS)
+    least = int(mean + 4 * mean ** 0.5 + COMMON)
+    width = 1 << (SLOT_BITS - PART_BITS)
 
-def _index(docs: DataFrame, n: int, percent: int, table: bytes) -> DataFrame:
-    """(node, n, grams): the prefix of each set, rare n-grams first."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(table, np.uint8)
+        counts: dict[int, np.ndarray] = {}
+        now = -1
+
+        def finished(part: int) -> pa.RecordBatch:
+            marks = np.packbits(counts.pop(part) >= least, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([marks], pa.binary())], ["part", "marks"])
+
+        for batch in batches:
+            for part, found in zip(batch.column("part").to_pylist(), batch.column("slots")):
+                if part != now and now in counts:
+                    yield finished(now)
+                now = part
+                each = counts.setdefault(part, np.zeros(width, np.int64))
+                np.add.at(each, _unpacked(found.as_buffer()), 1)
+        if now in counts:
+            yield finished(now)
+
+    counted = slots.repartition("part").sortWithinPartitions("part").mapInArrow(task, "part long, marks binary")
+    table = bytearray(1 << (SLOT_BITS - 3))
+    for row in counted.collect():  # 2**PART_BITS rows of fixed size
+        table[row.part * width // 8:(row.part + 1) * width // 8] = row.marks
+    return bytes(table)
+
+
+def _index(docs: DataFrame, n: int, percent: int, table: Broadcast) -> DataFrame:
+    """(node, n, rare, least, grams): of each set how many n-grams are rare, the n-grams with the
+    least hashes, and the prefix, rare n-grams first."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(table.value, np.uint8)
         for batch in batches:
-            nodes, sizes, fronts = [], [], []
+            nodes, sizes, rares, leasts, fronts = [], [], [], [], []
             for _, grams in _sets(batch.column("text"), n):
                 if not len(grams):
                     continue
                 common = _is_common(bits, grams)
                 front = len(grams) - _needed(len(grams), percent) + 1
+                rares.append(int((~common).sum()))
+                leasts.append(signed(grams[:LEADING]))
                 rare = grams[~common][:front]
                 fronts.append(rare if len(rare) == front else np.concatenate((rare, grams[common][:front - len(rare)])))
                 nodes.append(_node(grams))
                 sizes.append(len(grams))
-            ends = np.cumsum([0, *map(len, fronts)]).astype(np.int32)
-            flat = signed(np.concatenate(fronts)) if fronts else np.empty(0, np.int64)
+
+            def lists(parts: list[np.ndarray]) -> pa.Array:
+                ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+                flat = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
+                return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "n", "grams"])
+                [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rares, pa.int64()), lists(leasts), lists(fronts)],
+                ["node", "n", "rare", "least", "grams"])
 
-    fronts = docs.select(F.col("text").cast("string")).mapInArrow(task, "node long, n long, grams array<long>")
-    return stored(fronts.groupBy("node").agg(F.first("n").alias("n"), F.first("grams").alias("grams")), "index")
+    fronts = docs.select(F.col("text").cast("string")).mapInArrow(
+        task, "node long, n long, rare long, least array<long>, grams array<long>")
+    return stored(fronts.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "rare", "least", "grams"))), "index")
 
 
 def _marked_nodes(pairs: DataFrame) -> bytes:
@@ -142,11 +198,11 @@ def _is_marked(bits: np.ndarray, nodes: np.ndarray) -> np.ndarray:
 
 def _is_common(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
     """Whether n-grams are marked in the table of frequent ones."""
-    at = grams >> np.uint64(64 - TABLE_BITS)
+    at = grams >> np.uint64(64 - SLOT_BITS)
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _plausible(pairs: DataFrame, index: DataFrame, table: bytes) -> DataFrame:
+def _plausible(pairs: DataFrame, index: DataFrame, table: Broadcast) -> DataFrame:
     """`pairs` (a, b) with `least`, a bound from below for their distance, from prefixes alone.
 
     Up to where the shorter of both prefixes ends in the common order, what is shared is known;
@@ -160,7 +216,7 @@ def _plausible(pairs: DataFrame, index: DataFrame, table: bytes) -> DataFrame:
             yield batch.filter(pa.array(_is_marked(bits, np.asarray(batch.column("node")))))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(table, np.uint8)
+        bits = np.frombuffer(table.value, np.uint8)
 
         def ordered(grams: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
             front = np.asarray(grams.values).view(np.uint64)
@@ -184,7 +240,8 @@ def _plausible(pairs: DataFrame, index: DataFrame, table: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a"), batch.column("b"), pa.array(out)], ["a", "b", "least"])
 
-    fronts = index.mapInArrow(task, index.schema)
+    fronts = index.select("node", "n", "grams")
+    fronts = fronts.mapInArrow(task, fronts.schema)
     joined = (
         pairs.join(fronts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("grams").alias("x")), "a")
         .join(fronts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("y")), "b")
@@ -247,16 +304,15 @@ def _is_link(percent: int):
 
 
 def _leaders(index: DataFrame, percent: int) -> DataFrame:
-    """(a, b): a set and one with which it shares at least half of the front of its order.
+    """(a, b): a set and one with which it shares at least half of its least n-grams.
 
-    Of all sets with an n-gram the least one of each class is asked. Sets that only have a
-    passage in common share too little of their fronts; what is missed here is found through the
-    index.
+    Of all sets with an n-gram those are asked that have the fewest rare n-grams, one of each
+    class: the original of a group of edited copies has nothing that the copies lack. Sets that
+    only have a passage in common share too little; what is missed is found through the index.
     """
-    fronts = index.select("node", "n", F.explode(F.slice("grams", 1, LEADING)).alias("gram"), F.least(
-        F.size("grams"), F.lit(LEADING)).alias("front"))
+    fronts = index.select("node", "n", "rare", F.explode("least").alias("gram"), F.size("least").alias("front"))
     kind = F.pmod(F.xxhash64("node"), F.lit(CLASSES))
-    asked = F.array(*(F.min(F.when(kind == k, F.struct("node", "n"))) for k in range(CLASSES)))
+    asked = F.array(*(F.min(F.when(kind == k, F.struct("rare", "node", "n"))) for k in range(CLASSES)))
     first = fronts.groupBy("gram").agg(asked.alias("asked"), F.count("*").alias("count")).where("count > 1")
     return (
         fronts.select(F.col("node").alias("a"), "n", "front", again("gram").alias("key"))
@@ -365,8 +421,9 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     are joined by a path of links. `node` stands for a set, `rid` for a row's content. Both
     `node` and `root` are NULL where there is no n-gram.
     """
-    rows, repeated = _documents(docs, n)
-    table = _frequent(repeated, rows.count())
+    rows, slots = _documents(docs, n)
+    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    table = docs.sparkSession.sparkContext.broadcast(_common(slots, total))
     index = _index(docs, n, percent, table)
 
     stars = stored(_verified(docs, n, stored(_leaders(index, percent), "leaders")).where(_is_link(percent)), "stars")
@@ -409,14 +466,15 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
         crossed.where(~_is_link(percent)).select("a", "b", _distance().alias("d")), "d"
     ).where("ra is not null or rb is not null")
     near = with_root(with_root(near, "a", "ca"), "b", "cb").where("ca != cb")
-    member = groups.select("g", "node", F.col("d").alias("dm"))
-    open_pairs = stored(
-        near.join(member.select(F.col("g").alias("a"), F.col("node").alias("x"), F.col("dm").alias("dx")), "a", "left")
-        .join(member.select(F.col("g").alias("b"), F.col("node").alias("y"), F.col("dm").alias("dy")), "b", "left")
-        .where(F.coalesce("dx", F.lit(0.0)) + F.coalesce("dy", F.lit(0.0)) + slack >= F.col("d"))
-        .select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).where("a != b").distinct(), "open")
-    if not open_pairs.isEmpty():
-        links = _verified(docs, n, open_pairs).where(_is_link(percent)).select("a", "b")
+    # Members of blocks that are near each other but apart are looked up one by one.
+    blocks_open = stored(near.select(F.explode(F.array("a", "b")).alias("g")).distinct(), "open")
+    if not blocks_open.isEmpty():
+        nodes = groups.join(blocks_open, "g").select("node").union(blocks_open).distinct()
+        single = with_root(index.join(nodes, "node", "left_semi"), "node", "c").select(
+            "grams", "n", F.col("node").alias("g"), "c")
+        pairs = stored(_candidates(_entries(single), percent), "members")
+        pairs = stored(_plausible(pairs, index, table).where(F.col("least") <= slack).select("a", "b"), "plausible-members")
+        links = _verified(docs, n, pairs).where(_is_link(percent)).select("a", "b")
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
     return rows.join(roots, "node", "left").select(
         "rid", "doc_id", "n_shingles", "node", F.coalesce("root", "node").alias("root"))
