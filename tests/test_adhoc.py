@@ -107,3 +107,17 @@ def test_values(spark):
     assert [r.path for r in placed.collect()] == ["/p1"]
     hostile = adhoc.query(spark, "SELECT path FROM nginx_logs WHERE method = ?", ["x' OR '1'='1"])
     assert hostile.count() == 0
+
+
+def test_names_of_forbidden_classes_may_be_text(spark):
+    found = adhoc.execute(spark, "SELECT 'TryReflect' AS a, 'ScriptTransformation' AS b")
+    assert found["row_count"] == 1 and not found["truncated"]
+    with pytest.raises(adhoc.QueryRefused):
+        adhoc.query(spark, "SELECT * FROM (SELECT reflect('java.lang.Math', 'random') AS r)")
+
+
+def test_a_cut_result_says_so(spark):
+    spark.range(20).createOrReplaceTempView("twenty")
+    assert adhoc.execute(spark, "SELECT * FROM twenty", limit=19)["truncated"]
+    assert not adhoc.execute(spark, "SELECT * FROM twenty", limit=20)["truncated"]
+    assert adhoc.execute(spark, "SELECT * FROM twenty", limit=5000, most=7)["row_count"] == 7

@@ -160,7 +160,7 @@ def test_nested_zip_and_gzip_in_tar(spark, tmp_path):
 
 @pytest.mark.parametrize("name,safe", [
     ("a/b.log", True), (r"dir\\f", True), ("../x", False), ("/abs", False), ("a/../b", False),
-    ("a..b", False), (r"C:\x", False), (r"dir\f", False),
+    ("a..b", True), ("c:x", False), (r"C:\x", False), (r"dir\f", False),
 ])
 def test_safe_names(name, safe):
     assert archives.is_safe(name) is safe
@@ -196,8 +196,9 @@ def test_damaged_archives_give_nothing_and_stop_nobody(spark, tmp_path):
 def test_a_later_member_of_the_same_name_wins(spark, tmp_path):
     (tmp_path / "access.log.tar").write_bytes(
         tar_bytes([("access.log", b"old\n"), ("./access.log", b"new\n")]))
-    found, _ = lines_of(spark, tmp_path)
+    found, problems = lines_of(spark, tmp_path)
     assert list(found.values()) == [["new"]]
+    assert list(problems.values()) == ["Replaced by a later member of the same name"]
 
 
 def test_links_in_a_tar_stand_for_their_target(spark, tmp_path):
@@ -214,6 +215,35 @@ def test_links_in_a_tar_stand_for_their_target(spark, tmp_path):
     assert sorted(found.values()) == [["x"], ["x"]] and problems == {}
 
 
+def test_a_link_without_a_file_costs_no_other_member(spark, tmp_path):
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as tar:
+        for name, target in (("access.log.gone", "nowhere"), ("access.log.dir", "logs"), ("access.log.loop", "access.log.loop")):
+            link = tarfile.TarInfo(name)
+            link.type, link.linkname = tarfile.SYMTYPE, target
+            tar.addfile(link)
+        folder = tarfile.TarInfo("logs")
+        folder.type = tarfile.DIRTYPE
+        tar.addfile(folder)
+        info = tarfile.TarInfo("logs/access.log")
+        info.size = 2
+        tar.addfile(info, io.BytesIO(b"x\n"))
+    (tmp_path / "access.log.tar").write_bytes(out.getvalue())
+    found, problems = lines_of(spark, tmp_path)
+    assert list(found.values()) == [["x"]]
+    assert len(problems) == 3 and all(p.startswith("Link without a file") for p in problems.values())
+
+
+def test_a_failing_stream_is_no_damaged_archive():
+    class Failing(io.BytesIO):
+        def read(self, size=-1):
+            raise OSError("connection lost")
+
+    stream = io.BufferedReader(archives.Watched(Failing(b"x" * 100)))
+    with pytest.raises(archives.StorageFailure):
+        list(archives._walk(stream, ("access.log.gz",), ["access.log*"], 3))
+
+
 def test_blocks_join_to_the_whole_text(monkeypatch):
     text = b"a\r\nbb\r\rccc\n" * 40 + b"end\r"
     unified = text.replace(b"\r\n", b"\n").replace(b"\r", b"\n")

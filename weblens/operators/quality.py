@@ -51,20 +51,26 @@ def stats_by_format(
     """Files, lines, entries, errors and success rate per format, and the total (`format` NULL).
 
     Each format is counted per file first, so the roll-up runs over one row per file. `files`
-    may name all files of a format, as for `stats_by_file`.
+    may name all files of a format, as for `stats_by_file`. A format without lines is a row of
+    zeros.
     """
     per_file = [
         stats_by_file(frame, (files or {}).get(name))
         .select(F.lit(name).alias("format"), "entries", "parse_errors")
         for name, frame in parsed.items()
     ]
-    files = reduce(DataFrame.unionByName, per_file)
-    totals = files.rollup("format").agg(
-        F.count("*").alias("files"),
+    # A row of no file per format: one without files or lines has totals too, of zero.
+    none = [
+        frame.sparkSession.range(1).select(
+            F.lit(name).alias("format"), F.lit(0).alias("entries"), F.lit(0).alias("parse_errors"), F.lit(0).alias("is_file"))
+        for name, frame in parsed.items()
+    ]
+    counted = reduce(DataFrame.unionByName, [*(f.withColumn("is_file", F.lit(1)) for f in per_file), *none])
+    totals = counted.rollup("format").agg(
+        F.sum("is_file").alias("files"),
         F.sum("entries").alias("entries"),
         F.sum("parse_errors").alias("parse_errors"),
     )
-    # rollup gives no grand total for no rows at all; the sums are never NULL otherwise.
     return _with_rate(totals)
 
 

@@ -251,10 +251,10 @@ class LogStore:
         fmt = FORMATS[fmt] if isinstance(fmt, str) else fmt
         return quality.stats_by_file(self._stored(fmt), files)
 
-    def statistics(self, *formats: str) -> DataFrame:
+    def statistics(self, *formats: str, files: dict[str, DataFrame] | None = None) -> DataFrame:
         """See `quality.stats_by_format`; nginx and Nexus if no format is named."""
         chosen = [FORMATS[name] for name in formats or ("nginx", "nexus")]
-        return quality.stats_by_format({fmt.name: self._stored(fmt) for fmt in chosen})
+        return quality.stats_by_format({fmt.name: self._stored(fmt) for fmt in chosen}, files)
 
     def preview(self, fmt: LogFormat | str, limit: int = 10) -> DataFrame:
         """The newest rows, read in two passes; see `catalog.newest`."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,9 +36,15 @@ def session(master: str | None = None, app: str = "weblens", **conf: str) -> Spa
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path under the cluster's shared folder (`spark.checkpoint.dir`).
 
-    Only where that setting is absent, as in local tests, a temporary folder stands in for it.
+    Only where that setting is absent and Spark runs in this process, a temporary folder stands in
+    for it; executors on other machines would not see that one.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weblens-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder for master {master!r}")
+        root = tempfile.mkdtemp(prefix="weblens-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -5,6 +5,10 @@ gets whole archives (compressed streams cannot be split) but holds neither a mem
 archive unpacked: members are read as streams and leave as blocks of about `BLOCK_BYTES`,
 which the JVM cuts into lines. No line is ever a Python object.
 
+A link in a tar stands for the member it names. One that names no file, and a member that a later
+one of the same name replaces, is one row with its reason; the rest is read. Only what is wrong
+with the bytes of an archive makes it unreadable: if they can not be read, the task fails.
+
 An archive counts only as a whole. It is read through once to see that it is sound, and again
 to hand out its lines, so that a truncated file contributes nothing instead of a part.
 """
@@ -15,9 +19,13 @@ import fnmatch
 import gzip
 import io
 import itertools
+import lzma
 import posixpath
+import re
+import struct
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from typing import BinaryIO
@@ -54,17 +62,81 @@ def is_archive(name: Column) -> Column:
     return reduce(Column.__or__, (F.endswith(end, F.lit(ending)) for ending in ARCHIVE_ENDINGS))
 
 
+class StorageFailure(Exception):
+    """The bytes of an archive could not be read from where it lies."""
+
+
+class NoTarget(Exception):
+    """A link in an archive names no file of it."""
+
+
+#: What damaged bytes raise while they are unpacked. OSError is among them, as gzip and bz2 raise
+#: it; errors of the storage never get here as such, see `Watched`.
+FORMAT_ERRORS = (
+    tarfile.TarError, zipfile.BadZipFile, zlib.error, lzma.LZMAError, EOFError, OSError,
+    NotImplementedError, RuntimeError, ValueError, struct.error,
+)
+
+
+class Watched(io.RawIOBase):
+    """A stream whose own failures can be told from damage found in its bytes."""
+
+    def __init__(self, inner: BinaryIO) -> None:
+        self._inner = inner
+
+    def _tried(self, action: Callable[[], int | bytes]) -> int | bytes:
+        try:
+            return action()
+        except (OSError, ValueError) as problem:
+            raise StorageFailure(str(problem)) from problem
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def readinto(self, target: memoryview) -> int:
+        data = self._tried(lambda: self._inner.read(len(target)))
+        target[:len(data)] = data
+        return len(data)
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        return self._tried(lambda: self._inner.seek(offset, whence))
+
+    def tell(self) -> int:
+        return self._tried(self._inner.tell)
+
+
 def is_safe(name: str) -> bool:
-    """Whether a member name stays below the archive: relative, no `..`, no lone backslash."""
-    lone_backslash = "\\" in name.replace("\\\\", "")
-    return not (name.startswith("/") or ".." in name or lone_backslash)
+    """Whether a member name stays below the archive.
+
+    Either slash separates the name's components: none may lead up, the first may be neither a
+    root nor a drive. A single backslash, which some systems read as an escape, is refused.
+    """
+    components = re.split(r"[/\\]", name)
+    rooted = components[0] == "" or re.fullmatch(r"[A-Za-z]:.*", components[0])
+    single_backslash = re.search(r"(?<!\\)\\(?!\\)", name)
+    return not (rooted or single_backslash or ".." in components)
+
+
+def _link_target(tar: tarfile.TarFile, link: tarfile.TarInfo) -> BinaryIO:
+    try:
+        content = tar.extractfile(link)
+    except (KeyError, RecursionError):
+        content = None
+    if content is None:
+        raise NoTarget(f"Link without a file: {link.linkname}")
+    return content
 
 
 def _tar_members(stream: BinaryIO) -> Iterator[Member]:
     with tarfile.open(fileobj=stream, mode="r:*") as tar:
         for info in tar:
-            if info.isfile() or info.islnk() or info.issym():
+            if info.isfile():
                 yield info.name, lambda info=info: tar.extractfile(info)
+            elif info.islnk() or info.issym():
+                yield info.name, lambda info=info: _link_target(tar, info)
 
 
 def _zip_members(stream: BinaryIO) -> Iterator[Member]:
@@ -98,9 +170,12 @@ def _last_positions(stream: BinaryIO, name: str) -> dict[str, int]:
     for position, (member, open_member) in enumerate(_members(stream, name)):
         if not is_safe(member):
             continue
-        with open_member() as content:
-            while content.read(1 << 20):
-                pass
+        try:
+            with open_member() as content:
+                while content.read(1 << 20):
+                    pass
+        except NoTarget:
+            continue
         last[posixpath.normpath(member)] = position
     return last
 
@@ -132,7 +207,7 @@ def _walk(
         return
     try:
         last = _last_positions(stream, chain[-1])
-    except Exception as problem:
+    except FORMAT_ERRORS as problem:
         yield chain, None, f"Unreadable archive: {problem}"
         return
     for position, (member, open_member) in enumerate(_members(stream, chain[-1])):
@@ -142,9 +217,17 @@ def _walk(
             continue
         base = posixpath.basename(member).lower()
         wanted = any(fnmatch.fnmatchcase(base, glob.lower()) for glob in globs)
-        if not wanted or last[posixpath.normpath(member)] != position:
+        if not wanted:
             continue
-        with open_member() as content:
+        try:
+            opened = open_member()
+        except NoTarget as problem:
+            yield inner, None, str(problem)
+            continue
+        if last[posixpath.normpath(member)] != position:
+            yield inner, None, "Replaced by a later member of the same name"
+            continue
+        with opened as content:
             if base.endswith(ARCHIVE_ENDINGS):
                 yield from _walk(content, inner, globs, depth_left - 1)
             else:
@@ -181,13 +264,8 @@ def expand(files: DataFrame, log_type: str, globs: Sequence[str], max_depth: int
             arrays = [pa.array(v, field.type) for v, field in zip(values, _BLOCKS)]
             return pa.RecordBatch.from_arrays(arrays, schema=_BLOCKS)
 
-        try:
-            stream = io.BytesIO(content.as_py()) if content.is_valid else _open_path(path)
-        except Exception as problem:
-            yield row((name,), None, f"Unreadable archive: {problem}")
-            return
-        with stream:
-            for found in _walk(stream, (name,), globs, max_depth):
+        with io.BytesIO(content.as_py()) if content.is_valid else _open_path(path) as raw:
+            for found in _walk(io.BufferedReader(Watched(raw)), (name,), globs, max_depth):
                 yield row(*found)
 
     return files.mapInArrow(task, _SPARK_BLOCKS)
