@@ -214,10 +214,14 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row in batch.select(["met", "lines", "words", "numbers", "earlier"]).to_pylist():
-                found = common_blocks(
-                    row["lines"], row["words"], row["earlier"], [(r["first"], r["stop"]) for r in row["met"]], least_words)
-                out.append(sorted(row["numbers"][i] for i in found))
+            given = batch.select(["met", "lines", "words", "numbers", "earlier"])
+            # A few rows at a time: as Python objects a whole batch takes many times its own memory.
+            for at in range(0, given.num_rows, 16):
+                for row in given.slice(at, 16).to_pylist():
+                    found = common_blocks(
+                        row["lines"], row["words"], row["earlier"], [(r["first"], r["stop"]) for r in row["met"]],
+                        least_words)
+                    out.append(sorted(row["numbers"][i] for i in found))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc"), batch.column("partner_id"), pa.array(out, pa.list_(pa.int32()))],
                 ["doc", "partner_id", "numbers"])
@@ -235,7 +239,8 @@ def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     given = [c for c in docs.columns if c not in ("deleted_lines", "partners")]
     cuts = stored(repeated_lines(docs, least_words), "cuts")
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in given)).alias("row"), _identity().alias("doc"))
-    joined = keyed.join(cuts, "doc", "left")
+    # Dealt out at every size: a table of cuts grows with the documents and is never broadcast.
+    joined = keyed.join(cuts.hint("merge"), "doc", "left")
     kept = F.filter(F.split("row.text", "\n"), lambda line, i: ~F.array_contains(F.col("numbers"), i))
     text = F.when(F.col("numbers").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
     return joined.select(
