@@ -6,6 +6,7 @@ import contextlib
 import datetime as dt
 import gzip
 import io
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -198,6 +199,50 @@ def test_streaming_ingest_takes_each_file_once(spark, store, tmp_path):
     assert len(set(ids)) == 3
 
 
+def test_streaming_ingest_reads_archives(spark, store, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    checkpoint = str(tmp_path / "checkpoint")
+    (logs / "access.log").write_text(good(1) + "\n")
+    (logs / "access.log.1.gz").write_bytes(gzip.compress((good(2) + "\nbad").encode()))
+    ingest_new_files(store, str(logs), "nginx", checkpoint).awaitTermination()
+    (logs / "access.log.2.gz").write_bytes(gzip.compress(good(3).encode()))
+    (logs / "access.log.3.gz").write_bytes(b"corrupt")
+    ingest_new_files(store, str(logs), "nginx", checkpoint).awaitTermination()
+    assert sorted(r.path for r in store.table("nginx").collect()) == ["/p1", "/p2", "/p3"]
+    assert sorted(r.reason.split(":")[0] for r in store.quarantine("nginx").collect()) == [
+        "Invalid nginx log format", "Unreadable archive"]
+
+
+def test_writers_of_two_origins_at_once(spark, store):
+    lines = {name: raw(spark, *(good(n, day=1 + n % 5) for n in range(50))) for name in ("a", "b", "c")}
+    with ThreadPoolExecutor(3) as pool:
+        tasks = [pool.submit(store.write, frame, NGINX, origin=name) for name, frame in lines.items()]
+        assert [t.result().entries for t in tasks] == [50, 50, 50]
+    assert store.table("nginx").count() == 150
+    with pytest.raises(ValueError):
+        store.write(raw(spark, good(1)), NGINX, origin="../b")
+
+
+def test_a_retry_with_fewer_days_leaves_nothing_stale(spark, store):
+    store.write(raw(spark, good(1, day=1)), NGINX)
+    store.write(raw(spark, good(2, day=2), good(3, day=3), "bad"), NGINX, ingest=1)
+    store.write(raw(spark, good(2, day=2)), NGINX, ingest=1)
+    assert sorted(r.path for r in store.table("nginx").collect()) == ["/p1", "/p2"]
+    assert store.quarantine("nginx").count() == 0
+    report = store.write(raw(spark, good(4)), NGINX)
+    assert (report.ingest, report.entries) == (2, 1)
+
+
+def test_a_failed_fresh_start_keeps_the_table(spark, store):
+    store.write(raw(spark, good(1)), NGINX)
+    broken = raw(spark, good(2)).withColumn("value", F.raise_error(F.lit("no source")).cast("string"))
+    with pytest.raises(Exception, match="no source"):
+        store.write(broken, NGINX, fresh=True)
+    assert [r.path for r in store.table("nginx").collect()] == ["/p1"]
+    store.write(raw(spark, good(3)), NGINX)  # takes the next number
+
+
 def test_inserting_parsed_rows(spark, store):
     columns = "ip_address string, timestamp timestamp_ntz, path string, response_size int"
     when = dt.datetime(2025, 1, 15, 10)

@@ -3,30 +3,32 @@
 One pass over the logs writes good lines, rejected lines and skipped sources of a format
 together, into the folders of one dataset:
 
-    <root>/<table>/outcome=parsed|rejected|skipped/origin=<name>/ingest=<n>/log_date=<day>/
+    <root>/<table>/origin=<name>/ingest=<n>/outcome=parsed|rejected|skipped/log_date=<day>/
 
 so nothing is read or parsed twice, and every reader prunes to the part it wants. Statistics
 are counted afterwards on the few columns they need. Ingests are numbered per origin: plain
 ingests share one, every stream has its own, so neither can replace what the other stored.
+Every ingest is a write to a folder of its own: writers of different origins do not meet, a retry
+replaces that folder and nothing else, and numbers come from folder names without a look at rows.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import re
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass, fields
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from weblens import schemas
 from weblens.formats import FORMATS, LogFormat
 from weblens.operators import catalog, correlate, parse as p, quality, traffic
-from weblens.session import path_kind
+from weblens.session import child_folders, path_kind, remove_folder
 from weblens.sources.discover import MAX_DEPTH, read_logs
 
-PARTITIONS = ("outcome", "origin", "ingest", "log_date")
+PARTITIONS = ("outcome", "log_date")
 PLAIN_ORIGIN = "batch"
 
 
@@ -97,23 +99,33 @@ class LogStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self.path(fmt))
 
-    def _last(self, fmt: LogFormat, origin: str, retried: int | None) -> tuple[int, int]:
-        """Number of the newest ingest of an origin and the largest id of all; -1 for none.
+    def _ingests(self, fmt: LogFormat) -> dict[str, list[int]]:
+        """Numbers of the ingests of each origin, smallest first, from folder names alone."""
+        found = {}
+        for origin in child_folders(self.spark, self.path(fmt)):
+            if origin.startswith("origin="):
+                names = child_folders(self.spark, f"{self.path(fmt)}/{origin}")
+                numbers = (int(n.removeprefix("ingest=")) for n in names if n.startswith("ingest="))
+                found[origin.removeprefix("origin=")] = sorted(numbers)
+        return found
 
-        Ids only grow, so the largest is in the newest ingest of some origin. Which those are
-        comes from folder names; ids are read in them only. What an earlier try of the ingest
-        `retried` left does not count.
+    def _folder(self, fmt: LogFormat, origin: str, ingest: int) -> str:
+        return f"{self.path(fmt)}/origin={origin}/ingest={ingest}"
+
+    def _largest_id(self, fmt: LogFormat, ingests: dict[str, list[int]]) -> int:
+        """The largest id of some ingests, -1 for none.
+
+        Ids only grow, so it is in the newest ingest of some origin that has rows.
         """
-        stored = self._stored(fmt)
-        if retried is not None:
-            stored = stored.where((F.col("origin") != origin) | (F.col("ingest") < retried))
-        newest = dict(stored.groupBy("origin").agg(F.max("ingest")).collect())
-        if not newest:
-            return -1, -1
-        is_newest = reduce(Column.__or__, (
-            (F.col("origin") == name) & (F.col("ingest") == n) for name, n in newest.items()
-        ))
-        return newest.get(origin, -1), stored.where(is_newest).agg(F.max("id")).first()[0]
+        largest = -1
+        for origin, numbers in ingests.items():
+            for number in reversed(numbers):
+                ids = self.spark.read.schema("id long").parquet(self._folder(fmt, origin, number))
+                found = ids.agg(F.max("id")).first()[0]
+                if found is not None:
+                    largest = max(largest, found)
+                    break
+        return largest
 
     def write(
         self, lines: DataFrame, fmt: LogFormat, fresh: bool = False, rebalance: bool = False,
@@ -121,9 +133,11 @@ class LogStore:
     ) -> IngestReport:
         """Parse lines (`schemas.RAW_LINES`) and store them.
 
-        `fresh` replaces the table, else the lines are added. With an explicit `ingest` number
-        the write replaces just what an earlier try of that number of the same origin left, so
-        a retried batch is stored once. `rebalance` evens out file sizes per day at the price
+        `fresh` replaces the table once all is written, else the lines are added. With an explicit
+        `ingest` number the write replaces just what an earlier try of that number of the same
+        origin left, so a retried batch is stored once. Writers of different origins may run at
+        the same time, their ids may then overlap; plain ingests run one after the other, and
+        nobody else writes during a fresh start. `rebalance` evens out file sizes per day at the price
         of a shuffle; a day holding most of the rows is split over several files.
         """
         return self._save(p.parse(lines, fmt), fmt, fresh, rebalance, origin, ingest)
@@ -161,10 +175,15 @@ class LogStore:
         self, parsed: DataFrame, fmt: LogFormat, fresh: bool = False, rebalance: bool = False,
         origin: str = PLAIN_ORIGIN, ingest: int | None = None,
     ) -> IngestReport:
+        if not re.fullmatch(r"\w[\w.-]*", origin, re.ASCII):
+            raise ValueError(f"not a plain name of an origin: {origin!r}")
         began = time.monotonic()
-        number, largest = (-1, -1) if fresh else self._last(fmt, origin, ingest)
-        retry = ingest is not None
-        number = ingest if retry else number + 1
+        before = self._ingests(fmt)
+        mine = before.get(origin, [])
+        number = (mine[-1] + 1 if mine else 0) if ingest is None else ingest
+        # What an earlier try of this ingest left does not count.
+        older = {**before, origin: [n for n in mine if n < number]}
+        largest = -1 if fresh else self._largest_id(fmt, older)
 
         rows = parsed.withColumn("log_date", F.to_date("timestamp"))
         if rebalance:
@@ -174,22 +193,25 @@ class LogStore:
         rows = (
             rows.withColumn("id", F.monotonically_increasing_id() + F.lit(largest + 1))
             .withColumn("created_at", utc_now())
-            .withColumn("origin", F.lit(origin))
-            .withColumn("ingest", F.lit(number).cast("long"))
-            .select(*self._stored_schema(fmt).names)
+            .select(*(c for c in self._stored_schema(fmt).names if c not in ("origin", "ingest")))
+        )
+        folder = self._folder(fmt, origin, number)
+        # Only a numbered ingest may replace a folder; two plain ones never share theirs.
+        mode = "errorifexists" if ingest is None else "overwrite"
+        (
+            rows.write.partitionBy(*PARTITIONS).option("partitionOverwriteMode", "static")
+            .mode(mode).parquet(folder)
         )
-        writer = rows.write.partitionBy(*PARTITIONS)
-        if retry and not fresh:
-            writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        elif fresh:
-            writer = writer.mode("overwrite").option("partitionOverwriteMode", "static")
-        else:
-            writer = writer.mode("append")
-        writer.parquet(self.path(fmt))
+        if fresh:
+            # Only now, so that the table outlives a fresh start that fails.
+            for name, numbers in before.items():
+                for old in numbers:
+                    if (name, old) != (origin, number):
+                        remove_folder(self.spark, self._folder(fmt, name, old))
         seconds = time.monotonic() - began
-        # These columns are folder names: the rows are counted without reading any.
-        mine = (F.col("origin") == origin) & (F.col("ingest") == number)
-        found = dict(self._stored(fmt).where(mine).groupBy("outcome").count().collect())
+        # `outcome` is a folder name: the rows are counted without reading any.
+        written = self.spark.read.schema("id long, outcome string, log_date date").parquet(folder)
+        found = dict(written.groupBy("outcome").count().collect())
         entries, errors = found.get(p.PARSED, 0), found.get(p.REJECTED, 0)
         return IngestReport(
             fmt.name, number, entries + errors, entries, errors, found.get(p.SKIPPED, 0), seconds

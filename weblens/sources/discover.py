@@ -115,17 +115,22 @@ def read_archived(
     spark: SparkSession, folder: str, fmt: LogFormat, globs: str | Sequence[str] | None = None,
     max_depth: int = MAX_DEPTH,
 ) -> DataFrame:
-    """Lines of the matching members of the matching archives, nested ones included.
-
-    Sizes decide how an archive travels (see `archives.ALONE_BYTES` and `INLINE_BYTES`). The
-    size reaches the scan as a filter, so content is read only where it is wanted.
-    """
+    """Lines of the matching members of the matching archives, nested ones included."""
     if not 1 <= max_depth <= 10:
         raise ValueError("max_depth must be between 1 and 10")
     globs = glob_list(globs or fmt.globs)
     files = _load(spark, folder, "binaryFile", globs)
     if files is None:
         return spark.createDataFrame([], schemas.RAW_LINES)
+    return archived_lines(files, fmt, globs, max_depth)
+
+
+def archived_lines(files: DataFrame, fmt: LogFormat, globs: Sequence[str], max_depth: int) -> DataFrame:
+    """Lines of the archives among binary files, of a folder or of a stream.
+
+    Sizes decide how an archive travels (see `archives.ALONE_BYTES` and `INLINE_BYTES`). The
+    size reaches the scan as a filter, so content is read only where it is wanted.
+    """
     name, size = F.col("_metadata.file_name"), F.col("length")
     wanted = files.where(archives.is_archive(name))
     alone, inline = archives.ALONE_BYTES, archives.INLINE_BYTES

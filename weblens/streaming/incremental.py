@@ -1,7 +1,7 @@
 """Incremental ingest: what was added to a folder since the last run is parsed and stored.
 
-The same parser and the same tables as the batch ingest. Archives are read as wholes and stay
-with the batch ingest.
+The same readers, parser and tables as the batch ingest, rotated and packed logs included. Plain
+files and archives are two sources of one stream, each remembers what it has seen.
 """
 
 from __future__ import annotations
@@ -14,16 +14,25 @@ from pyspark.sql.streaming import StreamingQuery
 
 from weblens.formats import FORMATS, LogFormat
 from weblens.plans.ingest import LogStore
-from weblens.sources.discover import glob_list, listed, plain_lines
+from weblens.sources.discover import MAX_DEPTH, archived_lines, glob_list, listed, plain_lines
+
+# The columns of Spark's binary file source, which a stream must be told.
+BINARY_FILES = "path string, modificationTime timestamp_ltz, length long, content binary"
 
 
 def stream_lines(
     spark: SparkSession, folder: str, fmt: LogFormat, globs: str | Sequence[str] | None = None,
     files_per_batch: int = 1000,
 ) -> DataFrame:
-    """Lines of the plain files of a folder as a stream, in the shape of `schemas.RAW_LINES`."""
-    reader = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch)
-    return plain_lines(listed(reader, glob_list(globs or fmt.globs)).load(folder), fmt)
+    """Lines of the files and archives of a folder as a stream, in the shape of `schemas.RAW_LINES`."""
+    globs = glob_list(globs or fmt.globs)
+
+    def stream(kind: str, schema: str) -> DataFrame:
+        reader = spark.readStream.format(kind).schema(schema).option("maxFilesPerTrigger", files_per_batch)
+        return listed(reader, globs).load(folder)
+
+    plain = plain_lines(stream("text", "value string"), fmt)
+    return plain.unionByName(archived_lines(stream("binaryFile", BINARY_FILES), fmt, globs, MAX_DEPTH))
 
 
 def ingest_new_files(
