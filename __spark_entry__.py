@@ -142,15 +142,30 @@ def _content(store: LogStore, name: str) -> DataFrame:
     return store.table(name).drop("id", "file_source", "created_at", "log_date")
 
 
-def _filled(spark: SparkSession, sf_dir: str, name: str = "nginx", times: int = 1) -> LogStore:
+def _filled(
+    spark: SparkSession, sf_dir: str, name: str = "nginx", times: int = 1, fresh: bool = False
+) -> LogStore:
     store = LogStore(spark, shared_folder(spark, "store"))
     for _ in range(times):
-        store.write(_raw(sample_lines(spark, sf_dir, name)), FORMATS[name])
+        store.write(_raw(sample_lines(spark, sf_dir, name)), FORMATS[name], fresh=fresh)
     return store
 
 
-def _ingest_lines(name: str, times: int = 1) -> Query:
-    return lambda spark, sf_dir: _content(_filled(spark, sf_dir, name, times), name)
+def _ingest_lines(name: str, times: int = 1, fresh: bool = False) -> Query:
+    return lambda spark, sf_dir: _content(_filled(spark, sf_dir, name, times, fresh), name)
+
+
+def _ingest_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two ingests: rows, different ids, and whether the second's ids are above the first's."""
+    store = LogStore(spark, shared_folder(spark, "store"))
+    lines = _raw(sample_lines(spark, sf_dir, "nginx"))
+    store.write(lines, FORMATS["nginx"])
+    first = store.table("nginx").agg(F.count("*").alias("n"), F.max("id").alias("last")).first()
+    store.write(lines, FORMATS["nginx"])
+    return store.table("nginx").agg(
+        F.count("*").alias("entries"), F.count_distinct("id").alias("ids"),
+        (F.count_if(F.col("id") > first["last"]) == first["n"]).alias("ascending"),
+        F.count("created_at").alias("stamped"))
 
 
 def _log_folder(spark: SparkSession, sf_dir: str, compression: str) -> str:
@@ -168,12 +183,14 @@ def _ingest_folder(compression: str) -> Query:
     return run
 
 
-def _ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = LogStore(spark, shared_folder(spark, "store"))
-    folder = _log_folder(spark, sf_dir, "none")
-    checkpoint = shared_folder(spark, "stream")
-    ingest_new_files(store, folder, "nginx", checkpoint, globs=["part-*"]).awaitTermination()
-    return _content(store, "nginx")
+def _ingest_stream(compression: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = LogStore(spark, shared_folder(spark, "store"))
+        folder = _log_folder(spark, sf_dir, compression)
+        checkpoint = shared_folder(spark, "stream")
+        ingest_new_files(store, folder, "nginx", checkpoint, globs=["part-*"]).awaitTermination()
+        return _content(store, "nginx")
+    return run
 
 
 def _ingest_tar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,7 +247,11 @@ _QUERIES: dict[str, Query] = {
     "ingest_text_folder": _ingest_folder("none"),
     "ingest_gzip_folder": _ingest_folder("gzip"),
     "ingest_tar_archives": _ingest_tar,
-    "ingest_stream": _ingest_stream,
+    "ingest_stream": _ingest_stream("none"),
+    "ingest_stream_gzip": _ingest_stream("gzip"),
+    "ingest_nexus": _ingest_lines("nexus"),
+    "ingest_fresh": _ingest_lines("nginx", times=2, fresh=True),
+    "ingest_ids": _ingest_ids,
     "stored_quarantine": _stored_quarantine,
     "stored_time_range": _stored_time_range,
     "ingest_stats_by_file": _stats_by_file,

@@ -236,6 +236,11 @@ QUERIES: dict[str, str] = {
     "ingest_gzip_folder": _nginx(_STORED_NGINX),
     "ingest_tar_archives": _nginx(_STORED_NGINX),
     "ingest_stream": _nginx(_STORED_NGINX),
+    "ingest_stream_gzip": _nginx(_STORED_NGINX),
+    "ingest_fresh": _nginx(_STORED_NGINX),
+    "ingest_nexus": _nexus("SELECT * EXCLUDE (id, file_source) FROM nexus_logs"),
+    "ingest_ids": _nginx("SELECT 2 * count(*) AS entries, 2 * count(*) AS ids, true AS ascending,"
+                         " 2 * count(*) AS stamped FROM nginx_logs"),
     "ingest_append": _nginx(f"{_STORED_NGINX} UNION ALL {_STORED_NGINX}"),
     "ingest_custom_service": _custom("SELECT * EXCLUDE (id, file_source) FROM custom_service_logs"),
     "stored_quarantine": _nginx("SELECT 'nginx' AS format, raw_log AS raw_line, reason FROM nginx_all"
