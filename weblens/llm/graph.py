@@ -10,23 +10,23 @@ from weblens.llm.store import stored
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of `links` (a, b, both long); nodes joined by links share a root.
 
-    In each round every node moves to the neighbour (or itself) with the least hash of the
-    round, and links between nodes that have met fall away. A star is done in one round, a chain
-    loses a constant share of its nodes in each. Neighbours are reduced to their least before
-    the shuffle, so a node with very many links is never gathered anywhere. Every round is
-    written out, which keeps plans short and survives lost executors.
+    In each round every node moves to the neighbour (or itself) with the least hash, and links
+    between nodes that have met fall away. Hashes stay the same in all rounds: in a star the
+    least leaf is next to all others after the first round, so two rounds end it, where hashes
+    of each round would halve it. A chain loses a constant share of its nodes in each. Neighbours
+    are reduced to their least before the shuffle, so a node with very many links is never
+    gathered anywhere. Every round is written out, which keeps plans short and survives lost
+    executors.
     """
     edges = stored(
         links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct(), "links")
     moves: DataFrame | None = None
-    turn = 0
-    while not edges.isEmpty():
-        turn += 1
 
-        def ranked(node: str):
-            return F.struct(F.xxhash64(F.lit(turn), F.col(node)).alias("h"), F.col(node).alias("n"))
+    def ranked(node: str):
+        return F.struct(F.xxhash64(F.lit("rank"), F.col(node)).alias("h"), F.col(node).alias("n"))
 
+    while not edges.isEmpty():
         both = edges.select("a", "b").union(edges.select("b", "a"))
         step = stored(
             both.groupBy(F.col("a").alias("node"))
