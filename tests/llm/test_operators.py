@@ -208,6 +208,48 @@ def test_leaks_are_found_also_when_edited(spark, docs, texts):
     assert [(r.doc_id, r.item_id) for r in found] == [(1, item)] and 0.5 < found[0].score < 1
 
 
+@pytest.mark.parametrize("share", [1 / 3, 0.75])
+def test_leaks_are_found_however_many_documents_hold_them(spark, share):
+    rng = np.random.default_rng(9)
+    total, leaked = 3200, round(3200 * share)
+    # Three items of different lengths; the other words are of no item.
+    items = {i: [f"w{i}x{k}" for k in range(n)] for i, n in enumerate((15, 18, 40))}
+    rows = []
+    for d in range(total):
+        words = [f"other{k}" for k in rng.integers(0, 5000, 60)]
+        for i, item in items.items():
+            copy = list(item)
+            if d >= leaked:  # an edited copy, words replaced or left out
+                for k in rng.permutation(len(copy))[:round(len(copy) * (0.2, 0.25, 0.3)[d % 3])]:
+                    copy[k] = "" if d % 2 and k % 4 == 0 else "changed"
+            if d < leaked or d % 8 == 0:
+                at = int(rng.integers(0, 60))
+                words[at:at] = copy
+        rows.append((d, " ".join(words)))
+    number = {}
+    coded = {d: np.array([number.setdefault(w, len(number)) for w in text.split()]) for d, text in rows}
+    expected = {}
+    for i, item in items.items():
+        x = np.array([number[w] for w in item])
+        seeds = {tuple(x[k:k + 3]) for k in range(len(x) - 2)}
+        for d, y in coded.items():
+            points = decontaminate.align(x, y)[0]
+            if points >= len(x) and any(tuple(y[k:k + 3]) in seeds for k in range(len(y) - 2)):
+                expected[d, i] = points / (2 * len(x))
+    assert len(expected) > 3 * leaked + 100
+    benchmark = spark.createDataFrame([(i, " ".join(item)) for i, item in items.items()], "item_id long, text string")
+    found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), benchmark).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in found} == expected
+
+
+def test_no_alignment_scores_more_than_the_bound():
+    rng = np.random.default_rng(10)
+    for _ in range(300):
+        item, text = rng.integers(0, 12, rng.integers(1, 12)), rng.integers(0, 12, rng.integers(1, 9))
+        assert decontaminate.align(item, text)[0] <= decontaminate.most_points(item, text)
+    assert decontaminate.most_points(np.arange(3), np.arange(5, 9)) == 0
+
+
 def test_alignment_equals_the_full_table():
     rng = np.random.default_rng(6)
     for _ in range(100):

@@ -4,11 +4,10 @@ Words are runs of letters and digits, ASCII letters lower-cased. Seeds are the r
 items: all that at most RARE_ITEMS different items have, and of any item its LEAST_SEEDS rarest.
 A bit table of fixed size finds their possible hits in one pass over the documents; hits near
 each other form a passage, which leaves with the words around it. Exact joins then tell items and
-passages. How telling a seed is follows from all documents: a passage is aligned with an item if
-the chance that so many documents hold its seeds independently of each other is below one
-document in the corpus. So no seed is dropped for being frequent, and an item that has leaked
-into a third of all documents is still found, by several seeds at once. Smith-Waterman alignment
-of the words scores each such pair.
+passages. One seed in common makes a pair, however many documents hold it, so an item is found in
+edited copies too when it has leaked into most of the documents. A pair is left out only if the
+item's words in the passage could not reach the least score in any order; Smith-Waterman
+alignment of the words scores all others.
 
 Cases: NULL or empty texts have no passage; an item without words is never found, one with fewer
 words than a seed is a seed as a whole. Items with equal words are one. Equal rows are found
@@ -17,7 +16,6 @@ alike. A NULL id is reported as NULL. No benchmark or no documents: no rows.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,6 +134,12 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def most_points(item: np.ndarray, text: np.ndarray) -> int:
+    """No alignment scores more: a stretch of the item with every word matched that the text has."""
+    upto = np.cumsum(np.concatenate(([0], np.where(np.isin(item, text), MATCH, max(MISMATCH, GAP)))))
+    return int((upto - np.minimum.accumulate(upto)).max())
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """(rid, doc_id, item_id, score, first_word, words, text) per document and item found in it.
 
@@ -146,18 +150,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
     longest = items.agg(F.max("n")).first()[0] or 0
     table = bit_table(seeds, F.shiftrightunsigned("seed", 64 - TABLE_BITS), TABLE_BITS)
     passages = stored(_passages(docs, table, longest), "passages")
-    total = docs.count()
 
     hits = passages.select("rid", "passage", F.explode("seeds").alias("seed")).distinct()
-    held = hits.groupBy("seed").agg(F.count_distinct("rid").alias("documents"))
-    known = seeds.join(held, "seed").select(
-        again("seed").alias("key"), "item", F.log(F.lit(float(max(total, 2))) / F.col("documents")).alias("bits"))
-    # A seed of all documents tells a little all the same; else no seed could in a tiny corpus.
-    tells = F.greatest(F.col("bits"), F.lit(0.1))
     pairs = (
-        hits.select("rid", "passage", again("seed").alias("key")).join(known, "key")
-        .groupBy("rid", "passage", "item").agg(F.sum(tells).alias("told"), F.count("*").alias("met"))
-        .where(F.col("told") >= min(math.log(max(total, 2)), 8.0)).select("rid", "passage", "item")
+        hits.select("rid", "passage", again("seed").alias("key"))
+        .join(seeds.select(again("seed").alias("key"), "item"), "key").select("rid", "passage", "item").distinct()
     )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,6 +162,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
             out = np.zeros((3, len(batch)), np.int64)
             for i, (x, y) in enumerate(zip(batch.column("item_words"), batch.column("words"))):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                if most_points(x, y) < least * MATCH * len(x):
+                    continue
                 best, end = align(x, y)
                 out[0, i] = best
                 if best >= least * MATCH * len(x):
