@@ -242,6 +242,16 @@ def test_leaks_are_found_however_many_documents_hold_them(spark, share):
     assert {(r.doc_id, r.item_id): r.score for r in found} == expected
 
 
+def test_items_of_one_or_two_words_are_found_in_longer_documents(spark):
+    benchmark = spark.createDataFrame([(1, "zebra"), (2, "green zebra"), (3, "one two three four")], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, "far off a Green Zebra stood"), (2, "a zebra"), (3, "zebra"), (4, "green zebra"), (5, "green"), (6, "so it ends in green"),
+        (7, "zebra then one two three four"), (8, "one two"), (9, ""), (10, None)], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.first_word, r.words, r.score) for r in decontaminate.leaks(docs.coalesce(1), benchmark).collect()}
+    assert found == {(1, 1): (4, 1, 1), (1, 2): (3, 2, 1), (2, 1): (1, 1, 1), (3, 1): (0, 1, 1), (4, 1): (1, 1, 1),
+                     (4, 2): (0, 2, 1), (7, 1): (0, 1, 1), (7, 3): (2, 4, 1)}
+
+
 def test_no_alignment_scores_more_than_the_bound():
     rng = np.random.default_rng(10)
     for _ in range(300):

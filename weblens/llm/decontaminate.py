@@ -10,7 +10,7 @@ item's words in the passage could not reach the least score in any order; Smith-
 alignment of the words scores all others.
 
 Cases: NULL or empty texts have no passage; an item without words is never found, one with fewer
-words than a seed is a seed as a whole. Items with equal words are one. Equal rows are found
+words than a seed is a seed as a whole: all documents are searched for runs of so many words. Items with equal words are one. Equal rows are found
 alike. A NULL id is reported as NULL. No benchmark or no documents: no rows.
 """
 
@@ -76,27 +76,29 @@ def _seeds(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     return items.select("item", "item_id", "words", (F.octet_length("words") / 8).cast("int").alias("n")), stored(rare, "seeds")
 
 
-def _passages(docs: DataFrame, table: bytes, longest: int) -> DataFrame:
+def _passages(docs: DataFrame, table: bytes, longest: int, sizes: list[int]) -> DataFrame:
     """(rid, doc_id, passage, first, words, text, seeds): hits not further apart than the longest
-    item, with as many words around them."""
+    item, with as many words around them. Hits are runs of as many words as `sizes` has."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(table, np.uint8)
         for batch in batches:
             row, number, first, words, texts, seeds = [], [], [], [], [], []
             for block, starts, ends, hashes, at in _hashed(batch.column("text")):
-                grams = shingles(hashes, N) if len(hashes) >= N else hashes[:0]
-                place = _place(grams)
-                hit = np.flatnonzero((bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1)
-                text = np.searchsorted(at, hit, "right") - 1
-                inside = hit + N <= at[text + 1]
-                hit, text = hit[inside], text[inside]
-                short = np.flatnonzero((np.diff(at) > 0) & (np.diff(at) < N))
-                found = [(int(t), np.array([at[t]]), shingles(hashes[at[t]:at[t + 1]], N)) for t in short]
+                found, runs = [], []
+                for size in sizes:
+                    grams = shingles(hashes, size) if len(hashes) >= size else hashes[:0]
+                    place = _place(grams)
+                    hit = np.flatnonzero((bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1)
+                    hit = hit[hit + size <= at[np.searchsorted(at, hit, "right")]]
+                    runs.append((hit, grams[hit]))
+                hit, marks = (np.concatenate(x) for x in zip(*runs))
+                order = np.argsort(hit, kind="stable")
+                hit, marks = hit[order], marks[order]
                 if len(hit):
+                    text = np.searchsorted(at, hit, "right") - 1
                     new = np.flatnonzero((np.diff(text) > 0) | (np.diff(hit) > longest)) + 1
-                    found += [(int(text[part[0]]), hit[part], grams[hit[part]])
-                              for part in np.split(np.arange(len(hit)), new)]
-                for t, where, marks in found:
+                    found = [(int(text[part[0]]), hit[part], marks[part]) for part in np.split(np.arange(len(hit)), new)]
+                for t, where, inside in found:
                     low = max(int(at[t]), int(where[0]) - longest)
                     high = min(int(at[t + 1]), int(where[-1]) + N + longest)
                     row.append(block.first + t)
@@ -104,7 +106,7 @@ def _passages(docs: DataFrame, table: bytes, longest: int) -> DataFrame:
                     first.append(int(low - at[t]))
                     words.append(hashes[low:high].tobytes())
                     texts.append(block.data[starts[low]:ends[high - 1]].tobytes())
-                    seeds.append(signed(np.unique(marks)))
+                    seeds.append(signed(np.unique(inside)))
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("rid").take(take), batch.column("doc_id").take(take), pa.array(number, pa.int32()),
@@ -148,8 +150,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
     """
     items, seeds = _seeds(benchmark)
     longest = items.agg(F.max("n")).first()[0] or 0
+    sizes = [N, *(r.n for r in items.where(F.col("n") < N).select("n").distinct().collect())]
     table = bit_table(seeds, F.shiftrightunsigned("seed", 64 - TABLE_BITS), TABLE_BITS)
-    passages = stored(_passages(docs, table, longest), "passages")
+    passages = stored(_passages(docs, table, longest, sizes), "passages")
 
     hits = passages.select("rid", "passage", F.explode("seeds").alias("seed")).distinct()
     pairs = (
