@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from oracles import duckdb_sql, sql_texts
 from weblens.formats import FORMATS, nexus_time, stamp_time
-from weblens.functions import cell_text, human_size, status_class, truncate_text
-from weblens.operators import catalog, correlate, parse as p, quality, traffic
+from weblens.functions import cell_text, human_size, repository_of, status_class, truncate_text
+from weblens.operators import catalog, correlate, parse as p, quality, timeline, traffic
 from weblens.plans import adhoc
 from weblens.plans.ingest import LogStore
 from weblens.plans.samples import packed, sample_lines
@@ -115,6 +115,15 @@ def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.processing_summary(_stats_total(spark, sf_dir), seconds=2.0)
 
 
+def _as_of_clients(nginx: DataFrame, nexus: DataFrame) -> DataFrame:
+    found = timeline.requests_as_of(nginx, nexus, within=3600, keys=["ip_address"])
+    return found.select("id", "repository_id")
+
+
+def _in_flight(operator: Callable[..., DataFrame]) -> Query:
+    return _over("nexus", lambda logs: operator(logs, repository_of(F.col("path")), "repository"))
+
+
 def _display(logs: DataFrame) -> DataFrame:
     return logs.select(
         "id",
@@ -287,6 +296,13 @@ _QUERIES: dict[str, Query] = {
     "correlated_requests": _over_pair(correlate.correlated_requests),
     "requests_reaching_repository": _over_pair(correlate.requests_reaching_repository),
     "requests_missing_in_repository": _over_pair(correlate.requests_missing_in_repository),
+    "requests_as_of_repository": _over_pair(timeline.requests_as_of),
+    "requests_as_of_clients": _over_pair(_as_of_clients),
+    "request_pairs": _over_pair(timeline.request_pairs),
+    "request_pairs_within_an_hour": _over_pair(timeline.request_pairs, seconds=3600),
+    "repository_requests_in_flight": _in_flight(timeline.requests_in_flight),
+    "repository_peak_in_flight": _in_flight(timeline.peak_in_flight),
+    "client_sessions": _over("nginx", timeline.client_sessions),
     "display_requests": _over("nginx", _display),
     **{key: _sql(key) for key in sql_texts.TEXTS},
     "sql_row_cap": _sql_capped,

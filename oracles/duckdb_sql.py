@@ -218,6 +218,40 @@ def _preview(columns: str, table: str) -> str:
             " ORDER BY id DESC LIMIT 10")
 
 
+def _paired(seconds: int) -> str:
+    """One-to-one pairing as a sequential matcher: one step at a time along both logs of each key."""
+    def sides(table: str, letter: str) -> str:
+        return (f"SELECT ip_address, method, path, list(id ORDER BY timestamp, id) AS {letter}_ids,"
+                f" list(epoch(timestamp)::BIGINT ORDER BY timestamp, id) AS {letter}_at FROM {table} GROUP BY ALL")
+    return f"""
+  SELECT p_ids[p] AS id, r_ids[r] AS repository_id FROM (
+    WITH RECURSIVE lists AS (
+      SELECT * FROM ({sides('nginx_logs', 'p')}) JOIN ({sides('nexus_logs', 'r')}) USING (ip_address, method, path)),
+    steps AS (
+      SELECT *, 1 AS p, 1 AS r FROM lists
+      UNION ALL
+      SELECT * REPLACE (
+        CASE WHEN r_at[r] < p_at[p] - {seconds} THEN p ELSE p + 1 END AS p,
+        CASE WHEN r_at[r] > p_at[p] + {seconds} THEN r ELSE r + 1 END AS r)
+      FROM steps WHERE p <= len(p_at) AND r <= len(r_at))
+    SELECT * FROM steps)
+  WHERE p <= len(p_at) AND r <= len(r_at) AND abs(p_at[p] - r_at[r]) <= {seconds}"""
+
+
+_IN_FLIGHT = f"""
+  SELECT {_REPOSITORY} AS repository, unnest(range(
+    epoch(timestamp)::BIGINT, (epoch_ms(timestamp) + greatest(processing_time_ms, 0)) // 1000 + 1)) AS second, id
+  FROM nexus_logs WHERE {_REPOSITORY} IS NOT NULL AND processing_time_ms IS NOT NULL"""
+
+_SESSIONS = """
+  SELECT ip_address, session, min(timestamp) AS first_request, max(timestamp) AS last_request,
+    count(*) AS requests, sum(response_size)::BIGINT AS bytes
+  FROM (SELECT *, sum(begins) OVER (PARTITION BY ip_address ORDER BY timestamp)::BIGINT AS session
+        FROM (SELECT *, CASE WHEN timestamp - lag(timestamp) OVER (PARTITION BY ip_address ORDER BY timestamp, id)
+                < INTERVAL 1800 SECOND THEN 0 ELSE 1 END AS begins FROM nginx_logs))
+  GROUP BY ALL"""
+
+
 QUERIES: dict[str, str] = {
     # parsing
     "nginx_parse": _nginx("SELECT * FROM nginx_logs"),
@@ -334,6 +368,25 @@ QUERIES: dict[str, str] = {
         f"SELECT n.* FROM nginx_logs n WHERE EXISTS (SELECT 1 FROM nexus_logs x WHERE {_near(5)})"),
     "requests_missing_in_repository": _both(
         f"SELECT n.* FROM nginx_logs n WHERE NOT EXISTS (SELECT 1 FROM nexus_logs x WHERE {_near(5)})"),
+    "requests_as_of_repository": _both(
+        "SELECT n.*, x.id AS repository_id, x.timestamp AS repository_timestamp,"
+        " epoch_ms(n.timestamp) - epoch_ms(x.timestamp) AS age_ms FROM nginx_logs n ASOF LEFT JOIN"
+        " (SELECT ip_address, method, path, timestamp, max(id) AS id FROM nexus_logs GROUP BY ALL) x"
+        " ON n.ip_address = x.ip_address AND n.method = x.method AND n.path = x.path AND n.timestamp >= x.timestamp"),
+    "requests_as_of_clients": _both(
+        "SELECT n.id, CASE WHEN n.timestamp - x.timestamp <= INTERVAL 3600 SECOND THEN x.id END AS repository_id"
+        " FROM nginx_logs n ASOF LEFT JOIN"
+        " (SELECT ip_address, timestamp, max(id) AS id FROM nexus_logs GROUP BY ALL) x"
+        " ON n.ip_address = x.ip_address AND n.timestamp >= x.timestamp"),
+    "request_pairs": _both(_paired(5)),
+    "request_pairs_within_an_hour": _both(_paired(3600)),
+    "repository_requests_in_flight": _nexus(
+        "SELECT repository, make_timestamp(second * 1000000) AS second, count(*) AS requests"
+        f" FROM ({_IN_FLIGHT}) GROUP BY ALL"),
+    "repository_peak_in_flight": _nexus(
+        "SELECT repository, max(requests) AS peak, make_timestamp(arg_max(second, (requests, -second)) * 1000000) AS first_reached"
+        f" FROM (SELECT repository, second, count(*) AS requests FROM ({_IN_FLIGHT}) GROUP BY ALL) GROUP BY ALL"),
+    "client_sessions": _nginx(_SESSIONS),
     # presentation
     "display_requests": _nginx(
         "SELECT id, CASE WHEN status_code BETWEEN 200 AND 299 THEN 'success'"
