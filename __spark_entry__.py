@@ -20,6 +20,7 @@ from weblens.plans.ingest import LogStore
 from weblens.plans.samples import packed, sample_lines
 from weblens.session import shared_folder
 from weblens.sources import archives
+from weblens.streaming import live
 from weblens.streaming.incremental import ingest_new_files
 
 try:
@@ -202,6 +203,48 @@ def _ingest_stream(compression: str) -> Query:
     return run
 
 
+# A line of each log from long after all others: with it, all that came before is final.
+_CLOSING = {
+    "nginx": '0.0.0.0 - - [01/Jan/2100:00:00:00 +0000] "GET /closing HTTP/1.1" 200 1 "-" "-"',
+    "nexus": '0.0.0.0 - - [01/Jan/2100:00:00:00 +0000] "GET /closing HTTP/1.1" 200 1 1 1 "-" [qtp]',
+}
+
+
+def _streamed(spark: SparkSession, sf_dir: str, run: Callable[..., object], *names: str) -> None:
+    """Run a stream over folders of sample lines, stop, add the closing line to each, run again."""
+    folders = {}
+    for name in names:
+        folders[name] = shared_folder(spark, "logs")
+        sample_lines(spark, sf_dir, name).select("line").write.text(folders[name])
+    run(folders).awaitTermination()
+    for name in names:
+        spark.createDataFrame([(_CLOSING[name],)], "line string").coalesce(1).write.mode("append").text(folders[name])
+    run(folders).awaitTermination()
+
+
+def _stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = live.WindowCounts(spark, shared_folder(spark, "windows"), FORMATS["nginx"], [(3600, 3600), (3600, 900)],
+                               ["status_code"], delay=60 * 86400)
+    checkpoint = shared_folder(spark, "stream")
+    _streamed(spark, sf_dir, lambda folders: live.count_windows(counts, folders["nginx"], checkpoint, ["part-*"], files_per_batch=3), "nginx")
+    return counts.counts(closed_only=True)
+
+
+def _stateful(operator: Callable[..., DataFrame], *names: str) -> Query:
+    """What a stateful operator has given out when its streams have ended."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out, checkpoint = shared_folder(spark, "streamed"), shared_folder(spark, "stream")
+
+        def start(folders: dict[str, str]):
+            streams = [p.accepted(live.parsed_stream(spark, folders[n], FORMATS[n], ["part-*"])).drop("file_source", "file_path") for n in names]
+            start.schema = (made := operator(*streams)).schema
+            return live.append_to(made, out, checkpoint)
+
+        _streamed(spark, sf_dir, start, *names)
+        return spark.read.schema(start.schema).parquet(out)
+    return run
+
+
 def _ingest_tar(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = packed(sample_lines(spark, sf_dir, "nginx"), "access.log")
     lines = archives.split_lines(archives.expand(files, "nginx", FORMATS["nginx"].globs, 3))
@@ -303,6 +346,9 @@ _QUERIES: dict[str, Query] = {
     "repository_requests_in_flight": _in_flight(timeline.requests_in_flight),
     "repository_peak_in_flight": _in_flight(timeline.peak_in_flight),
     "client_sessions": _over("nginx", timeline.client_sessions),
+    "stream_window_counts": _stream_window_counts,
+    "stream_client_sessions": _stateful(live.session_stream, "nginx"),
+    "stream_requests_missing": _stateful(live.missing_stream, "nginx", "nexus"),
     "display_requests": _over("nginx", _display),
     **{key: _sql(key) for key in sql_texts.TEXTS},
     "sql_row_cap": _sql_capped,

@@ -387,6 +387,14 @@ QUERIES: dict[str, str] = {
         "SELECT repository, max(requests) AS peak, make_timestamp(arg_max(second, (requests, -second)) * 1000000) AS first_reached"
         f" FROM (SELECT repository, second, count(*) AS requests FROM ({_IN_FLIGHT}) GROUP BY ALL) GROUP BY ALL"),
     "client_sessions": _nginx(_SESSIONS),
+    # streams
+    "stream_window_counts": _nginx(
+        "SELECT status_code, length, step, make_timestamp((epoch(timestamp)::BIGINT // step - k) * step * 1000000) AS window_start,"
+        " count(*) AS requests, true AS closed FROM (SELECT *, unnest(range(length // step)) AS k FROM nginx_logs,"
+        " (VALUES (3600, 3600), (3600, 900)) w(length, step)) GROUP BY ALL"),
+    "stream_client_sessions": _nginx(f"SELECT * EXCLUDE (session) FROM ({_SESSIONS})"),
+    "stream_requests_missing": _both(
+        f"SELECT n.* EXCLUDE (id, file_source) FROM nginx_logs n WHERE NOT EXISTS (SELECT 1 FROM nexus_logs x WHERE {_near(5)})"),
     # presentation
     "display_requests": _nginx(
         "SELECT id, CASE WHEN status_code BETWEEN 200 AND 299 THEN 'success'"
