@@ -3,9 +3,9 @@
 Divide and conquer: in a text, a token end of A near the middle is looked up among the ends of B by
 bisection; a common end cuts the text into two halves, which are cut the same way. After a few
 tries around the middle, an interval's remaining ends are looked up at once and the common end
-nearest to the middle is taken. An interval without a common end inside is a leaf: one group of A
-tokens and B tokens that cover the same bytes. All intervals of a block of texts are cut together,
-level by level, in numpy.
+nearest to the middle is taken. In an interval of at most GRAIN tokens all ends are looked up, and
+every common one cuts. What has no common end inside is a leaf: one group of A tokens and B tokens that
+cover the same bytes. All intervals of a block of texts are cut together, level by level, in numpy.
 
 Within a group, tokens of A and B are linked if their bytes overlap. Every stretch between two
 neighbouring token ends, of whichever side, is one link. Links of each id pair are counted over all
@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +42,12 @@ from weblens.llm.store import stored
 
 #: Id pairs whose counts travel with the tasks: 16 MB.
 HEAD = 1_000_000
-#: Characters that a task aligns at once, and pairs that it sums up before it hands them on.
-BLOCK, PAIRS = 1_000_000, 2_000_000
+#: Bytes that a task aligns at once, and pairs that it sums up before it hands them on.
+BLOCK, PAIRS = 1_000_000, 500_000
 #: Single looks around the middle of an interval before all its ends are looked up.
 LOOKS = 4
+#: Tokens of an interval that is not halved any more.
+GRAIN = 16
 
 #: Fixed value: the pattern of byte-level BPE that cuts a text into pieces.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -134,6 +137,13 @@ def encoder(a_path: str, b_path: str) -> Encoder:
     return _encoders[a_path, b_path]
 
 
+def _inside(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of some intervals, and which interval each is in."""
+    size = high - low
+    owner = np.repeat(np.arange(len(size)), size)
+    return np.arange(size.sum()) + (low - np.cumsum(size) + size)[owner], owner
+
+
 def common_ends(a: np.ndarray, b: np.ndarray, a_stops: np.ndarray, b_stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places in `a` and `b`, ascending token ends, where both are equal.
 
@@ -145,6 +155,14 @@ def common_ends(a: np.ndarray, b: np.ndarray, a_stops: np.ndarray, b_stops: np.n
     while True:
         alive = (al < ah) & (bl < bh)
         al, ah, bl, bh = al[alive], ah[alive], bl[alive], bh[alive]
+        small = ah - al <= GRAIN
+        if small.any():
+            at, _ = _inside(al[small], ah[small])
+            place = np.searchsorted(b, a[at])
+            common = b[place] == a[at]
+            found_a.append(at[common])
+            found_b.append(place[common])
+            al, ah, bl, bh = al[~small], ah[~small], bl[~small], bh[~small]
         if not len(al):
             break
         middle = (al + ah) // 2
@@ -157,9 +175,7 @@ def common_ends(a: np.ndarray, b: np.ndarray, a_stops: np.ndarray, b_stops: np.n
             cut[waiting[b[place] == a[at]]] = at[b[place] == a[at]]
         waiting = np.flatnonzero(cut < 0)
         if len(waiting):
-            size = ah[waiting] - al[waiting]
-            owner = np.repeat(np.arange(len(waiting)), size)
-            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + al[waiting][owner]
+            at, owner = _inside(al[waiting], ah[waiting])
             hit = b[np.searchsorted(b, a[at])] == a[at]
             owner, at = owner[hit], at[hit]
             order = np.lexsort((at, np.abs(at - middle[waiting][owner]), owner))
@@ -176,11 +192,12 @@ def common_ends(a: np.ndarray, b: np.ndarray, a_stops: np.ndarray, b_stops: np.n
 
 
 class Aligned:
-    """A block of texts' tokens, one text after the other, and where they are cut."""
+    """A block of texts' tokens, one text after the other, and where they are cut; `sizes` are the
+    bytes of each token of A and B."""
 
-    def __init__(self, tools: Encoder, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray):
+    def __init__(self, sizes: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray):
         self.a, self.b, self.n_a, self.n_b = a, b, n_a, n_b
-        self.a_ends, self.b_ends = np.cumsum(tools.a_sizes[a]), np.cumsum(tools.b_sizes[b])
+        self.a_ends, self.b_ends = np.cumsum(sizes[0][a]), np.cumsum(sizes[1][b])
         filled = n_a > 0
         stops = np.cumsum(n_a)[filled] - 1, np.cumsum(n_b)[filled] - 1
         self.cut_a, self.cut_b = common_ends(self.a_ends, self.b_ends, *stops)
@@ -210,39 +227,34 @@ class Aligned:
         last_a[self.cut_a], last_b[self.cut_b] = 1, 2
         written[np.arange(len(self.a)) + before_b[group_a]] = self.a * 3 + last_a
         written[np.arange(len(self.b)) + before_a[group_b + 1]] = self.b * 3 + last_b
-        names = _names(max(len(tools.a_bytes), len(tools.b_bytes)))
-        out, at = [], 0
-        for n in (self.n_a + self.n_b).tolist():
-            joined = "".join(map(names.__getitem__, written[at:at + n].tolist()))
-            out.append(hashlib.sha256(joined[:-1].encode()).hexdigest() if n else "")
-            at += n
-        return out
-
+        names, lengths = _names(max(len(tools.a_bytes), len(tools.b_bytes)))
+        spelled = names[written].view(np.uint8)
+        spelled = spelled[spelled != 0]
+        upto = np.concatenate(([0], np.cumsum(lengths[written])))[np.concatenate(([0], np.cumsum(self.n_a + self.n_b)))].tolist()
+        # The last mark of a text is left out.
+        return [hashlib.sha256(spelled[low:high - 1]).hexdigest() if high > low else "" for low, high in zip(upto, upto[1:])]
 
-_named: list[str] = []
 
-
-def _names(count: int) -> list[str]:
-    """Each id in decimal with the mark that follows it: within a side, between sides, between groups."""
-    for number in range(len(_named) // 3, count):
-        _named.extend((f"{number},", f"{number}|", f"{number};"))
-    return _named
+@lru_cache(maxsize=4)
+def _names(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each id in decimal with the mark that follows it, within a side, between sides or between
+    groups, and its length."""
+    names = [f"{number}{mark}".encode() for number in range(count) for mark in ",|;"]
+    return np.array(names), np.array([len(x) for x in names], np.int64)
 
 
 def _encoded(tools: Encoder, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all texts by A and B and their numbers per text; none for a text that is not spelled again."""
     a = tools.a([" " + t if t else "" for t in texts])
     b = tools.b([t or "" for t in texts])
-    for i, text in enumerate(texts):
-        if text:
-            spelled = (" " + text).encode()
-            if (b"".join(map(tools.a_bytes.__getitem__, a[i])) != spelled
-                    or b"".join(map(tools.b_bytes.__getitem__, b[i])) != spelled):
-                a[i] = b[i] = []
-        else:
+    spelled = [(" " + t).encode() if t else b"" for t in texts]
+    # A byte-level vocabulary without a normalizer, which `quick` has been found to be, spells any text.
+    sides = [(b, tools.b_bytes)] if tools.quick else [(a, tools.a_bytes), (b, tools.b_bytes)]
+    for i, text in enumerate(spelled):
+        if not text or any(b"".join(map(table.__getitem__, side[i])) != text for side, table in sides):
             a[i] = b[i] = []
     n_a, n_b = (np.array([len(x) for x in side], np.int64) for side in (a, b))
-    flat = (np.fromiter((i for x in side for i in x), np.int64, int(n.sum())) for side, n in ((a, n_a), (b, n_b)))
+    flat = (np.concatenate([np.empty(0, np.int64), *(np.array(x, np.int64) for x in side if x)]) for side in (a, b))
     return *flat, n_a, n_b
 
 
@@ -265,64 +277,88 @@ def _packed(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<i4"))]).cast(pa.binary())
 
 
-def _unpacked(tools: Encoder, a: pa.Array, b: pa.Array) -> Aligned:
+def _unpacked(token_sizes: tuple[np.ndarray, np.ndarray], a: pa.Array, b: pa.Array) -> Aligned:
     sides = [(np.frombuffer(b"".join(x.as_buffer() for x in side), "<i4").astype(np.int64),
               np.array([x.as_buffer().size // 4 for x in side], np.int64)) for side in (a, b)]
-    return Aligned(tools, sides[0][0], sides[1][0], sides[0][1], sides[1][1])
+    return Aligned(token_sizes, sides[0][0], sides[1][0], sides[0][1], sides[1][1])
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a << 32 | b
+
+
+class PairSums:
+    """How often each id pair is linked, over the texts of a task so far."""
+
+    def __init__(self):
+        self.keys, self.counts, self.held = [], [], 0
+
+    def add(self, found: Aligned) -> None:
+        _, a, b = found.links()
+        key, count = np.unique(_pair(found.a[a], found.b[b]), return_counts=True)
+        self.keys.append(key)
+        self.counts.append(count)
+        self.held += len(key)
+        if self.held > PAIRS:
+            self._sum()
+
+    def _sum(self) -> None:
+        key, place = np.unique(np.concatenate(self.keys), return_inverse=True)
+        count = np.zeros(len(key), np.int64)
+        np.add.at(count, place, np.concatenate(self.counts))
+        self.keys, self.counts, self.held = [key], [count], len(key)
+
+    def taken(self) -> tuple[bytes, bytes]:
+        self._sum()
+        key, count = self.keys[0], self.counts[0]
+        self.__init__()
+        return key.tobytes(), count.tobytes()
+
+
+_TOKENS = ("id long, a binary, b binary, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
+           "pairs binary, counts binary")
 
 
 def _tokens(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
-    """id, packed ids of both sides, and what a text's own tokens tell."""
+    """For each text its id, packed ids of both sides, and what its own tokens tell; besides, rows
+    with the summed id pairs of some texts of a task, for which all of that is NULL."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = encoder(*paths)
+        tools, sums = encoder(*paths), PairSums()
+        names = [f.split()[0] for f in _TOKENS.split(", ")]
+        kinds = [pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 4, pa.string(), pa.binary(), pa.binary()]
+
+        def summed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [*(pa.nulls(1, kind) for kind in kinds[:-2]), *(pa.array([x], pa.binary()) for x in sums.taken())], names=names)
+
         for batch in batches:
             for low, high in _some(batch.column("text")):
                 texts = batch.column("text").slice(low, high - low).to_pylist()
-                found = Aligned(tools, *_encoded(tools, texts))
+                found = Aligned((tools.a_sizes, tools.b_sizes), *_encoded(tools, texts))
                 groups = found.n_groups()
+                sums.add(found)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(low, high - low), _packed(found.a, found.n_a), _packed(found.b, found.n_b),
                      *(pa.array(x, pa.int64()) for x in (found.n_a, found.n_b, groups, found.n_a + found.n_b - groups)),
-                     pa.array(found.digests(tools))],
-                    names=["id", "a", "b", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"])
-
-    return docs.mapInArrow(task, "id long, a binary, b binary, n_a long, n_b long, n_groups long, n_links long, "
-                                 "groups_sha256 string")
-
+                     pa.array(found.digests(tools)), pa.nulls(high - low, pa.binary()), pa.nulls(high - low, pa.binary())], names=names)
+                if sums.held > PAIRS // 2:
+                    yield summed()
+        if sums.held:
+            yield summed()
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return a << 32 | b
+    return docs.mapInArrow(task, _TOKENS)
 
 
-def pair_counts(tokens: DataFrame, a_path: str, b_path: str) -> DataFrame:
+def pair_counts(tokens: DataFrame) -> DataFrame:
     """(pair, n): in how many links of all texts each id pair is; the A id is in the upper 32 bits."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = encoder(a_path, b_path)
-        keys, counts, held = [], [], 0
-
-        def summed() -> tuple[np.ndarray, np.ndarray]:
-            key, place = np.unique(np.concatenate(keys), return_inverse=True)
-            return key, np.bincount(place, np.concatenate(counts), len(key)).astype(np.int64)
-
         for batch in batches:
-            for low, high in _some(batch.column("a"), BLOCK * 2):
-                found = _unpacked(tools, batch.column("a").slice(low, high - low), batch.column("b").slice(low, high - low))
-                _, a, b = found.links()
-                key, count = np.unique(_pair(found.a[a], found.b[b]), return_counts=True)
-                keys.append(key)
-                counts.append(count)
-                held += len(key)
-                if held > PAIRS:
-                    key, count = summed()
-                    keys, counts, held = [key], [count], len(key)
-                    if held > PAIRS // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(count)], names=["pair", "n"])
-                        keys, counts, held = [], [], 0
-        if held:
-            key, count = summed()
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(count)], names=["pair", "n"])
-
-    return tokens.select("a", "b").mapInArrow(task, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+            for key, count in zip(batch.column("pairs"), batch.column("counts")):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.frombuffer(x.as_buffer(), np.int64)) for x in (key, count)], names=["pair", "n"])
+
+    packed = tokens.where("pairs IS NOT NULL").select("pairs", "counts")
+    return packed.mapInArrow(task, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def _head(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -345,14 +381,13 @@ def _head(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return pair[order], n[order]
 
 
-def _scores(tokens: DataFrame, paths: tuple[str, str], pair: np.ndarray, n: np.ndarray, best: np.ndarray) -> DataFrame:
+def _scores(tokens: DataFrame, sizes: tuple[np.ndarray, np.ndarray], pair: np.ndarray, n: np.ndarray, best: np.ndarray) -> DataFrame:
     """What the known pairs give each text, and its links of other pairs."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = encoder(*paths)
         for batch in batches:
-            for low, high in _some(batch.column("a"), BLOCK * 2):
+            for low, high in _some(batch.column("a"), 2 * BLOCK):
                 some = batch.slice(low, high - low)
-                found = _unpacked(tools, some.column("a"), some.column("b"))
+                found = _unpacked(sizes, some.column("a"), some.column("b"))
                 text, a, b = found.links()
                 b_id = found.b[b]
                 key = _pair(found.a[a], b_id)
@@ -384,7 +419,7 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id"
         tools = encoder(a_path, b_path)
         for batch in batches:
             for low, high in _some(batch.column("text")):
-                found = Aligned(tools, *_encoded(tools, batch.column("text").slice(low, high - low).to_pylist()))
+                found = Aligned((tools.a_sizes, tools.b_sizes), *_encoded(tools, batch.column("text").slice(low, high - low).to_pylist()))
                 ends = [np.concatenate(([0], np.cumsum(x))) for x in (found.n_groups(), found.n_a, found.n_b)]
                 groups = found.n_groups()
                 bytes_before = np.concatenate(([0], found.a_ends))[ends[1][:-1]]
@@ -404,15 +439,16 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id"
 def aligned_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of each row."""
     given = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    tokens = stored(_tokens(given, (a_path, b_path)).withColumn("row", F.monotonically_increasing_id()), "tokens")
-    pairs = stored(pair_counts(tokens, a_path, b_path), "pairs")
+    made = stored(_tokens(given, (a_path, b_path)).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    tokens, pairs = made.where("a IS NOT NULL"), stored(pair_counts(made), "pairs")
     pair, n = _head(pairs)
     # One count per B id: as many as the vocabulary has.
     b_id = F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))
     highest = pairs.groupBy(b_id.alias("b")).agg(F.max("n").alias("best")).toArrow()
     best = np.zeros(int(np.asarray(highest["b"]).max(initial=-1)) + 1, np.int64)
     best[np.asarray(highest["b"])] = np.asarray(highest["best"])
-    scores = stored(_scores(tokens, (a_path, b_path), pair, n, best), "scores")
+    tools = encoder(a_path, b_path)
+    scores = stored(_scores(tokens, (tools.a_sizes, tools.b_sizes), pair, n, best), "scores")
 
     top = pairs.groupBy(b_id.alias("b")).agg(F.max("n").alias("best"))
     rest = (
