@@ -2,14 +2,16 @@
 
 A text is the mean of the embeddings of all its byte 3-grams and 4-grams (letters lower-cased,
 everything else a blank), hashed into a fixed number of buckets. Embeddings and the softmax are
-trained together by stochastic gradient descent in numpy, on a bounded sample of labelled rows;
+trained together by stochastic gradient descent in numpy, on the whole texts of a bounded sample of labelled rows;
 other labelled rows calibrate the probabilities by a temperature and set the least probability
 that is not rejected. A prediction depends on the text alone. Since the model is linear after
 the mean, prediction looks up one row of class scores per n-gram.
 
 Cases: a NULL text and one without a letter are `und` with score 0, rejected. Texts too short for
 a 3-gram are predicted from the classes' bias. Without labelled rows every text is `und`. Rows
-whose label is NULL are not learned from.
+whose label is NULL are not learned from. Texts are read whole, however long. Repeated rows are predicted alike; equal
+ids that tie for the sample are taken by their texts' checksums. An empty table gives no rows. Further
+columns may have any name but those added, which are replaced.
 """
 
 from __future__ import annotations
@@ -24,9 +26,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from weblens.llm.text import Block, blocks
 
 BUCKETS = 1 << 15
-#: Labelled rows per language that are learned from and that calibrate, and n-grams of a text
-#: that are learned from, spread over the whole text. Larger inputs change none of these.
-LEARN, CALIBRATE, GRAMS = 400, 200, 600
+#: Labelled rows per language that are learned from and that calibrate, whatever the size of the input.
+LEARN, CALIBRATE = 400, 200
 DIMENSIONS, EPOCHS, RATE, BATCH = 16, 8, 0.5, 32
 UNKNOWN = "und"
 #: The share of right answers to calibration rows that the least probability may cost.
@@ -95,8 +96,9 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=1, keepdims=True)
 
 
-def train(features: list[np.ndarray], labels: np.ndarray, languages: list[str], seed: int = 7) -> Model:
-    """Fit embeddings and softmax to bags of buckets by stochastic gradient descent."""
+def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, languages: list[str], seed: int = 7) -> Model:
+    """Fit embeddings and softmax to texts, each its different buckets and how often each occurs, by
+    stochastic gradient descent."""
     rng = np.random.default_rng(seed)
     classes = len(languages)
     embedding = rng.normal(0, 0.1, (2 * BUCKETS, DIMENSIONS)).astype(np.float32)
@@ -105,21 +107,22 @@ def train(features: list[np.ndarray], labels: np.ndarray, languages: list[str],
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for part in np.array_split(rng.permutation(len(features)), max(1, len(features) // BATCH)):
-            bags = [features[i] for i in part]
-            sizes = np.array([max(1, len(x)) for x in bags])
+            bags = [features[i][0] for i in part]
+            lengths = [len(x) for x in bags]
             flat = np.concatenate(bags)
-            begin = np.cumsum([0, *map(len, bags)])[:-1]
-            filled = np.array([len(x) > 0 for x in bags])
+            # A text is the mean over all its n-grams: a bucket weighs as often as it occurs.
+            shares = np.concatenate([features[i][1] / max(1, features[i][1].sum()) for i in part]).astype(np.float32)[:, None]
+            begin = np.cumsum([0, *lengths])[:-1]
+            filled = np.array([n > 0 for n in lengths])
             mean = np.zeros((len(bags), DIMENSIONS), np.float32)
             if len(flat):
-                mean[filled] = np.add.reduceat(embedding[flat], begin[filled])
-            mean /= sizes[:, None]
+                mean[filled] = np.add.reduceat(embedding[flat] * shares, begin[filled])
             error = _softmax(mean @ weights + bias)
             error[np.arange(len(part)), labels[part]] -= 1
             error = error.astype(np.float32)
             # n-grams of a text share its gradient; hot ones add up over the batch.
-            back = (error @ weights.T) * (rate / sizes * 50)[:, None].astype(np.float32)
-            np.subtract.at(embedding, flat, np.repeat(back, [len(x) for x in bags], axis=0))
+            back = (error @ weights.T) * np.float32(rate * 50)
+            np.subtract.at(embedding, flat, np.repeat(back, lengths, axis=0) * shares)
             weights -= rate * 20 * mean.T @ error / len(part)
             bias -= rate * 0.1 * error.mean(axis=0)
     return Model(languages, np.ascontiguousarray((embedding @ weights).T.astype(np.float32)), bias.astype(float))
@@ -174,15 +177,14 @@ def fit(docs: DataFrame) -> Model | None:
             for block in blocks(batch.column("text")):
                 buckets, at = _grams(block)
                 for low, high in zip(at[:-1], at[1:]):
-                    take = np.linspace(low, high - 1, min(GRAMS, high - low)).astype(np.int64)
-                    out.append(buckets[take].astype(np.int32).tobytes())
+                    out.append(np.stack(np.unique(buckets[low:high], return_counts=True)).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("lang"), batch.column("h"), pa.array(out, pa.binary())], ["lang", "h", "bag"])
 
     learned = sorted(chosen.where("not check").select("lang", "h", "text").mapInArrow(
         bags, "lang string, h long, bag binary").collect())
     place = {lang: i for i, lang in enumerate(languages)}
-    features = [np.frombuffer(r.bag, np.int32).astype(np.int64) for r in learned]
+    features = [tuple(np.frombuffer(r.bag, np.int32).reshape(2, -1).astype(np.int64)) for r in learned]
     model = train(features, np.array([place[r.lang] for r in learned], np.int64), languages)
 
     def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,24 +203,25 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """`docs` with lang_pred, score (the calibrated probability) and rejected, of like-named
     columns the only ones that stay."""
     added = {"lang_pred": T.StringType(), "score": T.DoubleType(), "rejected": T.BooleanType()}
-    given = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in added))
+    given = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in added))
+    text = F.col("text").cast("string")
+    rows = docs.select(given.alias("row"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letter"))
     if model is None:
-        return given.select("*", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
-    lettered = given.withColumn("has_letter", F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
-    schema = T.StructType([*given.schema.fields, *(T.StructField(k, v) for k, v in added.items())])
+        return rows.select("row.*", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+    schema = T.StructType([rows.schema["row"], *(T.StructField(k, v) for k, v in added.items())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(model.languages, dtype=object)
         for batch in batches:
-            some = np.asarray(batch.column(batch.num_columns - 1))
-            odds = model.probabilities(batch.column("text").cast(pa.string()))
+            some = np.asarray(batch.column("letter"))
+            odds = model.probabilities(batch.column("text"))
             score = np.where(some, odds.max(axis=1), 0.0)
             language = np.where(some, names[odds.argmax(axis=1)], UNKNOWN)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(language, pa.string()), pa.array(score), pa.array(~some | (score < model.least))],
-                names=[f.name for f in schema.fields])
+                [batch.column("row"), pa.array(language, pa.string()), pa.array(score), pa.array(~some | (score < model.least))],
+                names=schema.names)
 
-    return lettered.mapInArrow(task, schema)
+    return rows.mapInArrow(task, schema).select("row.*", *added)
 
 
 def identified_documents(docs: DataFrame) -> DataFrame:
