@@ -3,12 +3,14 @@
 A linear-chain conditional random field labels each line as content or boilerplate from what the
 line looks like and from its neighbours' labels; Viterbi decoding finds the best sequence, and
 the share of words in content lines decides whether a document stays. The field is trained here,
-by gradient ascent in numpy on a bounded sample of labelled documents, whose lines take the
+by gradient ascent in numpy on all lines of a bounded sample of labelled documents; lines take the
 document's label (quality 1: content).
 
 Cases: NULL, empty and blank texts have no words and fail the base rules. Lines without a word
 are no lines. Without labelled documents of both kinds every line counts as content. Repeated
-labels of a document count as one, good if any of them is.
+labels of a document count as one, good if any of them is. Texts are read whole, however long. Equal
+rows are judged alike; an empty table gives no rows. Further columns may have any name but those
+added, which are replaced.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from weblens.llm.text import IS_WORD, Block, blocks, mix, shingles, span_hashes
 
-#: Labelled documents of each kind that are learned from, and lines of each, evenly spread.
-LEARN, LINES = 500, 64
+#: Labelled documents of each kind that are learned from.
+LEARN = 500
+#: Lines of a sequence that is learned from; a longer document is several.
+SEQUENCE = 64
 STEPS, RATE, DECAY = 200, 0.5, 1e-3
 #: The least share of words in content lines.
 CONTENT_SHARE = 0.5
@@ -164,18 +168,20 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def train(sequences: list[np.ndarray], labels: list[int]) -> Field:
-    """Fit a field to sequences of line features, all lines of one having its label.
+    """Fit a field to the line features of documents, all lines of one having its label.
 
     Marginals come from the forward and the backward pass over all sequences at once.
     """
+    # Kinds and documents count alike, whatever their numbers and lengths.
+    documents = np.array([1 / labels.count(k) for k in labels]) / 2 / np.array([len(s) for s in sequences])
+    cut = [(s[at:at + SEQUENCE], k, w) for s, k, w in zip(sequences, labels, documents) for at in range(0, len(s), SEQUENCE)]
+    sequences, labels, share = [c[0] for c in cut], [c[1] for c in cut], np.array([c[2] for c in cut])
     longest = max(map(len, sequences))
     x = np.zeros((len(sequences), longest, len(FEATURES)))
     there = np.zeros((len(sequences), longest), bool)
     for i, s in enumerate(sequences):
         x[i, :len(s)], there[i, :len(s)] = s, True
     gold = np.eye(2)[np.array(labels)][:, None, :] * there[..., None]
-    # Kinds and documents count alike, whatever their numbers and lengths.
-    share = np.array([1 / labels.count(k) for k in labels]) / 2 / there.sum(axis=1)
     emission, transition = np.zeros((len(FEATURES), 2)), np.zeros((2, 2))
     pairs = (there[:, 1:] & there[:, :-1])[..., None, None]
     gold_pairs = gold[:, :-1, :, None] * gold[:, 1:, None, :]
@@ -220,8 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field | None:
             for block in blocks(batch.column("text")):
                 m = measure(block)
                 for low, high in zip(m.at[:-1], m.at[1:]):
-                    take = np.unique(np.linspace(low, max(low, high - 1), min(LINES, high - low)).astype(int))
-                    out.append(np.packbits(m.features[take].astype(bool), axis=1).tobytes())
+                    out.append(np.packbits(m.features[low:high].astype(bool), axis=1).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("quality"), pa.array(out, pa.binary())], ["doc_id", "quality", "lines"])
 
@@ -243,16 +248,16 @@ ADDED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repe
 def judge(docs: DataFrame, field: Field | None, least_share: float = CONTENT_SHARE) -> DataFrame:
     """`docs` with counts, content_share, base_failed and kept; like-named columns are replaced."""
     added = T.StructType.fromDDL(ADDED)
-    given = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in added.names),
-                        F.col("text").cast("string").alias("__text"))
-    schema = T.StructType([*given.schema.fields[:-1], *added.fields])
+    given = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in added.names)).alias("row"),
+                        F.col("text").cast("string").alias("text"))
+    schema = T.StructType([given.schema["row"], *added.fields])
     names = schema.names
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = np.zeros((5, len(batch)), np.int64)
             share = np.zeros(len(batch))
-            for block in blocks(batch.column(batch.num_columns - 1)):
+            for block in blocks(batch.column("text")):
                 m = measure(block)
                 counts[:, block.first:block.stop] = m.counts
                 scores = (m.features @ field.emission).tolist() if field else None
@@ -264,10 +269,10 @@ def judge(docs: DataFrame, field: Field | None, least_share: float = CONTENT_SHA
                         share[block.first + i] = good / sum(words[low:high])
             failed = (counts[0] < LEAST_WORDS) | (100 * counts[4] > MOST_REPEATED * counts[0])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], *map(pa.array, counts), pa.array(share), pa.array(failed),
+                [batch.column("row"), *map(pa.array, counts), pa.array(share), pa.array(failed),
                  pa.array(~failed & (share >= least_share))], names=names)
 
-    return given.mapInArrow(task, schema)
+    return given.mapInArrow(task, schema).select("row.*", *added.names)
 
 
 def judged_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
