@@ -94,12 +94,12 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     decided = hits.join(listed, "key").groupBy("url").agg(
         F.max(F.struct(F.length("key").alias("length"), "host_length", "blocks", "key")).alias("best"))
     verdicts = decided.select(
-        again("url").alias("url_key"), F.col("best.key").alias("rule"),
+        again("url").alias("key"), F.col("best.key").alias("rule"),
         F.when(F.col("best.blocks"), "block").otherwise("allow").alias("verdict"))
-    keyed = pages.select(*given, host(address).alias("host"), path(address).alias("path"),
-                         F.xxhash64(F.lit("again"), address).alias("url_key"))
-    return keyed.join(verdicts, "url_key", "left").select(
-        *given, "host", "path", "rule", F.coalesce("verdict", F.lit(DEFAULT)).alias("verdict"))
+    keyed = pages.select(F.struct(*given).alias("row"), host(address).alias("host"), path(address).alias("path"),
+                         F.xxhash64(F.lit("again"), address).alias("key"))
+    return keyed.join(verdicts, "key", "left").select(
+        "row.*", "host", "path", "rule", F.coalesce("verdict", F.lit(DEFAULT)).alias("verdict"))
 
 
 #: The list that the registered query judges by.
