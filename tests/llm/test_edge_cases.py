@@ -11,12 +11,13 @@ from weblens.llm import (
 )
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, shard string, size string, "
-          "verdict string, score string, node int, row int")
+          "verdict string, score string, node int, row int, has_letter string, letter int, __text int, key string, h1 string, "
+          "id string, `a.b` int, point int, query int, rank string")
 WORDS = "these are plain words of an ordinary sentence that goes on for a while and then it ends here."
 
 
 def _row(doc_id, text, lang="en", source="a"):
-    return doc_id, text, lang, source, 0, "x", "y", "z", "s", 1, 2
+    return doc_id, text, lang, source, 0, "x", "y", "z", "s", 1, 2, "n", 3, 4, "k", "h", "i", 5, 6, 7, "r"
 
 
 ROWS = [
@@ -82,6 +83,19 @@ def test_language(docs):
     assert language.accepted_documents(docs).columns == docs.columns
 
 
+def test_added_columns_leave_all_others_alone(spark, docs):
+    """The names that the operators use inside are no names to them if the rows have them."""
+    labels = spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
+    rows = sorted((r.asDict() for r in docs.collect()), key=str)
+    for made, added in ((language.identify(docs, language.fit(docs)), {"lang_pred", "score", "rejected"}),
+                        (quality.judge(docs, quality.fit(docs, labels)), {"kept"}),
+                        (prefix_tokens.with_counts(docs, public_tokenizers.path("byte_bpe_50k.json")), {"n_tokens"})):
+        assert added < set(made.columns)
+        shared = [c for c in docs.columns if c not in added]
+        got = sorted(({c: r[c] for c in shared} for r in made.collect()), key=str)
+        assert got == sorted(({c: r[c] for c in shared} for r in rows), key=str)
+
+
 def test_quality(spark, docs):
     labels = spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
     rows = {r.doc_id: r for r in quality.judged_documents(docs, labels).collect()}
@@ -121,6 +135,11 @@ def test_urls(spark):
     assert (rows[2].host, rows[2].path, rows[2].rule, rows[2].verdict) == ("", "", None, "allow")
     assert rows[3].rule is None and rows[4].verdict == "block" and rows[5].rule is None and rows[6].rule == "org/" and rows[7].rule == "org/"
     assert url_filter.judged_pages(pages.limit(0)).count() == 0
+    more = pages.selectExpr("*", "1 AS url_key", "2 AS key", "3 AS labels", "4 AS rule", "5 AS row", "6 AS h")
+    rules = spark.createDataFrame(list(url_filter.RULES), "host string, path string, verdict string")
+    judged = url_filter.judge(more, rules)
+    assert {(r.url_key, r.key, r.labels, r.row, r.h) for r in judged.collect()} == {(1, 2, 3, 5, 6)}
+    assert sorted((r.url or "", r.verdict) for r in judged.collect()) == sorted((u or "", rows[i].verdict) for i, u, *_ in PAGES)
 
 
 def test_warc(spark):

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from weblens.llm import (
-    decontaminate, language, line_dedup, mixing, ngram_join, quality, sharding, url_filter, warc,
+    decontaminate, language, line_dedup, mixing, ngram_join, prefix_tokens, quality, sharding, url_filter, warc,
 )
 from weblens.llm.graph import components
 
@@ -350,3 +350,46 @@ def test_damage_costs_only_the_records_it_touches():
         assert k in whole or (len(gaps) == 1 and gaps[0][0] == starts[k])
     plain = b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     assert [type(r).__name__ for r in warc.salvage(plain[:20] + plain + made[0])] == ["tuple", "Record", "Record"]
+
+
+def test_stored_prefixes_answer_as_the_library_does(spark, docs, texts, monkeypatch):
+    """Truncation and counts of prefixes from the stored columns alone, on whole documents."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    budgets, lengths = [1, 64, 1024], [0, 1, 7, 100, 10**6]
+    kept = prefix_tokens.stored(prefix_tokens.with_prefixes(docs.select("doc_id", "text"), path).drop("text"), "prefixes")
+    monkeypatch.setattr(prefix_tokens, "counter", None)  # nothing is encoded from here on
+    rows = prefix_tokens.counts_at(prefix_tokens.cut(kept, budgets), lengths).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r.doc_id] or ""
+        whole = library.encode(text, add_special_tokens=False)
+        assert r.n_tokens == len(whole.ids)
+        for budget in budgets:
+            ends = [e for _, e in whole.offsets[:budget]]
+            covered = len(text[:ends[-1]].encode()) if ends else 0
+            # A budget may end inside a character of several bytes; the library's offsets then take the whole character.
+            assert 0 <= covered - r[f"bytes_{budget}"] <= 3
+            if text.isascii() or budget >= len(whole.ids):
+                assert covered == r[f"bytes_{budget}"]
+        for n in lengths:
+            assert r[f"tokens_{n}"] == len(library.encode(text[:n], add_special_tokens=False).ids), (r.doc_id, n)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_every_prefix_has_the_count_of_its_own_encoding(seed):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, tokens, rng = Tokenizer.from_file(path), prefix_tokens.counter(path), np.random.default_rng(seed)
+    parts = ["a", "the", " ", "  ", "\n", "\t", "'re", "'s", "'ll", "'", "!!", "é", "中", "😀", "12", "<|endoftext|>", "<|", "x" * 9, "　", "\xa0", "=="]
+    for _ in range(200):
+        text = "".join(rng.choice(parts, rng.integers(0, 9)))
+        n, steps, sizes = tokens.table(text)
+        counts = np.cumsum(prefix_tokens.prefix_steps(steps)).tolist()
+        assert counts == [len(library.encode(text[:k], add_special_tokens=False).ids) for k in range(1, len(text) + 1)], text
+        assert n == len(sizes) // 2 and int(np.frombuffer(sizes, "<u2").sum()) == len(text.encode())

@@ -1,32 +1,45 @@
-"""Exact counts of byte-level BPE tokens for a text and for every prefix of it.
+"""Exact counts of byte-level BPE tokens for a text and for every prefix of it, stored once.
 
 Merges never cross the pieces that the tokenizer's pattern cuts a text into. Within a piece,
 dropping the last token of an encoding leaves the encoding of a shorter prefix; so one pass over
 a piece's bytes finds, for every prefix, its last token: the one that ends there and may follow
 the last token of what is left. `count[end] = count[end - len(token)] + 1` then holds the exact
-count at every prefix, and how far a budget of tokens reaches is a search in these counts,
-without encoding anything again. Two tokens may stand next to each other if no merge across
-their border would have come before the merges that made them.
+count at every prefix, and the last tokens lead back through the encoding itself. Two tokens may stand
+next to each other if no merge across their border would have come before the merges that made them.
+
+`with_prefixes` keeps both for every text: the count of each prefix of characters, as its difference to the one
+before, and the bytes of each token. From these columns alone `cut` tells what a budget of tokens
+leaves of a text, as the library's truncation does, and `counts_at` how many tokens a prefix has, as
+the library counts it by itself; neither looks at the vocabulary or at a text again. A prefix that ends
+inside a run of blanks, a contraction or a special token's string is cut into pieces otherwise than the whole text;
+its count is that of its own pieces.
 
 Pieces repeat, so a task remembers their counts, up to PIECES of them.
 
 Cases: a NULL text counts as an empty one, with 0 tokens. The string of a special token inside a
-text is that one token, as the library has it by default. Texts are never cut.
+text is that one token, as the library has it by default. Texts are never cut, however long. Repeated rows are
+counted alike, an empty table gives no rows. Further columns may have any name but those added, which are replaced.
 """
 
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from weblens.llm.store import stored
 
 #: Different pieces that a task remembers before it starts anew.
-PIECES = 500_000
+PIECES = 400_000
+#: Texts whose results leave a task together.
+ROWS = 500
 #: Fixed value: the pattern of byte-level BPE that cuts a text into pieces.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -63,7 +76,7 @@ class PrefixCounter:
         self.pattern = regex.compile(PATTERN)
         self._borders: dict[bytes, tuple[list, list]] = {}
         self._may_follow: dict[tuple[bytes, bytes], bool] = {}
-        self._known: dict[str, int] = {}
+        self._known: dict[str, tuple[int, bytes | None, bytes]] = {}
         #: Tokens that are the encoding of their own bytes.
         self.whole: set[bytes] = {t for t in self.vocabulary if len(t) == 1}
         for a, b in pairs:  # in the order of merges, so halves are known before the whole
@@ -104,8 +117,8 @@ class PrefixCounter:
             self.turn.get((a, b), never) < min(a_turn, b_turn + 1)
             for a, a_turn in self._edges(first)[1] for b, b_turn in self._edges(second)[0])
 
-    def prefix_counts(self, piece: bytes) -> list[int]:
-        """The number of tokens of every prefix of a piece, from the empty one to the whole."""
+    def prefix_counts(self, piece: bytes) -> tuple[list[int], list[bytes]]:
+        """The number of tokens of every prefix of a piece, from the empty one to the whole, and the last of them."""
         size = len(piece)
         counts, last = [0] * (size + 1), [b""] * (size + 1)
         whole, known = self.whole, self._may_follow
@@ -123,16 +136,33 @@ class PrefixCounter:
                         continue
                 last[end], counts[end] = token, counts[start] + 1
                 break
-        return counts
+        return counts, last
 
-    def count_piece(self, piece: str) -> int:
-        known = self._known
-        found = known.get(piece)
+    def piece(self, piece: str) -> tuple[int, bytes | None, bytes]:
+        """The number of tokens of a piece, the steps between the counts of its prefixes of characters,
+        one byte each (None if one does not fit), and the bytes of its tokens, 16 bits each."""
+        found = self._known.get(piece)
         if found is None:
-            if len(known) >= PIECES:
-                known.clear()
+            if len(self._known) >= PIECES:
+                self._known.clear()
                 self._may_follow.clear()
-            found = known[piece] = self.prefix_counts(piece.encode())[-1]
+            data = piece.encode()
+            counts, last = self.prefix_counts(data)
+            sizes, end = [], len(data)
+            while end:
+                sizes.append(len(last[end]))
+                end -= sizes[-1]
+            if len(data) != len(piece):
+                ends = accumulate((len(c.encode()) for c in piece), initial=0)
+                counts = [counts[e] for e in ends]
+            if piece[0] == "'" and len(piece) > 2 and self.pattern.fullmatch(piece[:2]) is None:
+                # The front of a contraction is no piece of its own.
+                counts[2] = sum(self.piece(p)[0] for p in self.pattern.findall(piece[:2]))
+            try:
+                steps = array("b", map(sub, counts[1:], counts)).tobytes()
+            except OverflowError:
+                steps = None
+            found = self._known[piece] = len(sizes), steps, array("H", sizes[::-1]).tobytes()
         return found
 
     def pieces(self, text: str) -> Iterator[tuple[str, bool]]:
@@ -144,37 +174,47 @@ class PrefixCounter:
             at = found.end()
         yield from ((p, False) for p in self.pattern.findall(text[at:] if at else text))
 
-    def count(self, text: str) -> int:
-        """The number of tokens of a text."""
-        if self.special and self.special.search(text):
-            return sum(1 if special else self.count_piece(p) for p, special in self.pieces(text))
-        return sum(map(self.count_piece, self.pattern.findall(text)))
-
-    def ends(self, text: str) -> tuple[list[int], list[int]]:
-        """Where each piece ends, in characters, and the number of tokens up to there."""
-        found = list(self.pieces(text))
-        return (list(accumulate(len(p) for p, _ in found)),
-                list(accumulate(1 if s else self.count_piece(p) for p, s in found)))
-
-    def fit(self, text: str, budget: int) -> int:
-        """The most characters from the start whose pieces' tokens are within a budget, the last
-        piece cut at a character where only a part of it fits."""
-        ends, counts = self.ends(text)
-        k = int(np.searchsorted(counts, budget, "right"))
-        done, spent = (ends[k - 1], counts[k - 1]) if k else (0, 0)
-        if k == len(ends):
-            return done
-        piece = text[done:ends[k]]
-        if self.special and self.special.fullmatch(piece):
-            return done
-        inside = self.prefix_counts(piece.encode())
-        at, fits = 0, 0
-        for i, char in enumerate(piece, 1):
-            at += len(char.encode())
-            if inside[at] <= budget - spent:
-                fits = i
-        return done + fits
-
+    def _counts(self, piece: str) -> np.ndarray:
+        """The count of every prefix of characters of a piece, without the empty one."""
+        n, steps, _ = self.piece(piece)
+        if steps is not None:
+            return np.cumsum(np.frombuffer(steps, np.int8), dtype=np.int64)
+        counts, _ = self.prefix_counts(piece.encode())
+        return np.array([counts[e] for e in accumulate(len(c.encode()) for c in piece)], np.int64)
+
+    def table(self, text: str) -> tuple[int, bytes, bytes]:
+        """The number of tokens, the steps of the counts of all prefixes, and the bytes of all tokens."""
+        if not (self.special and self.special.search(text)) and not _RUN.search(text):
+            found = list(map(self.piece, self.pattern.findall(text)))
+            if all(f[1] is not None for f in found):
+                return sum(f[0] for f in found), b"\x01" + b"".join([f[1] for f in found]), b"".join([f[2] for f in found])
+        # Counts of prefixes that end where the whole text's pieces do not apply are told one by one.
+        done, at, before = 0, 0, ""
+        counts, sizes = [], []
+        for piece, special in self.pieces(text):
+            if special:
+                inside = np.empty(len(piece), np.int64)
+                base = done - (self.piece(before)[0] if before else 0)
+                for k in range(1, len(piece)):
+                    inside[k - 1] = base + sum(self.piece(p)[0] for p in self.pattern.findall(before + piece[:k]))
+                inside[-1] = done + 1
+                sizes.append(np.array([len(piece.encode())], "<u2").tobytes())
+                done += 1
+            else:
+                inside = done + self._counts(piece)
+                if before and before.isspace() and piece[0].isspace():
+                    inside[0] = done - self.piece(before)[0] + self.piece(before + piece[0])[0]
+                sizes.append(self.piece(piece)[2])
+                done += self.piece(piece)[0]
+            counts.append(inside)
+            before = "" if special else piece
+        steps = np.diff(np.concatenate(counts), prepend=0) if counts else np.empty(0, np.int64)
+        width = next(w for w in (1, 2, 4) if not len(steps) or np.abs(steps).max() < 1 << (8 * w - 1))
+        return done, bytes([width]) + steps.astype(f"<i{width}").tobytes(), b"".join(sizes)
+
+
+#: Two blanks in a row: only there may a prefix have other pieces than the text.
+_RUN = regex.compile(r"\s\s")
 
 _counters: dict[str, PrefixCounter] = {}
 
@@ -186,44 +226,70 @@ def counter(path: str) -> PrefixCounter:
     return _counters[path]
 
 
-def with_counts(docs: DataFrame, path: str, limit: int = 1024, detail: bool = False) -> DataFrame:
-    """`docs` with n_bytes, n_tokens and over_limit; like-named columns are replaced.
-
-    With `detail` also piece_ends and piece_tokens: the count at every piece's end, which answer
-    how many tokens a prefix has and how much text a budget reaches (see `PrefixCounter.fit`).
-    """
-    added = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()),
-             T.StructField("over_limit", T.BooleanType())]
-    if detail:
-        added += [T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("piece_ends", "piece_tokens")]
-    names = {f.name for f in added}
-    given = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in names),
-                        F.col("text").cast("string").alias("__text"))
-    kept = given.columns[:-1]
-    schema = T.StructType([*given.schema.fields[:-1], *added])
+def _extended(frame: DataFrame, read: list[Column], added: list[T.StructField], values) -> DataFrame:
+    """`frame` with columns that `values` makes from batches of the columns `read`; like-named ones are replaced."""
+    names = [f.name for f in added]
+    given = frame.select(F.struct(*(F.col(f"`{c}`") for c in frame.columns if c not in names)).alias("row"), *read)
+    schema = T.StructType([given.schema["row"], *added])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = counter(path)
         for batch in batches:
-            sizes, counts, ends, upto = [], [], [], []
-            for value in batch.column(batch.num_columns - 1):
-                text = value.as_py() or ""
-                sizes.append(len(text.encode()))
-                if detail:
-                    e, c = tokens.ends(text)
-                    ends.append(e)
-                    upto.append(c)
-                    counts.append(c[-1] if c else 0)
-                else:
-                    counts.append(tokens.count(text))
-            columns = [pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())]
-            if detail:
-                columns += [pa.array(ends, pa.list_(pa.int32())), pa.array(upto, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*kept, *(f.name for f in added)])
-
-    return given.mapInArrow(task, schema)
+            for columns, part in values(batch):
+                yield pa.RecordBatch.from_arrays([part.column("row"), *columns], names=["row", *names])
+
+    return given.mapInArrow(task, schema).select("row.*", *(F.col(f"`{n}`") for n in names))
+
+
+def with_prefixes(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
+    """`docs` with n_bytes, n_tokens, over_limit, prefix_steps and token_sizes (see above)."""
+    added = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType()),
+             T.StructField("prefix_steps", T.BinaryType()), T.StructField("token_sizes", T.BinaryType())]
+
+    def values(batch: pa.RecordBatch):
+        tokens = counter(path)
+        for low in range(0, batch.num_rows, ROWS):
+            part = batch.slice(low, ROWS)
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            counts, steps, sizes = zip(*map(tokens.table, texts))
+            yield [pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts]),
+                   pa.array(steps, pa.binary()), pa.array(sizes, pa.binary())], part
+
+    return _extended(docs, [F.col("text").cast("string").alias("text")], added, values)
+
+
+def with_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
+    """`docs` with n_bytes, n_tokens and over_limit."""
+    return with_prefixes(docs, path, limit).drop("prefix_steps", "token_sizes")
+
+
+def cut(stored_prefixes: DataFrame, budgets: list[int]) -> DataFrame:
+    """With bytes_<budget>: how many bytes of the text its first tokens cover, at most `budget` of them."""
+    added = [T.StructField(f"bytes_{b}", T.LongType()) for b in budgets]
+
+    def values(batch: pa.RecordBatch):
+        sizes = [np.frombuffer(x.as_buffer(), "<u2") if x.is_valid else np.empty(0, "<u2") for x in batch.column("sizes")]
+        yield [pa.array([int(s[:b].sum(dtype=np.int64)) for s in sizes], pa.int64()) for b in budgets], batch
+
+    return _extended(stored_prefixes, [F.col("token_sizes").alias("sizes")], added, values)
+
+
+def counts_at(stored_prefixes: DataFrame, lengths: list[int]) -> DataFrame:
+    """With tokens_<length>: the number of tokens of the text's first characters, as many as `length` or all."""
+    added = [T.StructField(f"tokens_{n}", T.LongType()) for n in lengths]
+
+    def values(batch: pa.RecordBatch):
+        steps = [prefix_steps(x.as_py() if x.is_valid else b"") for x in batch.column("steps")]
+        yield [pa.array([int(s[:n].sum(dtype=np.int64)) for s in steps], pa.int64()) for n in lengths], batch
+
+    return _extended(stored_prefixes, [F.col("prefix_steps").alias("steps")], added, values)
+
+
+def prefix_steps(stored_steps: bytes) -> np.ndarray:
+    """The differences between the counts of a text's prefixes, one per character."""
+    return np.frombuffer(stored_steps, f"<i{stored_steps[0]}", offset=1) if stored_steps else np.empty(0, np.int8)
 
 
 def counted_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and over_limit of each row."""
-    return with_counts(docs.select("doc_id", "text"), path).drop("text")
+    """doc_id, n_bytes, n_tokens, over_limit and bytes_1024 of each row, read from the stored prefixes."""
+    kept = stored(with_prefixes(docs.select("doc_id", "text"), path).drop("text"), "prefixes")
+    return cut(kept, [1024]).select("doc_id", "n_bytes", "n_tokens", "over_limit", "bytes_1024")
