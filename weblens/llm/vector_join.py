@@ -11,8 +11,8 @@ proportional to its number of coordinates. Each block is joined by range on its
 * Tiles of equal or neighbouring cells meet by an equi-join of their summaries: centre and radius
   in each block and in all. Two tiles too far apart in the block, or in all, are dropped. Two
   tiles so tight that all their vectors are linked are settled by their sizes, without a look at a vector.
-* For the rest, a tile is held while its partners stream by, at most PARTNERS to a task's turn.
-  Candidates within the block's budget are verified with the whole vectors, in double precision.
+* For the rest, a run of HOSTS neighbouring tiles is held while their partners stream by, GUESTS of
+  them in a turn; turns are dealt out to all tasks. Candidates within the block's budget are verified with the whole vectors, in double precision.
   A pair counts in the first block whose budget it meets and in no other, so the union of all
   blocks' candidates needs no table of pairs: tasks hand on a sum per vector, and one
   link per vector and turn that keeps its component together, never a row per pair.
@@ -46,8 +46,8 @@ from weblens.llm.store import stored
 BLOCKS = 4
 #: Bytes of a tile's vectors.
 TILE = 1 << 20
-#: Tiles that stream by one held tile in one turn.
-PARTNERS = 16
+#: Neighbouring tiles that a task holds at once, and tiles that stream by them in one turn.
+HOSTS, GUESTS = 16, 64
 #: Coordinates of a block that make up a grid cell, at most; further ones would spare little.
 CELL = 6
 #: What 32-bit rotated coordinates may be off in a squared distance, with room to spare.
@@ -76,7 +76,7 @@ class Space:
         self.budgets = [self.limit * (p.stop - p.start) / size for p in self.parts]
         self.tile = max(16, TILE // (size * (width + 4) + 16))
         tiles = max(1.0, points / self.tile)
-        self.axes = [min(CELL, p.stop - p.start, round(np.log(tiles) / np.log(3))) for p in self.parts]
+        self.axes = [min(CELL, p.stop - p.start, round(np.log(tiles) / np.log(4))) for p in self.parts]
 
     def turned(self, vectors: np.ndarray) -> np.ndarray:
         """Rotated unit vectors in 32 bits. They are made once per point and then travel with it, so
@@ -310,37 +310,50 @@ def compare(a: Tile, b: Tile, block: int, space: Space, least: float) -> np.ndar
 
 
 def _compared(tiles: DataFrame, pairs: DataFrame, least: float, sizes: dict[int, int], kind: np.dtype) -> DataFrame:
-    """(point, links, root): sums over links of a turn, and a point each is in one component with."""
-    n_pairs = pairs.count()
-    turns = pairs.select("a", "b", F.floor(F.row_number().over(Window.partitionBy("a").orderBy("b")) / PARTNERS).cast("long").alias("turn"))
-    turns = stored(turns, "turns")
+    """(point, links, root): sums over links of a turn, and a point each is in one component with.
+
+    Hosts are runs of HOSTS neighbouring tiles; a guest comes once to a run, for all its partners in it.
+    """
+    run = F.expr(f"a DIV {HOSTS}").alias("run")  # tiles are numbered one by one within each partition
+    visits = pairs.groupBy(run, "b").agg(F.collect_list("a").alias("partners"))
+    visits = stored(visits.withColumn("turn", F.floor(F.row_number().over(Window.partitionBy("run").orderBy("b")) / GUESTS).cast("long")), "visits")
     packed = tiles.select("tile", "size", "block", "points", "copies", "given", "turned")
-    partners = turns.join(packed.withColumnRenamed("tile", "b"), "b").withColumn("guest", F.lit(1))
-    held = turns.select("a", "turn").distinct().join(packed.withColumnRenamed("tile", "a"), "a").withColumn("b", F.col("a")).withColumn("guest", F.lit(0))
-    columns = ["a", "turn", "guest", "b", "size", "block", "points", "copies", "given", "turned"]
+    guests = visits.join(packed.withColumnRenamed("tile", "b"), "b")
+    hosts = (
+        visits.select("run", "turn", F.explode("partners").alias("b")).distinct()
+        .join(packed.withColumnRenamed("tile", "b"), "b").withColumn("partners", F.lit(None).cast("array<long>"))
+    )
+    columns = ["run", "turn", "partners", "b", "size", "block", "points", "copies", "given", "turned"]
     stream = (
-        held.select(*columns).unionByName(partners.select(*columns))
-        .repartition(n_pairs // PARTNERS + 1, "a", "turn").sortWithinPartitions("a", "turn", "guest", "b")
+        hosts.select(*columns).unionByName(guests.select(*columns))
+        .repartition(visits.count() // GUESTS + 1, "run", "turn")
+        .sortWithinPartitions("run", "turn", F.col("partners").isNotNull(), "b")
     )
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host = None
+        at, here = None, {}
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_buffer() if c in ("points", "copies", "given", "turned") else batch.column(c)[i].as_py()
                        for c in columns}
-                if not row["guest"]:
-                    host, host_id = Tile(row, kind), row["a"]
+                if (row["run"], row["turn"]) != at:
+                    at, here = (row["run"], row["turn"]), {}
+                if row["partners"] is None:
+                    here[row["b"]] = Tile(row, kind)
                     continue
                 space = space_of(row["size"], least, sizes[row["size"]], kind.itemsize)
-                guest = host if row["b"] == host_id else Tile(row, kind)
-                labels = compare(host, guest, row["block"], space, least)
-                both = host.points if guest is host else np.concatenate((host.points, guest.points))
-                sums = host.sums if guest is host else np.concatenate((host.sums, guest.sums))
-                told = np.flatnonzero((sums > 0) | (labels != np.arange(len(both))))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(both[told]), pa.array(sums[told]), pa.array(both[labels[told]])], names=["point", "links", "root"])
-                host.sums = np.zeros_like(host.sums)
+                visitor = Tile(row, kind)
+                for name in row["partners"]:
+                    host = here[name]
+                    guest = host if row["b"] == name else visitor
+                    labels = compare(host, guest, row["block"], space, least)
+                    both = host.points if guest is host else np.concatenate((host.points, guest.points))
+                    sums = host.sums if guest is host else np.concatenate((host.sums, guest.sums))
+                    told = np.flatnonzero((sums > 0) | (labels != np.arange(len(both))))
+                    host.sums, guest.sums = np.zeros_like(host.sums), np.zeros_like(guest.sums)
+                    if len(told):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(both[told]), pa.array(sums[told]), pa.array(both[labels[told]])], names=["point", "links", "root"])
 
     return stream.mapInArrow(task, "point long, links long, root long")
 
