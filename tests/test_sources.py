@@ -16,7 +16,7 @@ import pytest
 from pyspark import cloudpickle
 
 from weblens.formats import NEXUS, NGINX
-from weblens.sources import archives
+from weblens.sources import archives, files
 from weblens.sources.discover import glob_list, read_logs
 
 
@@ -306,3 +306,79 @@ def test_broken_bytes_are_replaced_as_a_text_reader_would(spark, tmp_path):
     found, _ = lines_of(spark, tmp_path)
     expected = sorted(line.decode("utf-8", errors="replace") for line in lines)
     assert [sorted(texts) for texts in found.values()] == [expected, expected]
+
+
+def test_a_linked_file_is_read_once_under_its_own_name(spark, tmp_path):
+    logs, other = tmp_path / "logs", tmp_path / "other"
+    (logs / "sub").mkdir(parents=True), other.mkdir()
+    (logs / "access.log").write_text("x\n")
+    (logs / "access.log.current").symlink_to(logs / "access.log")
+    (logs / "access.log.0").symlink_to("access.log")
+    (logs / "sub" / "access.log.again").symlink_to(logs / "access.log.current")
+    (other / "elsewhere").write_text("y\n")
+    (logs / "access.log.b").symlink_to(other / "elsewhere")
+    (logs / "access.log.a b%").symlink_to(other / "elsewhere")
+    (logs / "access.log.gone").symlink_to(tmp_path / "nowhere")
+    (logs / "access.log.tar").write_bytes(tar_bytes([("access.log", b"z\n")]))
+    (logs / "sub" / "access.log.link.tar").symlink_to(logs / "access.log.tar")
+    (logs / "linked").symlink_to(logs / "sub")
+    found, problems = lines_of(spark, logs)
+    assert problems == {}
+    assert found == {"nginx:access.log": ["x"], "nginx:access.log.a%20b%25": ["y"], "nginx:access.log.tar->access.log": ["z"]}
+    table = {r.file_source: r.state for r in files.file_table(spark, files.walk(spark, str(logs), NGINX.globs), "nginx").collect()}
+    assert table == {
+        "nginx:access.log": "read", "nginx:access.log.current": "duplicate", "nginx:access.log.0": "duplicate",
+        "nginx:access.log.again": "duplicate", "nginx:access.log.a b%": "read", "nginx:access.log.b": "duplicate",
+        "nginx:access.log.tar": "read", "nginx:access.log.link.tar": "duplicate"}
+
+
+def test_hidden_folders_are_read_and_hidden_files_told(spark, tmp_path):
+    for name in ("_old", ".arch", "plain/_deep/.deeper"):
+        (tmp_path / name).mkdir(parents=True)
+    (tmp_path / "_old" / "access.log").write_text("old\n")
+    (tmp_path / ".arch" / "access.log.1.gz").write_bytes(gzip.compress(b"packed\n"))
+    (tmp_path / "plain" / "_deep" / ".deeper" / "access.log.2").write_text("deep\n")
+    (tmp_path / "plain" / "access.log.3").write_text("plain\n")
+    (tmp_path / "_access.log").write_text("hidden\n")
+    found, problems = lines_of(spark, tmp_path)
+    assert found == {"nginx:access.log": ["old"], "nginx:access.log.1.gz->access.log.1": ["packed"],
+                     "nginx:access.log.2": ["deep"], "nginx:access.log.3": ["plain"]}
+    assert problems == {}
+    found, problems = lines_of(spark, tmp_path, globs=["*access.log*"])
+    assert len(found) == 4 and problems == {"nginx:_access.log": files.HIDDEN}
+
+
+def test_nested_archives_cost_in_proportion(monkeypatch):
+    """Bytes unpacked from the outermost stream do not grow with the square of the members."""
+    def unpacked(members):
+        inner = [(f"access.log.{i}.tar.gz", tar_bytes([("access.log", b"line\n" * 2000)], "w:gz")) for i in range(members)]
+        read = 0
+        original = gzip.GzipFile.read
+
+        def counted(self, *args):
+            nonlocal read
+            data = original(self, *args)
+            read += len(data)
+            return data
+
+        with monkeypatch.context() as patch:
+            patch.setattr(gzip.GzipFile, "read", counted)
+            stream = io.BytesIO(tar_bytes(inner, "w:gz"))
+            blocks = [b for _, b, problem in archives._walk(stream, ("access.log.tar.gz",), ["access.log*"], 3) if b]
+        assert len(blocks) == members
+        return read
+
+    assert unpacked(64) <= 2.2 * unpacked(32)
+
+
+def test_spooled_archives_and_long_lines(spark, tmp_path, monkeypatch):
+    body = b"".join(b"line %d\n" % i for i in range(3000))
+    data = tar_bytes([("access.log.1.tar", tar_bytes([("access.log", body), ("access.log.2.zip", zip_bytes([("access.log.3", body)]))]))], "w:bz2")
+    for size in (1, 1 << 20):
+        monkeypatch.setattr(archives, "SPOOL_BYTES", size)
+        found = list(archives._walk(io.BytesIO(data), ("access.log.tar.bz2",), ["access.log*"], 3))
+        assert [(chain[-1], block) for chain, block, _ in found] == [("access.log", body), ("access.log.3", body)]
+    monkeypatch.setattr(archives, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(archives, "LINE_BYTES", 1000)
+    blocks = list(archives._blocks(io.BytesIO(b"a\n" + b"x" * 5000 + b"\nb\n")))
+    assert max(map(len, blocks)) < 1300 and b"".join(blocks).replace(b"\n", b"") == b"a" + b"x" * 5000 + b"b"

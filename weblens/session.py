@@ -48,7 +48,7 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     """The path as the JVM has it, and its own file system."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path, jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -56,7 +56,7 @@ def _file_system(spark: SparkSession, path: str):
 
 def path_kind(spark: SparkSession, path: str) -> str | None:
     """`file` or `folder` as the path's own file system sees it; None where there is nothing."""
-    jvm_path, system = _file_system(spark, path)
+    jvm_path, system = file_system(spark, path)
     if not system.exists(jvm_path):
         return None
     return "folder" if system.getFileStatus(jvm_path).isDirectory() else "file"
@@ -64,12 +64,12 @@ def path_kind(spark: SparkSession, path: str) -> str | None:
 
 def child_folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders directly below a folder; none where there is no such folder."""
-    jvm_path, system = _file_system(spark, path)
+    jvm_path, system = file_system(spark, path)
     if not system.exists(jvm_path):
         return []
     return [found.getPath().getName() for found in system.listStatus(jvm_path) if found.isDirectory()]
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
-    jvm_path, system = _file_system(spark, path)
+    jvm_path, system = file_system(spark, path)
     system.delete(jvm_path, True)

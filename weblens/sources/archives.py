@@ -10,7 +10,9 @@ one of the same name replaces, is one row with its reason; the rest is read. Onl
 with the bytes of an archive makes it unreadable: if they can not be read, the task fails.
 
 An archive counts only as a whole. It is read through once to see that it is sound, and again
-to hand out its lines, so that a truncated file contributes nothing instead of a part.
+to hand out its lines, so that a truncated file contributes nothing instead of a part. An archive inside
+another is copied out first, to memory or, beyond `SPOOL_BYTES`, to a file that ends with it: both readings
+then stay within it, where going back in the outer stream would unpack that from its start each time.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ import itertools
 import lzma
 import posixpath
 import re
+import shutil
 import struct
 import tarfile
+import tempfile
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator, Sequence
@@ -53,6 +57,12 @@ _BLOCKS = pa.schema([
 ])
 _SPARK_BLOCKS = "block binary, number long, file_source string, file_path string, problem string"
 
+#: An archive inside another is held in memory up to this size.
+SPOOL_BYTES = 32 << 20
+
+#: A line longer than this is handed out in pieces, so that a member without line ends is never held whole.
+LINE_BYTES = 64 << 20
+
 Member = tuple[str, Callable[[], BinaryIO]]
 
 
@@ -147,7 +157,7 @@ def _zip_members(stream: BinaryIO) -> Iterator[Member]:
 
 
 def _gzip_member(stream: BinaryIO, name: str) -> Iterator[Member]:
-    yield name[:-len(".gz")], lambda: gzip.GzipFile(fileobj=stream)
+    yield name[:-len(".gz")], lambda: gzip.GzipFile(fileobj=stream, mode="rb")
 
 
 def _members(stream: BinaryIO, name: str) -> Iterator[Member]:
@@ -194,6 +204,9 @@ def _blocks(content: BinaryIO) -> Iterator[bytes]:
                 yield ready
             ready, pending = b"".join((*pending, data[:cut])), []
         pending.append(data[cut:])
+        if sum(map(len, pending)) > LINE_BYTES:
+            yield b"".join((ready, *pending, b"\n"))
+            ready, pending = b"", []
     if rest := b"".join((ready, *pending)):
         yield rest
 
@@ -228,7 +241,11 @@ def _walk(
             yield inner, None, "Replaced by a later member of the same name"
             continue
         with opened as content:
-            if base.endswith(ARCHIVE_ENDINGS):
+            if base.endswith(ARCHIVE_ENDINGS) and depth_left > 1:
+                with tempfile.SpooledTemporaryFile(max_size=SPOOL_BYTES) as copy:
+                    shutil.copyfileobj(content, copy, 1 << 20)
+                    yield from _walk(copy, inner, globs, depth_left - 1)
+            elif base.endswith(ARCHIVE_ENDINGS):
                 yield from _walk(content, inner, globs, depth_left - 1)
             else:
                 for block in _blocks(content):

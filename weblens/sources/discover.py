@@ -12,7 +12,7 @@ from pyspark.sql.streaming import DataStreamReader
 from weblens import schemas
 from weblens.formats import LogFormat
 from weblens.session import path_kind
-from weblens.sources import archives
+from weblens.sources import archives, files as listing
 
 log = logging.getLogger(__name__)
 
@@ -58,19 +58,22 @@ def listing_glob(globs: Sequence[str]) -> str:
 
 
 def listed(reader: Reader, globs: Sequence[str]) -> Reader:
-    """A reader of all files below a folder whose names match, hidden files aside."""
+    """A reader of all files below a folder whose names match; Spark leaves hidden names aside."""
     return reader.option("recursiveFileLookup", True).option("pathGlobFilter", listing_glob(globs))
 
 
-def _load(
-    spark: SparkSession, folder: str, kind: str, globs: Sequence[str]
-) -> DataFrame | None:
-    """The matching files as a lazy frame; None, with a warning, where there is no folder."""
+def find(spark: SparkSession, folder: str, globs: Sequence[str]) -> listing.Listing | None:
+    """The matching files of a folder; None, with a warning, where there is no folder."""
     found = path_kind(spark, folder)
     if found != "folder":
-        log.warning("not a directory: %s" if found else "directory does not exist: %s", folder)
+        log.warning("no folder at this path: %s" if found else "nothing at this path: %s", folder)
         return None
-    return listed(spark.read.format(kind), globs).load(folder)
+    return listing.walk(spark, folder, globs)
+
+
+def _load(spark: SparkSession, kind: str, globs: Sequence[str], found: listing.Listing) -> DataFrame:
+    """The matching files as a lazy frame, each once."""
+    return listing.once(spark, listed(spark.read.format(kind), globs).load(found.roots), found)
 
 
 def plain_lines(files: DataFrame, fmt: LogFormat) -> DataFrame:
@@ -87,11 +90,14 @@ def plain_lines(files: DataFrame, fmt: LogFormat) -> DataFrame:
 def read_plain(
     spark: SparkSession, folder: str, fmt: LogFormat, globs: str | Sequence[str] | None = None
 ) -> DataFrame:
-    """Lines of the matching files that are not archives."""
-    files = _load(spark, folder, "text", glob_list(globs or fmt.globs))
-    if files is None:
+    """Lines of the matching files that are not archives; a skipped row for each hidden file."""
+    globs = glob_list(globs or fmt.globs)
+    found = find(spark, folder, globs)
+    if found is None:
         return spark.createDataFrame([], schemas.RAW_LINES)
-    return plain_lines(files, fmt)
+    lines = plain_lines(_load(spark, "text", globs, found), fmt)
+    hidden = found.paths(listing.SKIPPED)
+    return lines.unionByName(listing.skipped_lines(spark, found, fmt.name)) if hidden else lines
 
 
 def list_plain(
@@ -101,9 +107,11 @@ def list_plain(
 
     Spark's listing leaves out files of zero bytes.
     """
-    files = _load(spark, folder, "binaryFile", glob_list(globs or fmt.globs))
-    if files is None:
+    globs = glob_list(globs or fmt.globs)
+    found = find(spark, folder, globs)
+    if found is None:
         return spark.createDataFrame([], "file_path string, file_source string")
+    files = _load(spark, "binaryFile", globs, found)
     name = F.col("_metadata.file_name")
     return files.where(~archives.is_archive(name)).select(
         F.col("_metadata.file_path").alias("file_path"),
@@ -119,10 +127,10 @@ def read_archived(
     if not 1 <= max_depth <= 10:
         raise ValueError("max_depth must be between 1 and 10")
     globs = glob_list(globs or fmt.globs)
-    files = _load(spark, folder, "binaryFile", globs)
-    if files is None:
+    found = find(spark, folder, globs)
+    if found is None:
         return spark.createDataFrame([], schemas.RAW_LINES)
-    return archived_lines(files, fmt, globs, max_depth)
+    return archived_lines(_load(spark, "binaryFile", globs, found), fmt, globs, max_depth)
 
 
 def archived_lines(files: DataFrame, fmt: LogFormat, globs: Sequence[str], max_depth: int) -> DataFrame:
