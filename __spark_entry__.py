@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -17,8 +18,8 @@ from weblens.functions import cell_text, human_size, repository_of, status_class
 from weblens.operators import catalog, correlate, parse as p, quality, timeline, traffic
 from weblens.plans import adhoc
 from weblens.plans.ingest import LogStore
-from weblens.plans.samples import packed, sample_lines
-from weblens.session import shared_folder
+from weblens.plans.samples import packed, sample_files, sample_lines, write_files
+from weblens.session import file_system, shared_folder
 from weblens.sources import archives
 from weblens.streaming import live
 from weblens.streaming.incremental import ingest_new_files
@@ -252,6 +253,35 @@ def _ingest_tar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.accepted(parsed).drop("file_source", "file_path")
 
 
+def _files(kind: str, globs: str | None = None, linked: bool = False) -> Callable[[SparkSession, str], LogStore]:
+    """A store into which a folder of sample files has been read."""
+    def run(spark: SparkSession, sf_dir: str) -> LogStore:
+        folder = write_files(sample_files(sample_lines(spark, sf_dir, "nginx"), kind))
+        path, system = file_system(spark, folder)
+        if linked and system.getUri().getScheme() == "file":  # other file systems have no links
+            below = Path(path.toUri().getPath())
+            for name in sorted(x.name for x in below.iterdir()):
+                (below / f"{name}.current").symlink_to(below / name)
+        store = LogStore(spark, shared_folder(spark, "store"))
+        store.ingest(folder, "nginx", globs=globs)
+        return store
+    return run
+
+
+def _ingest_files(kind: str, globs: str | None = None, linked: bool = False) -> Query:
+    """The good lines of sample files and where each comes from."""
+    fill = _files(kind, globs, linked)
+    return lambda spark, sf_dir: fill(spark, sf_dir).table("nginx").drop("id", "created_at", "log_date")
+
+
+def _skipped_files(kind: str) -> Query:
+    """What was skipped in sample files, with the kind of reason."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        refused = _files(kind)(spark, sf_dir).quarantine("nginx").where("raw_line IS NULL")
+        return refused.select("file_source", F.substring_index("reason", ":", 1).alias("reason"))
+    return run
+
+
 def _stored_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filled(spark, sf_dir).quarantine("nginx").select("format", "raw_line", "reason")
 
@@ -299,6 +329,16 @@ _QUERIES: dict[str, Query] = {
     "ingest_text_folder": _ingest_folder("none"),
     "ingest_gzip_folder": _ingest_folder("gzip"),
     "ingest_tar_archives": _ingest_tar,
+    "ingest_zip_archives": _ingest_files("zip"),
+    "ingest_nested_archives": _ingest_files("nested"),
+    "ingest_damaged_archives": _ingest_files("damaged"),
+    "damaged_archives_skipped": _skipped_files("damaged"),
+    "ingest_tar_links": _ingest_files("links"),
+    "tar_members_skipped": _skipped_files("links"),
+    "ingest_linked_files": _ingest_files("mixed", "access.log*, other*.LOG", linked=True),
+    "ingest_mixed_case": _ingest_files("mixed", "access.log*, other*.LOG"),
+    "ingest_hidden_folders": _ingest_files("hidden"),
+    "ingest_broken_bytes": _ingest_files("broken"),
     "ingest_stream": _ingest_stream("none"),
     "ingest_stream_gzip": _ingest_stream("gzip"),
     "ingest_nexus": _ingest_lines("nexus"),

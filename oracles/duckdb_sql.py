@@ -7,7 +7,7 @@ field, `strptime` for times, string functions for requests.
 from __future__ import annotations
 
 from weblens import schemas
-from weblens.plans.samples import expressions
+from weblens.plans.samples import FILE_LINES, expressions
 
 DIALECT = {
     "STR": "VARCHAR",
@@ -163,6 +163,26 @@ _TOTALS = f"""
   FROM ({_PER_FILE}) GROUP BY ROLLUP (format)"""
 
 
+#: The sample file that an event is in, and whether it is among the odd ones of its lines.
+_FILE = f"id // {FILE_LINES}"
+_ODD = f"id % {FILE_LINES} % 2 = 1"
+
+
+def _from_files(source: str, where: str = "true", path: str = "path", raw_log: str = "raw_log") -> str:
+    """Good lines as read from sample files; `source` is their `file_source`."""
+    return _nginx(f"SELECT * EXCLUDE (id, file_source) REPLACE ({path} AS path, {raw_log} AS raw_log), 'nginx:' || {source} AS file_source"
+                  f" FROM nginx_logs WHERE {where}")
+
+
+def _skipped(values: str, where: str = "true") -> str:
+    """A row for each sample file and each (source, reason) of it."""
+    return (f"SELECT 'nginx:' || source AS file_source, reason FROM (SELECT DISTINCT event_id // {FILE_LINES} AS n FROM events) f,"
+            f" LATERAL (VALUES {values}) v(source, reason) WHERE {where}")
+
+
+_BROKEN = "replace({0}, '/repository/', '/repository/' || chr(65533) || chr(65533))"
+
+
 def _statistics(table: str) -> str:
     return (f"SELECT '{table}' AS table_name, count(*) AS total_entries,"
             " count(DISTINCT ip_address) AS unique_ips,"
@@ -271,6 +291,27 @@ QUERIES: dict[str, str] = {
     "ingest_tar_archives": _nginx(_STORED_NGINX),
     "ingest_stream": _nginx(_STORED_NGINX),
     "ingest_stream_gzip": _nginx(_STORED_NGINX),
+    "ingest_zip_archives": _from_files(
+        f"'access.log.' || {_FILE} || '.zip->' || CASE WHEN {_ODD} THEN 'ACCESS.LOG.1' ELSE 'logs/access.log' END"),
+    "ingest_nested_archives": _from_files(
+        f"'access.log.' || {_FILE} || '.tar->' || CASE WHEN {_ODD} THEN 'access.log.1.gz->access.log.1'"
+        " ELSE 'old/access.log.tar.gz->access.log.zip->access.log' END"),
+    "ingest_damaged_archives": _from_files(
+        f"'access.log.' || {_FILE} || '.gz->access.log.' || {_FILE}", f"{_FILE} % 3 <> 0"),
+    "damaged_archives_skipped": _skipped("('access.log.' || n || '.gz', 'Unreadable archive')", "n % 3 = 0"),
+    # Of the members of one name the last counts, and a link stands for the first.
+    "ingest_tar_links": _with(f"""
+  SELECT * EXCLUDE (id, file_source), 'nginx:access.log.' || {_FILE} || '.tar.bz2->' || unnest(
+    ['access.log', 'access.log.current', './access.log.1']) AS file_source FROM nginx_logs WHERE NOT {_ODD}""", NGINX),
+    "tar_members_skipped": _skipped(
+        "('access.log.' || n || '.tar.bz2->access.log.gone', 'Link without a file'),"
+        " ('access.log.' || n || '.tar.bz2->../access.log', 'Unsafe path in archive'),"
+        " ('access.log.' || n || '.tar.bz2->access.log.1', 'Replaced by a later member of the same name')"),
+    **{key: _from_files(
+        f"CASE {_FILE} % 3 WHEN 0 THEN 'ACCESS.Log.' || {_FILE} ELSE 'Other-' || {_FILE} || '.log' END", f"{_FILE} % 3 < 2")
+       for key in ("ingest_linked_files", "ingest_mixed_case")},
+    "ingest_hidden_folders": _from_files(f"'access.log.' || {_FILE}"),
+    "ingest_broken_bytes": _from_files(f"'access.log.' || {_FILE}", path=_BROKEN.format("path"), raw_log=_BROKEN.format("raw_log")),
     "ingest_fresh": _nginx(_STORED_NGINX),
     "ingest_nexus": _nexus("SELECT * EXCLUDE (id, file_source) FROM nexus_logs"),
     "ingest_ids": _nginx("SELECT 2 * count(*) AS entries, 2 * count(*) AS ids, true AS ascending,"

@@ -7,14 +7,18 @@ another SQL engine can make the same lines for a comparison.
 
 from __future__ import annotations
 
+import gzip
 import io
 import tarfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from weblens.session import child_folders, file_system, shared_folder
+
 SPARK_DIALECT = {
     "STR": "STRING",
     "CLF": "date_format(ts, 'dd/MMM/yyyy:HH:mm:ss')",
@@ -143,3 +147,88 @@ def packed(lines: DataFrame, member: str) -> DataFrame:
             )
 
     return lines.select("line").mapInArrow(pack, "name string, path string, content binary")
+
+
+#: Lines of a sample file.
+FILE_LINES = 1000
+
+
+def _tar(members: list[tuple[str, bytes | str]], mode: str = "w") -> bytes:
+    """A tar of members in order; a text in place of bytes makes a link to the member it names."""
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode=mode) as tar:
+        for name, content in members:
+            info = tarfile.TarInfo(name)
+            if isinstance(content, str):
+                info.type, info.linkname = tarfile.SYMTYPE, content
+                tar.addfile(info)
+            else:
+                info.size = len(content)
+                tar.addfile(info, io.BytesIO(content))
+    return out.getvalue()
+
+
+def _zip(members: list[tuple[str, bytes]]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        for name, content in members:
+            archive.writestr(name, content)
+    return out.getvalue()
+
+
+def _sample_file(kind: str, number: int, lines: list[str]) -> tuple[str, bytes]:
+    """Name and content of the file that holds some lines, the even ones apart from the odd ones."""
+    even, odd = ("\n".join(lines[k::2]).encode() for k in (0, 1))
+    whole = "\n".join(lines).encode()
+    if kind == "zip":
+        return f"access.log.{number}.zip", _zip([("logs/access.log", even), ("notes.txt", b"no log"), ("ACCESS.LOG.1", odd)])
+    if kind == "nested":
+        inner = _tar([("access.log.zip", _zip([("access.log", even)])), ("error.log", b"no")], "w:gz")
+        return f"access.log.{number}.tar", _tar([("old/access.log.tar.gz", inner), ("access.log.1.gz", gzip.compress(odd))])
+    if kind == "damaged":
+        packed = gzip.compress(whole)
+        return f"access.log.{number}.gz", packed[:len(packed) // 2] if number % 3 == 0 else packed
+    if kind == "links":
+        return f"access.log.{number}.tar.bz2", _tar(
+            [("access.log", even), ("access.log.current", "access.log"), ("access.log.gone", "nothing"),
+             ("../access.log", odd), ("access.log.1", odd), ("./access.log.1", even)], "w:bz2")
+    if kind == "mixed":
+        return (f"ACCESS.Log.{number}", f"Other-{number}.log", f"error.log.{number}")[number % 3], whole
+    if kind == "hidden":
+        return (f"access.log.{number}", f"_old/access.log.{number}", f".arch/_deep/access.log.{number}")[number % 3], whole
+    if kind == "broken":
+        return f"access.log.{number}", whole.replace(b"/repository/", b"/repository/\xff\xc3")
+    raise ValueError(f"no such kind of sample files: {kind!r}")
+
+
+def sample_files(lines: DataFrame, kind: str) -> DataFrame:
+    """The lines as files (`name`, `content`), FILE_LINES events each."""
+    def make(table: pa.Table) -> pa.Table:
+        table = table.sort_by("event_id")
+        name, content = _sample_file(kind, table["number"][0].as_py(), table["line"].to_pylist())
+        return pa.table({"name": pa.array([name]), "content": pa.array([content], pa.binary())})
+
+    numbered = lines.select("event_id", "line", F.expr(f"CAST(event_id DIV {FILE_LINES} AS INT)").alias("number"))
+    return numbered.groupBy("number").applyInArrow(make, "name string, content binary")
+
+
+def write_files(files: DataFrame) -> str:
+    """A folder in which each row of `name` and `content` is a file.
+
+    Spark's text writer puts the bytes down as they are, with a zero byte behind them where they are packed, which
+    archives may end with; its files are then given their names.
+    """
+    spark = files.sparkSession
+    folder, written = shared_folder(spark, "files"), shared_folder(spark, "written")
+    numbered = files.select(F.hex("name").alias("name"), F.col("content").cast("string").alias("value"), F.col("name").rlike(r"\.(zip|gz|bz2|tar)$").alias("packed"))
+    for packed, end in ((True, "\0"), (False, "\n")):
+        part = numbered.where(F.col("packed") == packed).drop("packed")
+        part.write.mode("append").partitionBy("name").option("lineSep", end).text(written)
+    target, system = file_system(spark, folder)
+    for child in child_folders(spark, written):
+        name = bytes.fromhex(child.removeprefix("name=")).decode()
+        place = file_system(spark, f"{folder}/{name}")[0]
+        system.mkdirs(place.getParent())
+        for found in system.listStatus(file_system(spark, f"{written}/{child}")[0]):
+            system.rename(found.getPath(), place)
+    return folder
