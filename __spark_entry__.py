@@ -286,6 +286,25 @@ def _stored_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filled(spark, sf_dir).quarantine("nginx").select("format", "raw_line", "reason")
 
 
+def _stored_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest rows of three ingests, without what differs from run to run."""
+    return _filled(spark, sf_dir, times=3).preview("nginx").drop("id", "created_at", "file_source")
+
+
+def _quick_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics from summaries, and whether the estimate of clients is within 5 % of their number."""
+    store = _filled(spark, sf_dir, times=2)
+    exact = catalog.table_statistics({"nginx_logs": store.table("nginx")}).select(F.col("unique_ips").alias("exact"))
+    quick = store.quick_statistics("nginx")
+    return quick.crossJoin(F.broadcast(exact)).select(  # one row each
+        "table_name", "total_entries", "unique_days", "earliest_log", "latest_log",
+        (F.abs(F.col("unique_ips") - F.col("exact")) <= 0.05 * F.col("exact")).alias("ips_close"))
+
+
+def _ingest_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filled(spark, sf_dir, times=2).ingest_history("nginx")
+
+
 def _stored_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = traffic.between(_filled(spark, sf_dir).table("nginx"), START, END)
     return logs.select("timestamp", "method", "path", "status_code", "ip_address", "user_agent")
@@ -344,6 +363,9 @@ _QUERIES: dict[str, Query] = {
     "ingest_nexus": _ingest_lines("nexus"),
     "ingest_fresh": _ingest_lines("nginx", times=2, fresh=True),
     "ingest_ids": _ingest_ids,
+    "stored_preview": _stored_preview,
+    "store_quick_statistics": _quick_statistics,
+    "store_ingest_history": _ingest_history,
     "stored_quarantine": _stored_quarantine,
     "stored_time_range": _stored_time_range,
     "ingest_stats_by_file": _stats_by_file,
@@ -357,6 +379,8 @@ _QUERIES: dict[str, Query] = {
     "nginx_top_paths": _over("nginx", traffic.top_paths),
     "nginx_status_distribution": _over("nginx", traffic.status_distribution),
     "nginx_method_distribution": _over("nginx", traffic.method_distribution),
+    "nginx_traffic_cube": _over("nginx", traffic.traffic_cube),
+    "nginx_traffic_sets": _over("nginx", traffic.traffic_cube, [["method", "status_class"], ["day"], []]),
     "nginx_top_clients": _over("nginx", traffic.top_clients),
     "nginx_hits_by_method_and_path": _over("nginx", traffic.hits_by_method_and_path),
     "nginx_size_by_method_and_status": _over("nginx", traffic.size_by_method_and_status),

@@ -318,6 +318,16 @@ QUERIES: dict[str, str] = {
                          " 2 * count(*) AS stamped FROM nginx_logs"),
     "ingest_append": _nginx(f"{_STORED_NGINX} UNION ALL {_STORED_NGINX}"),
     "ingest_custom_service": _custom("SELECT * EXCLUDE (id, file_source) FROM custom_service_logs"),
+    "stored_preview": _nginx(
+        f"SELECT {', '.join(c for c in NGINX_PREVIEW.split() if c not in ('id', 'file_source'))},"
+        " strftime(timestamp, '%Y-%m-%dT%H:%M:%S') AS timestamp FROM nginx_logs ORDER BY id DESC LIMIT 10"),
+    "store_quick_statistics": _nginx(
+        "SELECT 'nginx_logs' AS table_name, 2 * count(*) AS total_entries, count(DISTINCT CAST(timestamp AS DATE)) AS unique_days,"
+        " min(timestamp) AS earliest_log, max(timestamp) AS latest_log, true AS ips_close FROM nginx_logs"),
+    "store_ingest_history": _nginx(
+        "SELECT 'batch' AS origin, range::BIGINT AS ingest, count(*) FILTER (reason IS NULL) AS entries,"
+        " count(*) FILTER (reason IS NOT NULL) AS parse_errors, 0::BIGINT AS skipped, count(*) AS lines,"
+        " count(*) FILTER (reason IS NULL)::DOUBLE / count(*)::DOUBLE AS success_rate FROM nginx_all, range(2) GROUP BY range"),
     "stored_quarantine": _nginx("SELECT 'nginx' AS format, raw_log AS raw_line, reason FROM nginx_all"
                                 " WHERE reason IS NOT NULL"),
     "stored_time_range": _nginx(
@@ -347,6 +357,14 @@ QUERIES: dict[str, str] = {
         "SELECT status_code, count(*) AS count FROM nginx_logs GROUP BY status_code"),
     "nginx_method_distribution": _nginx(
         "SELECT method, count(*) AS count FROM nginx_logs GROUP BY method"),
+    **{key: _nginx(
+        "SELECT method, status_class, day, grouping_id(method, status_class, day)::INTEGER AS level, count(*) AS requests,"
+        " sum(response_size)::BIGINT AS bytes FROM (SELECT *, CAST(timestamp AS DATE) AS day,"
+        " CASE WHEN status_code BETWEEN 200 AND 299 THEN 'success' WHEN status_code BETWEEN 300 AND 399 THEN 'redirect'"
+        " WHEN status_code BETWEEN 400 AND 499 THEN 'client-error' WHEN status_code >= 500 THEN 'server-error'"
+        f" ELSE 'unknown' END AS status_class FROM nginx_logs) GROUP BY {sets}")
+       for key, sets in (("nginx_traffic_cube", "CUBE (method, status_class, day)"),
+                         ("nginx_traffic_sets", "GROUPING SETS ((method, status_class), (day), ())"))},
     "nginx_top_clients": _nginx(
         "SELECT ip_address, count(*) AS requests FROM nginx_logs GROUP BY ip_address"
         " ORDER BY requests DESC, ip_address LIMIT 10"),

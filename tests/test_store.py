@@ -297,3 +297,110 @@ def test_ingest_of_several_formats(spark, store, tmp_path):
     assert {n: (r.lines, r.entries, r.parse_errors) for n, r in reports.items()} == {
         "nginx": (2, 1, 1), "nexus": (1, 0, 1), "total": (3, 1, 2)}
     assert reports["total"].success_rate == 1 / 3
+
+
+def _paths(store):
+    return sorted(r.path for r in store.table("nginx").collect())
+
+
+def test_readers_see_the_old_rows_or_the_new_ones(spark, store, monkeypatch):
+    """A driver that dies anywhere in a fresh start leaves one generation; the next start clears up."""
+    store.write(raw(spark, good(1)), NGINX)
+    store.write(raw(spark, good(2)), NGINX, origin="other")
+    seen = []
+    finish = LogStore._finish
+
+    def dies_before(self, *args):
+        seen.append(_paths(self))
+        raise RuntimeError("the driver dies")
+
+    monkeypatch.setattr(LogStore, "_finish", dies_before)
+    with pytest.raises(RuntimeError):
+        store.write(raw(spark, good(3)), NGINX, fresh=True)
+    assert seen == [["/p1", "/p2"]] and _paths(store) == ["/p1", "/p2"]
+
+    monkeypatch.setattr(LogStore, "_finish", finish)
+    monkeypatch.setattr("weblens.plans.ingest.remove_folder", lambda *args: (_ for _ in ()).throw(RuntimeError("dies while removing")))
+    with pytest.raises(RuntimeError):
+        store.write(raw(spark, good(4)), NGINX, fresh=True)
+    assert _paths(store) == ["/p4"]
+    assert [r.id for r in store.table("nginx").collect()] == [0]
+    monkeypatch.undo()
+
+    store.write(raw(spark, good(5)), NGINX)
+    store.write(raw(spark, good(6)), NGINX, origin="other")
+    assert _paths(store) == ["/p4", "/p5", "/p6"]
+    store.write(raw(spark, good(7)), NGINX, fresh=True)
+    assert _paths(store) == ["/p7"] and sum(map(len, store._folders(NGINX).values())) == 1
+
+
+def test_a_fresh_start_that_fails_to_write_changes_nothing(spark, store):
+    store.write(raw(spark, good(1)), NGINX)
+    broken = raw(spark, good(2)).withColumn("value", F.raise_error(F.lit("no such line")).cast("string"))
+    with pytest.raises(Exception, match="no such line"):
+        store.write(broken, NGINX, fresh=True)
+    assert _paths(store) == ["/p1"]
+    store.write(raw(spark, good(3)), NGINX)
+    assert _paths(store) == ["/p1", "/p3"]
+
+
+def test_previews_read_the_newest_ingests_only(spark, store):
+    for n in range(1, 6):
+        store.write(raw(spark, good(2 * n), good(2 * n + 1), "bad"), NGINX)
+    store.write(raw(spark, good(50)), NGINX, origin="other")
+    assert [r.path for r in store.preview("nginx", 3).collect()] == ["/p50", "/p11", "/p10"]
+    assert [r.path for r in store.sample("nginx", 4).collect()] == ["/p50", "/p11", "/p10", "/p9"]
+    assert store.preview("nginx", 100).count() == 11
+    plan = store._newest(NGINX, 3)._jdf.queryExecution().executedPlan().toString()
+    filters = next(line for line in plan.splitlines() if "PartitionFilters" in line)
+    assert "ingest" in filters and "origin" in filters
+    files = {r.f for r in store._newest(NGINX, 3).select(F.input_file_name().alias("f")).collect()}
+    assert files and all("ingest=3" in f or "ingest=4" in f or "origin=other" in f for f in files)
+
+
+def test_statistics_from_summaries(spark, store):
+    lines = [good(n % 60, day=1 + n % 5).replace("10.0.0.", f"10.{n % 7}.0.") for n in range(900)]
+    store.write(raw(spark, *lines[:400], "bad", "worse"), NGINX)
+    store.write(raw(spark, *lines[400:]), NGINX, origin="other", ingest=7)
+    store.write(raw(spark, *lines[:10]), NGINX, origin="other", ingest=8)
+    exact = catalog.table_statistics({"nginx_logs": store.table("nginx")}).first()
+    quick = store.quick_statistics("nginx").first()
+    assert all(quick[c] == exact[c] for c in ("table_name", "total_entries", "unique_days", "earliest_log", "latest_log"))
+    assert abs(quick.unique_ips - exact.unique_ips) <= 0.03 * exact.unique_ips
+    history = {(r.origin, r.ingest): (r.entries, r.parse_errors, r.skipped) for r in store.ingest_history("nginx").collect()}
+    assert history == {("batch", 0): (400, 2, 0), ("other", 7): (500, 0, 0), ("other", 8): (10, 0, 0)}
+    plan = store.quick_statistics("nginx")._jdf.queryExecution().optimizedPlan().toString()
+    assert "raw_log" not in plan and not any("/nginx_logs/origin" in f and "_summaries" not in f for f in store.quick_statistics("nginx").inputFiles())
+    # A batch that is stored again is summed up again; a fresh start starts over.
+    store.write(raw(spark, *lines[:30]), NGINX, origin="other", ingest=8)
+    assert store.quick_statistics("nginx").first().total_entries == 930
+    store.write(raw(spark, good(1)), NGINX, fresh=True)
+    assert tuple(store.quick_statistics("nginx").first())[1:4] == (1, 1, 1)
+    assert store.quick_statistics("nexus").first().total_entries == 0
+
+
+def test_sketch_error(spark, store):
+    """The estimate of many clients is within 5 %, three times the usual error."""
+    lines = spark.range(30_000).selectExpr(
+        "concat('10.', id % 200, '.', id DIV 200 % 200, '.1 - - [02/Jan/2024:00:00:00 +0000] \"GET / HTTP/1.1\" 200 1 \"-\" \"-\"') AS value",
+        "'nginx:access.log' AS file_source", "'f' AS file_path", "CAST(NULL AS string) AS problem")
+    store.write(lines, NGINX)
+    assert abs(store.quick_statistics("nginx").first().unique_ips - 30_000) <= 1500
+
+
+def test_cube_equals_grouped_counts(spark):
+    from weblens.operators import traffic
+
+    rows = [(m, s, dt.datetime(2024, 1, d), z) for m in ("GET", None) for s in (200, 404, 500) for d in (1, 2) for z in (1, 2, None)]
+    logs = spark.createDataFrame(rows, "method string, status_code int, timestamp timestamp_ntz, response_size long")
+    got = {(r.level, r.method, r.status_class, r.day): (r.requests, r.bytes) for r in traffic.traffic_cube(logs).collect()}
+    names = {200: "success", 404: "client-error", 500: "server-error"}
+    want = {}
+    for level in range(8):
+        for m, s, t, z in rows:
+            key = (level, None if level & 4 else m, None if level & 2 else names[s], None if level & 1 else t.date())
+            n, size = want.get(key, (0, 0))
+            want[key] = n + 1, size + (z or 0)
+    assert got == want
+    assert len([r for r in traffic.traffic_cube(logs, [["day"], []]).collect()]) == 3
+    assert [r.requests for r in traffic.traffic_cube(logs.limit(0)).collect()] in ([], [0], [None])

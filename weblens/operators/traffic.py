@@ -10,7 +10,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weblens.functions import action_of, repository_of
+from weblens.functions import action_of, repository_of, status_class
 
 
 def counts(logs: DataFrame, *keys: str, name: str = "count") -> DataFrame:
@@ -126,3 +126,18 @@ def failures_by_action(logs: DataFrame, limit: int = 100) -> DataFrame:
     """Error lines per action of a custom-service log."""
     errors = logs.where(F.col("level") == "ERROR")
     return counts(errors, "action", name="error_count").limit(limit)
+
+
+def traffic_cube(logs: DataFrame, sets: list[list[str]] | None = None) -> DataFrame:
+    """Requests and bytes by method, status class and day, for all combinations of these or the given `sets`.
+
+    `level` is the grouping id, a bit for each of the three that is summed over; it tells such a NULL
+    from one in the log. Rows are combined to one per method, class and day first, so only those are
+    copied for the combinations, all of them in one pass.
+    """
+    axes = ["method", "status_class", "day"]
+    reduced = logs.groupBy(
+        "method", status_class(F.col("status_code")).alias("status_class"), F.to_date("timestamp").alias("day"),
+    ).agg(F.count("*").alias("n"), F.sum("response_size").alias("size"))
+    grouped = reduced.cube(*axes) if sets is None else reduced.groupingSets([[F.col(c) for c in s] for s in sets], *axes)
+    return grouped.agg(F.grouping_id().cast("int").alias("level"), F.sum("n").alias("requests"), F.sum("size").alias("bytes"))

@@ -73,3 +73,32 @@ def child_folders(spark: SparkSession, path: str) -> list[str]:
 def remove_folder(spark: SparkSession, path: str) -> None:
     jvm_path, system = file_system(spark, path)
     system.delete(jvm_path, True)
+
+
+def child_files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files directly below a folder; none where there is no such folder."""
+    jvm_path, system = file_system(spark, path)
+    if not system.exists(jvm_path):
+        return []
+    return [found.getPath().getName() for found in system.listStatus(jvm_path) if found.isFile()]
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    jvm_path, system = file_system(spark, path)
+    stream = system.open(jvm_path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there as a whole or not at all: written aside, then renamed."""
+    jvm_path, system = file_system(spark, path)
+    aside = file_system(spark, f"{path}.{uuid.uuid4().hex}")[0]
+    stream = system.create(aside, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if not system.rename(aside, jvm_path):
+        raise OSError(f"could not rename {aside} to {jvm_path}")
