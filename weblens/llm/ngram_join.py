@@ -503,3 +503,24 @@ def one_of_each_group(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFra
     inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), row_hash(docs).alias("rid"))
     turn = F.row_number().over(Window.partitionBy("rid").orderBy(F.lit(0)))
     return inner.join(chosen, "rid").withColumn("turn", turn).where("turn = 1 or blank").select("row.*")
+
+
+#: The same in DuckDB SQL, which forms all pairs that share an n-gram.
+SQL = r"""
+WITH RECURSIVE docs AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3]))) END AS s
+    FROM docs),
+grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS gram FROM sets),
+links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reached AS (
+    SELECT doc_id AS node, doc_id AS other FROM documents
+    UNION
+    SELECT r.node, l.b FROM reached r JOIN links l ON r.other = l.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, min(other) AS component_id FROM sets JOIN reached ON node = doc_id GROUP BY ALL
+"""

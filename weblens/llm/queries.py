@@ -55,7 +55,9 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_warc": warc.SQL,
     "op4_url_filter": url_filter.SQL,
+    "op6_ngram_jaccard_join": ngram_join.SQL,
     "op11_embedding_near_dedup": vector_join.SQL,
     "op13_ranked_lexical_search": lexical_search.SQL,
     **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),

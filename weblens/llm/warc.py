@@ -251,3 +251,14 @@ def archived_pages(pages: DataFrame) -> DataFrame:
     write(pages, folder)
     return read(spark, folder).where("gap is null").select(
         "page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+
+
+#: The same in DuckDB SQL. Base32 takes five bits a letter, so five hexadecimal digits are four letters.
+SQL = """
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+        (('0x' || substr(sha1(payload), (5 * (i // 4) + 1)::BIGINT, 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31), 1)), '') AS payload_digest,
+    CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> last THEN last END AS refers_to
+FROM (SELECT page_id, coalesce(html, '') AS payload, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)
+"""
