@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from importlib.util import find_spec
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from oracles import duckdb_sql, sql_texts
-from weblens.formats import FORMATS, nexus_time, stamp_time
+from weblens.formats import FORMATS
 from weblens.functions import cell_text, human_size, repository_of, status_class, truncate_text
 from weblens.operators import catalog, correlate, parse as p, quality, timeline, traffic
 from weblens.plans import adhoc
@@ -24,12 +25,10 @@ from weblens.sources import archives
 from weblens.streaming import live
 from weblens.streaming.incremental import ingest_new_files
 
-try:
+# The subpackage may be left out, whatever is left of its folders; an error inside it is an error.
+if all(find_spec(name) for name in ("corpus_pipeline", "weblens.llm")) and find_spec("weblens.llm.queries"):
     from weblens.llm import queries as llm_queries
-except ModuleNotFoundError as missing:
-    # The subpackage may be left out; anything else that is missing is an error.
-    if not (missing.name or "").startswith(("weblens.llm", "corpus_pipeline")):
-        raise
+else:
     llm_queries = None
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,13 +79,10 @@ def _request_class(logs: DataFrame) -> DataFrame:
 
 
 def _timestamp_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = F.regexp_replace(
-        "stamp", r"^(\d{1,2})/(\w{3})/(\d{4}):(\d{1,2}:\d{1,2}:\d{1,2})(?: .*)?$", "$1\n$2\n$3\n$4")
-    part = F.split(pieces, "\n")
-    groups = {n: F.get(part, F.lit(i)) for i, n in enumerate(("day", "month", "year", "clock"))}
-    return sample_lines(spark, sf_dir, "stamps").select(
-        "event_id", "stamp", nexus_time(F.col("stamp"), stamp_time(groups)).alias("timestamp")
-    )
+    """What the format makes of stamps of many shapes, each in a line of its own."""
+    stamps = sample_lines(spark, sf_dir, "stamps")
+    line = F.concat(F.lit("10.0.0.1 - - ["), "stamp", F.lit('] "GET / HTTP/1.1" 200 1 1 1 "-" [qtp]'))
+    return p.parse(stamps.withColumn("line", line), FORMATS["nexus"], "line").select("event_id", "stamp", "timestamp")
 
 
 def _created_daily(logs: DataFrame) -> DataFrame:

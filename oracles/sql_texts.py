@@ -51,7 +51,7 @@ TEXTS: dict[str, tuple[str, dict | list | None]] = {
     "sql_predicate": (
         "SELECT ip_address, method, status_code, COUNT(*) AS requests FROM nginx_logs"
         " WHERE status_code = 200 GROUP BY ip_address, method, status_code", None),
-    "sql_empty": ("SELECT * FROM nginx_logs WHERE 1=0", None),
+    "sql_empty": ("SELECT * FROM nginx_logs WHERE status_code > 599", None),
     "sql_literal": ("SELECT 3 AS query_id, COUNT(*) AS count FROM nginx_logs", None),
     "sql_named_values": (
         "SELECT method, COUNT(*) AS count FROM nginx_logs WHERE status_code >= :least"
