@@ -84,7 +84,7 @@ def _query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query", "text").mapInArrow(task, "query long, term long, repeats long")
 
 
-def _chunks(docs: DataFrame, table: bytes) -> DataFrame:
+def _chunks(docs: DataFrame, table: bytes, most: int) -> DataFrame:
     """Packed postings of documents with a query term; documents without one are counted alone."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(table, np.uint8)
@@ -112,13 +112,13 @@ def _chunks(docs: DataFrame, table: bytes) -> DataFrame:
                 upto = np.concatenate(([0], np.cumsum(per_text)))
                 low = 0
                 while low < len(sizes):
-                    room = CHUNK - sum(len(h[3]) for h in held)
+                    room = most - sum(len(h[3]) for h in held)
                     stop = max(low + 1, int(np.searchsorted(upto, upto[low] + room, "right")) - 1)
                     some = low + np.flatnonzero(per_text[low:stop])
                     if len(some):
                         part = slice(upto[low], upto[stop])
                         held.append((ids.take(pa.array(some + first)), sizes[some], per_text[some], term[part], count[part]))
-                    if sum(len(h[3]) for h in held) >= CHUNK:
+                    if sum(len(h[3]) for h in held) >= most:
                         yield packed()
                         held, filled, words = [], 0, 0
                     low = stop
@@ -210,7 +210,7 @@ def _ranked(pairs: DataFrame, k: int, filled: int, words: int) -> DataFrame:
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 20, doc_id: str = "doc_id", query_id: str = "item_id",
-           text: str = "text") -> DataFrame:
+           text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """query_id, rank, doc_id and score of the k best documents of each query, as described above."""
     spark = docs.sparkSession
     numbered = stored(queries.select(
@@ -219,7 +219,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 20, doc_id: str = "doc_
     asked = stored(_query_terms(numbered), "query-terms")
     table = bit_table(asked.select("term"), F.shiftrightunsigned("term", 64 - TABLE_BITS), TABLE_BITS)
     given = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    chunks = stored(_chunks(given, table).withColumn("chunk", F.monotonically_increasing_id()), "postings")
+    chunks = stored(_chunks(given, table, chunk).withColumn("chunk", F.monotonically_increasing_id()), "postings")
     filled, words = chunks.agg(F.sum("filled"), F.sum("words")).first()
     if not filled:
         filled, words = 1, 1

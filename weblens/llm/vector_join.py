@@ -33,6 +33,7 @@ An empty table gives no rows. Only id and vector are read, so other columns may
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import product
 
@@ -67,14 +68,14 @@ def rotation(size: int) -> np.ndarray:
 class Space:
     """Vectors of one length: blocks of coordinates, their budgets, the grid."""
 
-    def __init__(self, size: int, least: float, points: int, width: int):
+    def __init__(self, size: int, least: float, points: int, width: int, tile: int):
         self.size = size
         self.blocks = min(BLOCKS, size)
         edges = np.linspace(0, size, self.blocks + 1).round().astype(int)
         self.parts = [slice(a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
         self.limit = max(2 - 2 * least, 0.0) + SLACK
         self.budgets = [self.limit * (p.stop - p.start) / size for p in self.parts]
-        self.tile = max(16, TILE // (size * (width + 4) + 16))
+        self.tile = max(16, tile // (size * (width + 4) + 16))
         tiles = max(1.0, points / self.tile)
         self.axes = [min(CELL, p.stop - p.start, round(np.log(tiles) / np.log(4))) for p in self.parts]
 
@@ -103,8 +104,22 @@ class Space:
 
 
 @lru_cache(maxsize=64)
-def space_of(size: int, least: float, points: int, width: int) -> Space:
-    return Space(size, least, points, width)
+def _space(size: int, least: float, points: int, width: int, tile: int) -> Space:
+    return Space(size, least, points, width, tile)
+
+
+@dataclass(frozen=True)
+class Setting:
+    """What all tasks of a join must agree on: the least cosine, how many points there are of each
+    length, the kind of number, the bytes of a tile."""
+
+    least: float
+    sizes: dict[int, int]
+    kind: np.dtype
+    tile: int
+
+    def space(self, size: int) -> Space:
+        return _space(size, self.least, self.sizes[size], self.kind.itemsize, self.tile)
 
 
 def _lists(values: np.ndarray) -> pa.Array:
@@ -131,15 +146,15 @@ def _points(rows: DataFrame) -> DataFrame:
         .withColumn("point", F.monotonically_increasing_id()), "points")
 
 
-def _placed(points: DataFrame, least: float, sizes: dict[int, int], kind: np.dtype) -> DataFrame:
+def _placed(points: DataFrame, join: Setting) -> DataFrame:
     """Each point once per block, with the cell it falls in, its order and its vectors."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length = batch.column("size").to_numpy()
             for size in np.unique(length).tolist():
                 some = batch.filter(pa.array(length == size))
-                space = space_of(size, least, sizes[size], kind.itemsize)
-                given = some.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(kind)
+                space = join.space(size)
+                given = some.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(join.kind)
                 turned = space.turned(given)
                 fixed = [pa.array(space.order(turned)), some.column("point"), some.column("copies"), _binary(given), _binary(turned)]
                 for block in range(space.blocks):
@@ -151,7 +166,7 @@ def _placed(points: DataFrame, least: float, sizes: dict[int, int], kind: np.dty
         task, "size int, block int, cell array<long>, place long, point long, copies long, given binary, turned binary")
 
 
-def _tiles(placed: DataFrame, least: float, sizes: dict[int, int], kind: np.dtype) -> DataFrame:
+def _tiles(placed: DataFrame, join: Setting) -> DataFrame:
     """Runs of neighbours in a cell, packed, with centre and radii (one per block, then of all)."""
     schema = ("size int, block int, cell array<long>, first long, weight long, n int, centre binary, "
               "points binary, copies binary, given binary, turned binary")
@@ -163,7 +178,7 @@ def _tiles(placed: DataFrame, least: float, sizes: dict[int, int], kind: np.dtyp
         def packed() -> pa.RecordBatch:
             rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             size, block, cell = key
-            space = space_of(size, least, sizes[size], kind.itemsize)
+            space = join.space(size)
             turned = _rows(rows.column("turned"), np.dtype("<f4"), size).astype(np.float64)
             centre = turned.mean(axis=0)
             off = (turned - centre) ** 2
@@ -182,11 +197,11 @@ def _tiles(placed: DataFrame, least: float, sizes: dict[int, int], kind: np.dtyp
             keys = list(zip(size.tolist(), block.tolist(), map(tuple, cell)))
             low = 0
             while low < batch.num_rows:
-                if held and (keys[low] != key or sum(map(len, held)) >= space_of(key[0], least, sizes[key[0]], kind.itemsize).tile):
+                if held and (keys[low] != key or sum(map(len, held)) >= join.space(key[0]).tile):
                     yield packed()
                     held = []
                 key = keys[low]
-                room = space_of(key[0], least, sizes[key[0]], kind.itemsize).tile - sum(map(len, held))
+                room = join.space(key[0]).tile - sum(map(len, held))
                 high = low + 1
                 while high < batch.num_rows and high - low < room and keys[high] == key:
                     high += 1
@@ -205,10 +220,10 @@ def _half(axes: int) -> list[list[int]]:
     return [list(s) for s in product((-1, 0, 1), repeat=axes) if s >= (0,) * axes]
 
 
-def _met(tiles: DataFrame, least: float, sizes: dict[int, int], kind: np.dtype) -> DataFrame:
+def _met(tiles: DataFrame, join: Setting) -> DataFrame:
     """(a, b, settled) for each pair of tiles that may hold a link, each tile with itself included."""
     summary = tiles.select("tile", "size", "block", "cell", "centre")
-    most = max(max(space_of(s, least, n, kind.itemsize).axes) for s, n in sizes.items())
+    most = max(max(join.space(s).axes) for s in join.sizes)
     steps = F.lit(None)
     for axes in range(most, -1, -1):
         steps = F.when(F.size("cell") == axes, F.array(*(F.array(*(F.lit(x).cast("long") for x in s)) if s else F.array().cast("array<long>")
@@ -227,7 +242,7 @@ def _met(tiles: DataFrame, least: float, sizes: dict[int, int], kind: np.dtype)
         for batch in batches:
             length, blocks = batch.column("size").to_numpy(), batch.column("block").to_numpy()
             for size in np.unique(length).tolist():
-                space = space_of(size, least, sizes[size], kind.itemsize)
+                space = join.space(size)
                 wide = size + space.blocks + 1
                 for block in np.unique(blocks[length == size]).tolist():
                     some = batch.filter(pa.array((length == size) & (blocks == block)))
@@ -309,7 +324,7 @@ def compare(a: Tile, b: Tile, block: int, space: Space, least: float) -> np.ndar
     return labels
 
 
-def _compared(tiles: DataFrame, pairs: DataFrame, least: float, sizes: dict[int, int], kind: np.dtype) -> DataFrame:
+def _compared(tiles: DataFrame, pairs: DataFrame, join: Setting) -> DataFrame:
     """(point, links, root): sums over links of a turn, and a point each is in one component with.
 
     Hosts are runs of HOSTS neighbouring tiles; a guest comes once to a run, for all its partners in it.
@@ -339,14 +354,14 @@ def _compared(tiles: DataFrame, pairs: DataFrame, least: float, sizes: dict[int,
                 if (row["run"], row["turn"]) != at:
                     at, here = (row["run"], row["turn"]), {}
                 if row["partners"] is None:
-                    here[row["b"]] = Tile(row, kind)
+                    here[row["b"]] = Tile(row, join.kind)
                     continue
-                space = space_of(row["size"], least, sizes[row["size"]], kind.itemsize)
-                visitor = Tile(row, kind)
+                space = join.space(row["size"])
+                visitor = Tile(row, join.kind)
                 for name in row["partners"]:
                     host = here[name]
                     guest = host if row["b"] == name else visitor
-                    labels = compare(host, guest, row["block"], space, least)
+                    labels = compare(host, guest, row["block"], space, join.least)
                     both = host.points if guest is host else np.concatenate((host.points, guest.points))
                     sums = host.sums if guest is host else np.concatenate((host.sums, guest.sums))
                     told = np.flatnonzero((sums > 0) | (labels != np.arange(len(both))))
@@ -383,7 +398,7 @@ def _settled(tiles: DataFrame, pairs: DataFrame) -> DataFrame:
     return inside.unionByName(across)
 
 
-def near_vectors(frame: DataFrame, least: float = 0.9, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def near_vectors(frame: DataFrame, least: float = 0.9, vec_id: str = "vec_id", vector: str = "embedding", tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row, as described above; `least` is above 0."""
     if not 0 < least <= 1:
         raise ValueError("the least cosine must be above 0 and at most 1")
@@ -398,10 +413,11 @@ def near_vectors(frame: DataFrame, least: float = 0.9, vec_id: str = "vec_id", v
     points = _points(rows)
     sizes = {r.size: r["count"] for r in points.groupBy(F.size("vector").alias("size")).count().collect()}
     if sizes:
-        tiles = stored(_tiles(_placed(points, least, sizes, kind), least, sizes, kind)
+        join = Setting(least, sizes, kind, tile)
+        tiles = stored(_tiles(_placed(points, join), join)
                        .withColumn("tile", F.monotonically_increasing_id()), "tiles")
-        pairs = stored(_met(tiles, least, sizes, kind), "tile-pairs")
-        found = stored(_compared(tiles, pairs.where("NOT settled"), least, sizes, kind)
+        pairs = stored(_met(tiles, join), "tile-pairs")
+        found = stored(_compared(tiles, pairs.where("NOT settled"), join)
                        .unionByName(_settled(tiles, pairs.where("settled"))), "links")
     else:
         found = spark.createDataFrame([], "point long, links long, root long")
