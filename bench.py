@@ -15,14 +15,16 @@ import os
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from weblens.formats import FORMATS
-from weblens.operators import catalog, correlate, parse as p, traffic
+from weblens.functions import repository_of
+from weblens.operators import catalog, correlate, parse as p, timeline, traffic
 from weblens.plans import adhoc
 from weblens.plans.ingest import LogStore
-from weblens.plans.samples import sample_lines
+from weblens.plans.samples import sample_files, sample_lines, write_files
 from weblens.session import session, shared_folder
+from weblens.streaming import live
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -69,6 +71,18 @@ def main() -> None:
             lambda: reports.append(store.ingest(folder, name, globs=["part-*"], fresh=True)))
         rates[f"ingest_{name}"] = round(reports[-1].lines / seconds[f"ingest_{name}"])
 
+    # The other ways in: appended, from zip and nested archives, counted on the stream.
+    grown = LogStore(spark, shared_folder(spark, "bench-store"))
+    seconds["append_nginx"] = timed(lambda: grown.ingest(folders["nginx"], "nginx", globs=["part-*"]))
+    for kind in ("zip", "nested"):
+        packed = write_files(sample_files(sample_lines(spark, SF_DIR, "nginx"), kind))
+        seconds[f"ingest_{kind}"] = timed(lambda: grown.ingest(packed, "nginx"))
+
+    def stream() -> None:
+        counts = live.WindowCounts(spark, shared_folder(spark, "bench-windows"), FORMATS["nginx"], [(3600, 3600), (3600, 900)], ["status_code"])
+        live.count_windows(counts, folders["nginx"], shared_folder(spark, "bench-stream"), ["part-*"]).awaitTermination()
+    seconds["stream_window_counts"] = timed(stream)
+
     tables = store.tables()
     nginx, nexus = tables.values()
     for name, logs in tables.items():
@@ -79,6 +93,12 @@ def main() -> None:
         "ingest_statistics": lambda: store.statistics().collect(),
         "nginx_preview": lambda: store.preview("nginx").collect(),
         "nexus_preview": lambda: store.preview("nexus").collect(),
+        "quick_statistics": lambda: store.quick_statistics().collect(),
+        "requests_as_of": lambda: drain(timeline.requests_as_of(nginx, nexus)),
+        "request_pairs": lambda: drain(timeline.request_pairs(nginx, nexus)),
+        "requests_in_flight": lambda: drain(timeline.requests_in_flight(nexus, repository_of(F.col("path")), "repository")),
+        "client_sessions": lambda: drain(timeline.client_sessions(nginx)),
+        "nginx_traffic_cube": lambda: traffic.traffic_cube(nginx).collect(),
         "nginx_top_paths": lambda: traffic.top_paths(nginx).collect(),
         "nginx_top_clients": lambda: traffic.top_clients(nginx).collect(),
         "nginx_status_distribution": lambda: traffic.status_distribution(nginx).collect(),
