@@ -263,11 +263,11 @@ def request_pairs(
         ends = ends.groupBy(*keys, "stretch").agg(F.max(F.struct("turn", "state", "incoming")).alias("end")).select(
             *keys, "stretch", "end.*")
         before = ends.select(*keys, (F.col("stretch") + 1).alias("stretch"), F.col("state").alias("given")).where(F.size("given") > 0)
-        wrong = _kept(
-            ends.join(before, [*keys, "stretch"], "left")
-            .where(F.coalesce("given", F.array().cast("array<long>")) != F.col("incoming")).select(*keys, "stretch"), "pairing-open")
+        wrong = ends.join(before, [*keys, "stretch"], "left").where(
+            F.coalesce("given", F.array().cast("array<long>")) != F.col("incoming")).select(*keys, "stretch")
         if wrong.isEmpty():
             break
+        wrong = _kept(wrong, "pairing-open")
         turn += 1
         block = _stretch(F.col("stretch"), 2 ** turn)
         blocks = wrong.select(*keys, block.alias("block")).distinct()
