@@ -35,9 +35,10 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from weblens.llm.store import stored
+from weblens.llm.text import text_of
 
 #: Different pieces that a task remembers before it starts anew.
-PIECES = 400_000
+PIECES = 500_000
 #: Texts whose results leave a task together.
 ROWS = 500
 #: Fixed value: the pattern of byte-level BPE that cuts a text into pieces.
@@ -182,12 +183,36 @@ class PrefixCounter:
         counts, _ = self.prefix_counts(piece.encode())
         return np.array([counts[e] for e in accumulate(len(c.encode()) for c in piece)], np.int64)
 
+    def _fast(self, pieces: list[str], runs: bool) -> tuple[int, bytes, bytes] | None:
+        """What `table` tells, put together from pieces; None if a step does not fit one byte."""
+        known, piece = self._known, self.piece
+        found = [known.get(p) or piece(p) for p in pieces]
+        sizes = b"".join([f[2] for f in found])
+        try:
+            steps = b"".join([f[1] for f in found])
+        except TypeError:  # a piece without steps
+            return None
+        if runs:
+            fixed = np.frombuffer(steps, np.int8).astype(np.int64)
+            at = 0
+            for i, (this, after) in enumerate(zip(pieces, pieces[1:])):
+                at += len(this)
+                if this.isspace() and after[0].isspace():
+                    # Up to here the blanks are one piece; the next character finds the old count again.
+                    change = piece(this + after[0])[0] - found[i][0] - fixed[at]
+                    fixed[at] += change
+                    fixed[at + 1:at + 2] -= change
+            if fixed.min() < -128 or fixed.max() > 127:
+                return None
+            steps = fixed.astype(np.int8).tobytes()
+        return len(sizes) // 2, b"\x01" + steps, sizes
+
     def table(self, text: str) -> tuple[int, bytes, bytes]:
         """The number of tokens, the steps of the counts of all prefixes, and the bytes of all tokens."""
-        if not (self.special and self.special.search(text)) and not _RUN.search(text):
-            found = list(map(self.piece, self.pattern.findall(text)))
-            if all(f[1] is not None for f in found):
-                return sum(f[0] for f in found), b"\x01" + b"".join([f[1] for f in found]), b"".join([f[2] for f in found])
+        if not (self.special and self.special.search(text)):
+            found = self._fast(self.pattern.findall(text), _RUN.search(text) is not None)
+            if found is not None:
+                return found
         # Counts of prefixes that end where the whole text's pieces do not apply are told one by one.
         done, at, before = 0, 0, ""
         counts, sizes = [], []
@@ -249,12 +274,12 @@ def with_prefixes(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
         tokens = counter(path)
         for low in range(0, batch.num_rows, ROWS):
             part = batch.slice(low, ROWS)
-            texts = [t or "" for t in part.column("text").to_pylist()]
+            texts = [t or "" for t in text_of(part).to_pylist()]
             counts, steps, sizes = zip(*map(tokens.table, texts))
             yield [pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts]),
                    pa.array(steps, pa.binary()), pa.array(sizes, pa.binary())], part
 
-    return _extended(docs, [F.col("text").cast("string").alias("text")], added, values)
+    return _extended(docs, [], added, values)
 
 
 def with_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
