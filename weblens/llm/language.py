@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from weblens.llm.text import Block, blocks
+from weblens.llm.text import Block, blocks, text_of
 
 BUCKETS = 1 << 15
 #: Labelled rows per language that are learned from and that calibrate, whatever the size of the input.
@@ -199,29 +199,35 @@ def fit(docs: DataFrame) -> Model | None:
         np.array([place[r.lang] for r in checked], np.int64))
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """`docs` with lang_pred, score (the calibrated probability) and rejected, of like-named
-    columns the only ones that stay."""
-    added = {"lang_pred": T.StringType(), "score": T.DoubleType(), "rejected": T.BooleanType()}
-    given = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in added))
+ADDED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+
+
+def _told(docs: DataFrame, model: Model | None) -> DataFrame:
+    """row (all columns), lang_pred, score and rejected."""
     text = F.col("text").cast("string")
-    rows = docs.select(given.alias("row"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letter"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letter"))
     if model is None:
-        return rows.select("row.*", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
-    schema = T.StructType([rows.schema["row"], *(T.StructField(k, v) for k, v in added.items())])
+        return rows.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+    schema = T.StructType([rows.schema["row"], *ADDED.fields])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(model.languages, dtype=object)
         for batch in batches:
             some = np.asarray(batch.column("letter"))
-            odds = model.probabilities(batch.column("text"))
+            odds = model.probabilities(text_of(batch))
             score = np.where(some, odds.max(axis=1), 0.0)
             language = np.where(some, names[odds.argmax(axis=1)], UNKNOWN)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array(language, pa.string()), pa.array(score), pa.array(~some | (score < model.least))],
                 names=schema.names)
 
-    return rows.mapInArrow(task, schema).select("row.*", *added)
+    return rows.mapInArrow(task, schema)
+
+
+def identify(docs: DataFrame, model: Model | None) -> DataFrame:
+    """`docs` with lang_pred, score (the calibrated probability) and rejected, of like-named
+    columns the only ones that stay."""
+    return _told(docs, model).select(*(F.col(f"row.`{c}`") for c in docs.columns if c not in ADDED.names), *ADDED.names)
 
 
 def identified_documents(docs: DataFrame) -> DataFrame:
@@ -232,6 +238,4 @@ def identified_documents(docs: DataFrame) -> DataFrame:
 
 def accepted_documents(docs: DataFrame) -> DataFrame:
     """The rows whose language is told with enough certainty, columns unchanged."""
-    kept = [c for c in docs.columns]
-    renamed = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), "text")
-    return identify(renamed, fit(docs)).where("not rejected").select("row.*")
+    return _told(docs, fit(docs)).where("not rejected").select("row.*")

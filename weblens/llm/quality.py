@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from weblens.llm.text import IS_WORD, Block, blocks, mix, shingles, span_hashes
+from weblens.llm.text import IS_WORD, Block, blocks, mix, shingles, span_hashes, text_of
 
 #: Labelled documents of each kind that are learned from.
 LEARN = 500
@@ -248,8 +248,7 @@ ADDED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repe
 def judge(docs: DataFrame, field: Field | None, least_share: float = CONTENT_SHARE) -> DataFrame:
     """`docs` with counts, content_share, base_failed and kept; like-named columns are replaced."""
     added = T.StructType.fromDDL(ADDED)
-    given = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in added.names)).alias("row"),
-                        F.col("text").cast("string").alias("text"))
+    given = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in added.names)).alias("row"))
     schema = T.StructType([given.schema["row"], *added.fields])
     names = schema.names
 
@@ -257,7 +256,7 @@ def judge(docs: DataFrame, field: Field | None, least_share: float = CONTENT_SHA
         for batch in batches:
             counts = np.zeros((5, len(batch)), np.int64)
             share = np.zeros(len(batch))
-            for block in blocks(batch.column("text")):
+            for block in blocks(text_of(batch)):
                 m = measure(block)
                 counts[:, block.first:block.stop] = m.counts
                 scores = (m.features @ field.emission).tolist() if field else None

@@ -9,11 +9,13 @@ and the hashes of one text, not arrays over a whole Arrow batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK = 1 << 20
 
@@ -91,6 +93,15 @@ class Block:
         return starts, ends, np.searchsorted(starts, self.offsets)
 
 
+def tidy() -> None:
+    """Give memory that is not in use back to the machine: a worker that waits for its next task keeps none."""
+    pa.default_memory_pool().release_unused()
+    # Where the C library has a way of its own to return freed memory.
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[Block]:
     """The texts of a string column in blocks of about `limit` bytes; a NULL is an empty text."""
     if pa.types.is_large_string(column.type):
@@ -113,6 +124,12 @@ def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[Block]:
         j = min(j, len(column))
         yield Block(i, j, data[at[i]:at[j]], at[i:j + 1] - at[i])
         i = j
+    tidy()
+
+
+def text_of(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
+    """The texts of rows that a batch carries as structs in `row`: no second column of them is needed."""
+    return pc.struct_field(batch.column("row"), name).cast(pa.string())
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
