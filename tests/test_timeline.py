@@ -101,6 +101,36 @@ def test_pairing_where_every_queue_depends_on_the_last(spark):
     assert got == dict(_matcher([(t, i) for i, t in enumerate(times)], [(t + dt.timedelta(seconds=20), i) for i, t in enumerate(times)], 25))
 
 
+@pytest.mark.parametrize("seconds", [0, 5, 3600])
+def test_pairing_reads_each_log_once_and_follows_only_what_is_in_reach(spark, monkeypatch, seconds):
+    """Requests far from all others of their key are left out, those across a border of stretches are not."""
+    stretch = max(timeline.STRETCH, 2 * seconds + 1)
+    origin = dt.datetime(1970, 1, 1)
+    border = origin + dt.timedelta(seconds=((START - origin) // dt.timedelta(seconds=stretch)) * stretch)
+    near = [(0, "a", border, border), (1, "b", border, border + dt.timedelta(seconds=seconds)),
+            (2, "c", border - dt.timedelta(seconds=1), border - dt.timedelta(seconds=1) + dt.timedelta(seconds=seconds)),
+            (3, "d", border + dt.timedelta(seconds=seconds), border), (4, "e", border, border - dt.timedelta(seconds=seconds))]
+    far = [(10 + i, f"x{i % 7}", START + dt.timedelta(days=2 * i)) for i in range(300)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    def log(rows):
+        frame = spark.createDataFrame([(i, key, "GET", "/", at, 1, 1) for i, key, at in rows], SCHEMA)
+        return frame.mapInArrow(read, frame.schema)
+
+    nginx = [(i, key, at) for i, key, at, _ in near] + far
+    nexus = [(i, key, at) for i, key, _, at in near] + [(i, key, at + dt.timedelta(days=1)) for i, key, at in far]
+    matched, followed = timeline._matched, []
+    monkeypatch.setattr(timeline, "_matched", lambda work, *args: (followed.append(work.count()), matched(work, *args))[1])
+    got = sorted(tuple(r) for r in timeline.request_pairs(log(nginx), log(nexus), seconds).collect())
+    assert got == [(i, i) for i in range(5)]
+    assert followed[0] <= 2 * len(near) and seen.value == len(nginx) + len(nexus)
+
+
 def test_pairing_of_empty_logs(logs):
     nginx = logs(3, 10, 100)
     assert timeline.request_pairs(nginx, nginx.limit(0)).count() == 0

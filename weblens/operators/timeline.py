@@ -216,10 +216,23 @@ def _kept(frame: DataFrame, purpose: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def _numbered(logs: DataFrame, keys: list[str], normalise: bool) -> DataFrame:
-    second = F.floor(micros(logs, normalise) / MICROS).cast("long")
-    place = Window.partitionBy(*keys, "_second").orderBy("id")
-    return logs.withColumn("_second", second).withColumn("_number", (F.row_number().over(place) - 1).cast("long"))
+def _in_reach(rows: DataFrame, keys: list[str], seconds: int, stretch: int) -> DataFrame:
+    """The requests in whose stretch of time the other log has one of their key, or has one at most `seconds` from it.
+
+    All others can neither be paired nor keep another one from its partner. The stretches are told apart by a
+    hash of key and number; where two share one, some rows more are kept.
+    """
+    def place(second: Column) -> Column:
+        return F.xxhash64(*keys, _stretch(second, stretch))
+
+    second = F.col("second")
+    # As a stretch is longer than twice `seconds`, what is in reach of a request lies in two of them at most.
+    marks = F.array_distinct(F.array(place(second - seconds), place(second + seconds)))
+    both = (
+        rows.select(F.explode(marks).alias("place"), F.when(F.col("is_proxy"), 1).otherwise(2).alias("side"))
+        .groupBy("place").agg(F.bit_or("side").alias("sides")).where("sides = 3").select("place")
+    )
+    return rows.withColumn("place", place(second)).join(both, "place", "left_semi").drop("place")
 
 
 def request_pairs(
@@ -231,7 +244,8 @@ def request_pairs(
     the first of the other log at most `seconds` away; a request that finds none in time stays
     alone. For intervals of one length this gives as many pairs as there can be.
 
-    Rows are counted per key and second, and the counts are matched by a queue along each stretch of
+    Both logs are read once, for keys, second and id, and only requests with one of the other log in reach
+    go on. These are counted per key and second, and the counts are matched by a queue along each stretch of
     time, all stretches at once, each from an empty queue first. Where the queue at a stretch's end is
     not what the next one began with, that key's neighbouring stretches run again from it, in
     blocks twice as long each time. Most queues do not depend on what was waiting long before, so that few run
@@ -241,14 +255,17 @@ def request_pairs(
         raise ValueError("seconds must not be negative")
     keys, stretch = list(keys), max(STRETCH, 2 * seconds + 1)
 
-    def counted(logs: DataFrame, proxy: int) -> DataFrame:
-        return logs.select(*(F.col(k).cast("string").alias(k) for k in keys),
-                           F.floor(micros(logs, normalise) / MICROS).cast("long").alias("second"),
-                           F.lit(proxy).alias("proxy"), F.lit(1 - proxy).alias("repository")).dropna(subset=keys)
+    def narrow(logs: DataFrame, is_proxy: bool) -> DataFrame:
+        # The filter stays above explode(), so each stamp is read only once.
+        second = F.explode(F.array(F.floor(micros(logs, normalise) / MICROS).cast("long")))
+        return logs.select(*(F.col(k).cast("string").alias(k) for k in keys), second.alias("second"),
+                           "id", F.lit(is_proxy).alias("is_proxy")).dropna(subset=[*keys, "second"])
 
+    both = _kept(narrow(nginx, True).unionByName(narrow(nexus, False)), "pairing-requests")
+    requests = _kept(_in_reach(both, keys, seconds, stretch), "pairing-in-reach")
     counts = _kept(
-        counted(nginx, 1).unionByName(counted(nexus, 0)).groupBy(*keys, "second")
-        .agg(F.sum("proxy").alias("proxy"), F.sum("repository").alias("repository"))
+        requests.groupBy(*keys, "second")
+        .agg(F.count_if("is_proxy").alias("proxy"), F.count_if(~F.col("is_proxy")).alias("repository"))
         .withColumn("stretch", _stretch(F.col("second"), stretch)), "pairing-counts")
     none = F.lit(None).cast("array<long>")
     turn, rounds = 0, []
@@ -280,9 +297,11 @@ def request_pairs(
     pairs = found.where("n IS NOT NULL").join(last, [*keys, "stretch", "turn"], "left_semi")
     single = pairs.select(*keys, "p_second", "p_number", "r_second", "r_number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k")).select(
         *keys, "p_second", (F.col("p_number") + F.col("k")).alias("p_number"), "r_second", (F.col("r_number") + F.col("k")).alias("r_number"))
-    proxy = _numbered(nginx, keys, normalise).select(*keys, F.col("_second").alias("p_second"), F.col("_number").alias("p_number"), "id")
-    repository = _numbered(nexus, keys, normalise).select(
-        *keys, F.col("_second").alias("r_second"), F.col("_number").alias("r_number"), F.col("id").alias("repository_id"))
+    place = Window.partitionBy(*keys, "is_proxy", "second").orderBy("id")
+    numbered = requests.withColumn("number", (F.row_number().over(place) - 1).cast("long"))
+    proxy = numbered.where("is_proxy").select(*keys, F.col("second").alias("p_second"), F.col("number").alias("p_number"), "id")
+    repository = numbered.where("NOT is_proxy").select(
+        *keys, F.col("second").alias("r_second"), F.col("number").alias("r_number"), F.col("id").alias("repository_id"))
     return (
         single.join(proxy, [*keys, "p_second", "p_number"]).join(repository, [*keys, "r_second", "r_number"])
         .select("id", "repository_id")
