@@ -11,11 +11,14 @@ import subprocess
 import sys
 import tarfile
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark import cloudpickle
 
 from weblens.formats import NEXUS, NGINX
+from weblens.plans import samples
+from weblens.session import shared_folder
 from weblens.sources import archives, files
 from weblens.sources.discover import glob_list, read_logs
 
@@ -382,3 +385,65 @@ def test_spooled_archives_and_long_lines(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(archives, "LINE_BYTES", 1000)
     blocks = list(archives._blocks(io.BytesIO(b"a\n" + b"x" * 5000 + b"\nb\n")))
     assert max(map(len, blocks)) < 1300 and b"".join(blocks).replace(b"\n", b"") == b"a" + b"x" * 5000 + b"b"
+
+
+@pytest.mark.parametrize("end", ["tar.bz2", "tar.gz"])
+def test_compressed_tar_is_unpacked_once_whatever_its_links(end):
+    """Each step back in a compressed stream would unpack it from its start."""
+    lines = "\n".join(f"{i * i * 7919 % 100_003:x}" for i in range(40_000)).encode()
+    members = [("access.log", lines), *((f"access.log.{i}", "access.log") for i in range(10)), ("access.log.gone", "nothing")]
+    packed = samples._tar(members, f"w:{end[4:]}")
+    read = 0
+
+    class Counted(io.BytesIO):
+        def readinto(self, target):
+            nonlocal read
+            read += (n := super().readinto(target))
+            return n
+
+        def read(self, size=-1):
+            nonlocal read
+            data = super().read(size)
+            read += len(data)
+            return data
+
+    found = list(archives._walk(Counted(packed), (f"access.log.{end}",), ["access.log*"], 3))
+    assert [problem for _, _, problem in found if problem] == ["Link without a file: nothing"]
+    for name in ("access.log", *(f"access.log.{i}" for i in range(10))):
+        assert b"".join(block for chain, block, _ in found if chain[-1] == name and block) == lines
+    assert read <= 2 * len(packed) + (1 << 20)
+
+
+@pytest.mark.parametrize("size", [archives.SPOOL_BYTES, 10_000])
+def test_damaged_compressed_tars_give_the_same_with_and_without_unpacking(monkeypatch, size):
+    monkeypatch.setattr(archives, "SPOOL_BYTES", size)
+    lines = "\n".join(f"{i * i * 7919 % 100_003:x}" for i in range(40_000)).encode()
+    packed = samples._tar([("access.log", lines), ("access.log.1", lines)], "w:gz")
+    bare = samples._tar([("access.log", lines)])
+    for content, name in [(packed[:len(packed) // 2], "a.tar.gz"), (gzip.compress(bare[:100_000]), "a.tar.gz"),
+                          (gzip.compress(packed), "a.tar.gz"), (gzip.compress(b"no tar"), "a.tar.bz2")]:
+        (found,) = archives._walk(io.BytesIO(content), (name,), ["access.log*"], 3)
+        assert found[1] is None and found[2].startswith("Unreadable archive: ")
+    for content in (packed + b"\0", packed + b"garbage", bare):
+        found = list(archives._walk(io.BytesIO(content), ("a.tar.gz",), ["access.log"], 3))
+        assert b"".join(block for _, block, _ in found) == lines
+
+
+def test_sample_files_are_made_once_and_alike_by_tasks_and_by_spark(spark):
+    made = spark.sparkContext.accumulator(0)
+    rows = [("access.log.zip", b"PK\xff\r\n\x00"), ("_old/.arch/other log", "ä\nb".encode()), ("empty", b"")]
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    files = spark.createDataFrame(rows, "name string, content binary").mapInArrow(count, "name string, content binary")
+    want = {name: content + (b"\0" if name.endswith(".zip") else b"\n") for name, content in rows}
+
+    def found(folder):
+        return {str(p.relative_to(folder)): p.read_bytes() for p in Path(folder).rglob("*") if p.is_file() and not p.name.endswith(".crc")}
+
+    assert found(samples.write_files(files)) == want and made.value == len(rows)
+    samples._write_by_spark(files, folder := shared_folder(spark, "files"))
+    assert found(folder) == want and made.value == 2 * len(rows)

@@ -9,15 +9,18 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 import tarfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weblens.session import child_folders, file_system, shared_folder
+from weblens.session import file_system, shared_folder
 
 SPARK_DIALECT = {
     "STR": "STRING",
@@ -212,23 +215,73 @@ def sample_files(lines: DataFrame, kind: str) -> DataFrame:
     return numbered.groupBy("number").applyInArrow(make, "name string, content binary")
 
 
+#: Files that are given their names at the same time.
+RENAMES = 16
+#: Fixed value: the ends of names of packed files.
+_PACKED = r"\.(zip|gz|bz2|tar)$"
+
+
 def write_files(files: DataFrame) -> str:
     """A folder in which each row of `name` and `content` is a file.
 
-    Spark's text writer puts the bytes down as they are, with a zero byte behind them where they are packed, which
-    archives may end with; its files are then given their names.
+    Behind the bytes stands a zero byte where they are packed, which archives may end with, else a line feed.
+    In a folder of the machine's own file system tasks write the files themselves, elsewhere Spark's text writer does.
     """
+    folder = shared_folder(files.sparkSession, "files")
+    path, system = file_system(files.sparkSession, folder)
+    if system.getUri().getScheme() == "file":
+        _write_by_tasks(files, path.toUri().getPath())
+    else:
+        _write_by_spark(files, folder)
+    return folder
+
+
+def _write_by_tasks(files: DataFrame, folder: str) -> None:
+    """A file is there as a whole or not at all: written aside, then renamed, so a task may run again."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content")):
+                place = Path(folder, name)
+                place.parent.mkdir(parents=True, exist_ok=True)
+                aside = place.with_name(f".{uuid.uuid4().hex}")
+                with open(aside, "wb") as out:
+                    out.write(content.as_buffer())
+                    out.write(b"\0" if re.search(_PACKED, name) else b"\n")
+                aside.replace(place)
+            yield pa.RecordBatch.from_pydict({"files": pa.array([batch.num_rows], pa.int64())})
+
+    files.select("name", "content").mapInArrow(write, "files long").write.format("noop").mode("overwrite").save()
+
+
+def _write_by_spark(files: DataFrame, folder: str) -> None:
+    """Rows are made once and kept for both ends; tasks put their files in place, which else the driver would do one by one."""
     spark = files.sparkSession
-    folder, written = shared_folder(spark, "files"), shared_folder(spark, "written")
-    numbered = files.select(F.hex("name").alias("name"), F.col("content").cast("string").alias("value"), F.col("name").rlike(r"\.(zip|gz|bz2|tar)$").alias("packed"))
+    written, kept = shared_folder(spark, "written"), shared_folder(spark, "packed")
+    numbered = files.select(F.hex("name").alias("name"), F.col("content").cast("string").alias("value"), F.col("name").rlike(_PACKED).alias("packed"))
+    numbered.write.partitionBy("packed").parquet(kept)
+    again = spark.read.schema(numbered.schema).parquet(kept)
     for packed, end in ((True, "\0"), (False, "\n")):
-        part = numbered.where(F.col("packed") == packed).drop("packed")
-        part.write.mode("append").partitionBy("name").option("lineSep", end).text(written)
-    target, system = file_system(spark, folder)
-    for child in child_folders(spark, written):
-        name = bytes.fromhex(child.removeprefix("name=")).decode()
-        place = file_system(spark, f"{folder}/{name}")[0]
-        system.mkdirs(place.getParent())
-        for found in system.listStatus(file_system(spark, f"{written}/{child}")[0]):
-            system.rename(found.getPath(), place)
-    return folder
+        part = again.where(F.col("packed") == packed).drop("packed")
+        writer = part.write.mode("append").partitionBy("name").option("lineSep", end)
+        writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(written)
+    _give_names(spark, written, folder)
+
+
+def _give_names(spark: SparkSession, written: str, folder: str) -> None:
+    """Rename what lies below `written` in a folder per name, found by Spark's listing, to that name in `folder`."""
+    system = file_system(spark, folder)[1]
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    # The end of each path, the folder of the name and the file in it, is plain text in any notation.
+    ends = [found.split("/")[-2:] for found in spark.read.format("binaryFile").load(written).inputFiles()]
+    moves = [(f"{written}/{child}/{part}", f"{folder}/{bytes.fromhex(child.removeprefix('name=')).decode()}") for child, part in ends]
+    for parent in {target.rpartition("/")[0] for _, target in moves}:
+        system.mkdirs(path(parent))
+
+    def move(pair: tuple[str, str]) -> None:
+        source, target = pair
+        if not system.rename(path(source), path(target)):
+            raise OSError(f"could not rename {source} to {target}")
+
+    with ThreadPoolExecutor(RENAMES) as pool:
+        for _ in pool.map(move, moves):
+            pass
