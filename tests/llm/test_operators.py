@@ -393,3 +393,22 @@ def test_every_prefix_has_the_count_of_its_own_encoding(seed):
         counts = np.cumsum(prefix_tokens.prefix_steps(steps)).tolist()
         assert counts == [len(library.encode(text[:k], add_special_tokens=False).ids) for k in range(1, len(text) + 1)], text
         assert n == len(sizes) // 2 and int(np.frombuffer(sizes, "<u2").sum()) == len(text.encode())
+
+
+def test_tokens_of_a_long_piece_are_looked_up_only_where_one_may_end(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokens, rng, looked_up = prefix_tokens.counter(path), np.random.default_rng(5), []
+
+    class Counted(set):
+        def __contains__(self, token):
+            looked_up.append(token)
+            return super().__contains__(token)
+
+    monkeypatch.setattr(tokens, "whole", Counted(tokens.whole))
+    piece = "".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 200))
+    counts, last = tokens.prefix_counts(piece.encode())
+    assert counts[-1] == len(Tokenizer.from_file(path).encode(piece, add_special_tokens=False).ids)
+    assert b"".join(last[1:2]) == piece[:1].encode() and len(looked_up) < 6 * len(piece)

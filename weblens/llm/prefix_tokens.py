@@ -83,6 +83,8 @@ class PrefixCounter:
         for a, b in pairs:  # in the order of merges, so halves are known before the whole
             if self.made[a + b] == (a, b) and a in self.whole and b in self.whole and self._joins(a, b):
                 self.whole.add(a + b)
+        #: What such tokens end with, themselves included.
+        self.ends: set[bytes] = {t[i:] for t in self.whole for i in range(len(t))}
 
     def _edges(self, token: bytes) -> tuple[list, list]:
         """What stands at the left and at the right border of a token while it is put together,
@@ -122,9 +124,12 @@ class PrefixCounter:
         """The number of tokens of every prefix of a piece, from the empty one to the whole, and the last of them."""
         size = len(piece)
         counts, last = [0] * (size + 1), [b""] * (size + 1)
-        whole, known = self.whole, self._may_follow
+        whole, ends, known = self.whole, self.ends, self._may_follow
         for end in range(1, size + 1):
-            for start in range(max(0, end - self.longest), end):
+            first = end - 1
+            while first and piece[first - 1:end] in ends:
+                first -= 1
+            for start in range(first, end):
                 token = piece[start:end]
                 if token not in whole:
                     continue
