@@ -412,3 +412,40 @@ def test_tokens_of_a_long_piece_are_looked_up_only_where_one_may_end(monkeypatch
     counts, last = tokens.prefix_counts(piece.encode())
     assert counts[-1] == len(Tokenizer.from_file(path).encode(piece, add_special_tokens=False).ids)
     assert b"".join(last[1:2]) == piece[:1].encode() and len(looked_up) < 6 * len(piece)
+
+
+def test_tokens_are_not_looked_up_again_in_new_pieces_of_known_parts(monkeypatch):
+    """A new piece costs a step per byte: the tokens that may end behind known bytes are known."""
+    import public_tokenizers
+
+    tokens, rng, looked_up = prefix_tokens.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json")), np.random.default_rng(6), []
+
+    class Counted(set):
+        def __contains__(self, token):
+            looked_up.append(token)
+            return super().__contains__(token)
+
+    monkeypatch.setattr(tokens, "whole", Counted(tokens.whole))
+    words = [" " + "".join(rng.choice(["ver", "en", "lich", "ä", "ung", "be"], 6)) for _ in range(2000)]
+    for word in words[:1000]:
+        tokens.piece(word)
+    first = len(looked_up)
+    new = set(words[1000:]) - set(words[:1000])
+    for word in new:
+        tokens.piece(word)
+    assert len(new) > 500 and len(looked_up) - first < len(new)
+    assert first < 20_000
+
+
+def test_both_patterns_cut_the_same_pieces():
+    import public_tokenizers
+
+    tokens, rng = prefix_tokens.counter(public_tokenizers.path("byte_bpe_50k.json")), np.random.default_rng(7)
+    plane = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x10000))]
+    for text in ("".join(plane), " ".join(plane), "a".join(plane), "\n\n".join(plane), " '".join(plane)):
+        assert tokens._plane.findall(text) == tokens.pattern.findall(text)
+    parts = ["a", "'s", "'S", "'ll", "'", " ", "\t", "\x1c", "\x85", "\u2028", "1", "½", "Ⅷ", "_", "-", "é", "e\u0301", "中", "\u200b", "\ufeff"]
+    for _ in range(500):
+        text = "".join(rng.choice(parts, rng.integers(0, 12)))
+        assert tokens._plane.findall(text) == tokens.pattern.findall(text), text
+        assert (tokens._plane_run.search(text) is None) == (prefix_tokens._RUN.search(text) is None), text

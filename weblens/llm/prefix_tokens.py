@@ -14,7 +14,8 @@ the library counts it by itself; neither looks at the vocabulary or at a text ag
 inside a run of blanks, a contraction or a special token's string is cut into pieces otherwise than the whole text;
 its count is that of its own pieces.
 
-Pieces repeat, so a task remembers their counts, up to PIECES of them.
+Pieces repeat, so a task remembers their counts, up to PIECES of them. The tokens that may end at a byte are those of a
+state that the byte before and this one lead to, as in a search for many words at once; states are remembered as well.
 
 Cases: a NULL text counts as an empty one, with 0 tokens. The string of a special token inside a
 text is that one token, as the library has it by default. Texts are never cut, however long. Repeated rows are
@@ -24,8 +25,9 @@ counted alike, an empty table gives no rows. Further columns may have any name b
 from __future__ import annotations
 
 import json
+import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 from operator import sub
 
@@ -52,6 +54,41 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _range_set(kind: str) -> str:
+    """All characters of a class of the `regex` module up to U+FFFF, as ranges for a set of `re`."""
+    parts = ("".join(map(chr, span)) for span in (range(0xD800), range(0xE000, 0x10000)))
+    runs = (run.group() for part in parts for run in regex.finditer(f"{kind}+", part))
+    return "".join(f"\\u{ord(run[0]):04x}-\\u{ord(run[-1]):04x}" for run in runs)
+
+
+def _plane_patterns() -> tuple[re.Pattern, re.Pattern]:
+    """PATTERN and two blanks in a row for texts without characters above U+FFFF: `re` with the same sets takes half the time."""
+    letter, number, blank = map(_range_set, (r"\p{L}", r"\p{N}", r"\s"))
+    pieces = PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^{blank}{letter}{number}]").replace(r"\p{L}", f"[{letter}]")
+    pieces = pieces.replace(r"\p{N}", f"[{number}]").replace(r"\S", f"[^{blank}]").replace(r"\s", f"[{blank}]")
+    return re.compile(pieces), re.compile(f"[{blank}][{blank}]")
+
+
+class _State:
+    """The longest end of some bytes that a token begins with: the tokens that may end there, longest first, each with
+    its length and what it is known to follow or not, and the states behind the next byte, as far as met."""
+
+    __slots__ = ("name", "tokens", "after")
+
+    def __init__(self, name: bytes, tokens: list[tuple[bytes, int, dict[bytes, bool]]]) -> None:
+        self.name, self.tokens, self.after = name, tokens, {}
+
+
+class _Known(dict):
+    """What `make` gives for a key, made where it is not there."""
+
+    def __init__(self, make: Callable) -> None:
+        self.make = make
+
+    def __missing__(self, key):
+        return self.make(key)
+
+
 class PrefixCounter:
     """Token counts by a vocabulary file of the `tokenizers` library (byte-level BPE)."""
 
@@ -68,25 +105,37 @@ class PrefixCounter:
         self.vocabulary = {raw(t) for t in given["model"]["vocab"] if all(c in letter for c in t)}
         #: When a pair is merged, and which pair made a token.
         self.turn = {pair: i for i, pair in enumerate(pairs)}
+        #: The same turns by the left part, then by the right one.
+        self._turns: dict[bytes, dict[bytes, int]] = {}
+        for (a, b), i in self.turn.items():
+            self._turns.setdefault(a, {})[b] = i
         self.made: dict[bytes, tuple[bytes, bytes]] = {}
         for a, b in pairs:
             self.made.setdefault(a + b, (a, b))
         self.longest = max(map(len, self.vocabulary))
-        specials = sorted((t["content"] for t in given["added_tokens"]), key=len, reverse=True)
-        self.special = regex.compile("|".join(map(regex.escape, specials))) if specials else None
+        self.specials = sorted((t["content"] for t in given["added_tokens"]), key=len, reverse=True)
+        self.special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
         self.pattern = regex.compile(PATTERN)
-        self._borders: dict[bytes, tuple[list, list]] = {}
-        self._may_follow: dict[tuple[bytes, bytes], bool] = {}
-        self._known: dict[str, tuple[int, bytes | None, bytes]] = {}
+        self._plane, self._plane_run = _plane_patterns()
+        self._borders: dict[bytes, tuple[tuple, tuple]] = {}
+        self._known: dict[str, tuple[int, bytes | None, bytes]] = _Known(self._new_piece)
         #: Tokens that are the encoding of their own bytes.
         self.whole: set[bytes] = {t for t in self.vocabulary if len(t) == 1}
         for a, b in pairs:  # in the order of merges, so halves are known before the whole
             if self.made[a + b] == (a, b) and a in self.whole and b in self.whole and self._joins(a, b):
                 self.whole.add(a + b)
-        #: What such tokens end with, themselves included.
-        self.ends: set[bytes] = {t[i:] for t in self.whole for i in range(len(t))}
-
-    def _edges(self, token: bytes) -> tuple[list, list]:
+        #: What such tokens begin with, themselves included.
+        self.starts: set[bytes] = {t[:i] for t in self.whole for i in range(1, len(t) + 1)}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start anew with what is remembered of pieces."""
+        self._known.clear()
+        self._follows: dict[bytes, dict[bytes, bool]] = {}
+        self._states: dict[bytes, _State] = {}
+        self._first = _State(b"", [])
+
+    def _edges(self, token: bytes) -> tuple[tuple, tuple]:
         """What stands at the left and at the right border of a token while it is put together,
         each with the turn at which it is merged into something larger."""
         found = self._borders.get(token)
@@ -99,7 +148,7 @@ class PrefixCounter:
             while right[-1][0] in self.made:
                 pair = self.made[right[-1][0]]
                 right.append((pair[1], self.turn[pair]))
-            found = self._borders[token] = (left, right)
+            found = self._borders[token] = (tuple(left), tuple(right))
         return found
 
     def _joins(self, first: bytes, second: bytes) -> bool:
@@ -115,60 +164,73 @@ class PrefixCounter:
         A pair across the border is merged if its turn comes before either of its parts is
         merged into its own token; of equal turns the leftmost pair goes first.
         """
-        never = len(self.turn)
-        return not any(
-            self.turn.get((a, b), never) < min(a_turn, b_turn + 1)
-            for a, a_turn in self._edges(first)[1] for b, b_turn in self._edges(second)[0])
+        right = self._edges(second)[0]
+        for a, a_turn in self._edges(first)[1]:
+            turns = self._turns.get(a)
+            if turns is not None:
+                for b, b_turn in right:
+                    turn = turns.get(b)
+                    if turn is not None and turn < a_turn and turn <= b_turn:
+                        return False
+        return True
+
+    def _after(self, state: _State, byte: int) -> _State:
+        """The state one byte further."""
+        name = state.name + bytes((byte,))
+        while name and name not in self.starts:
+            name = name[1:]
+        found = self._states.get(name)
+        if found is None:
+            ends = (name[i:] for i in range(len(name)))
+            found = self._states[name] = _State(name, [(t, len(t), self._follows.setdefault(t, {})) for t in ends if t in self.whole])
+        state.after[byte] = found
+        return found
 
     def prefix_counts(self, piece: bytes) -> tuple[list[int], list[bytes]]:
         """The number of tokens of every prefix of a piece, from the empty one to the whole, and the last of them."""
-        size = len(piece)
-        counts, last = [0] * (size + 1), [b""] * (size + 1)
-        whole, ends, known = self.whole, self.ends, self._may_follow
-        for end in range(1, size + 1):
-            first = end - 1
-            while first and piece[first - 1:end] in ends:
-                first -= 1
-            for start in range(first, end):
-                token = piece[start:end]
-                if token not in whole:
-                    continue
-                if start:
-                    pair = (last[start], token)
-                    good = known.get(pair)
-                    if good is None:
-                        good = known[pair] = self.may_follow(*pair)
-                    if not good:
-                        continue
-                last[end], counts[end] = token, counts[start] + 1
-                break
+        counts, last, state = [0], [b""], self._first
+        for end, byte in enumerate(piece, 1):
+            state = state.after.get(byte) or self._after(state, byte)
+            for token, size, follows in state.tokens:
+                start = end - size
+                if not start:
+                    break
+                before = last[start]
+                good = follows.get(before)
+                if good is None:
+                    good = follows[before] = self.may_follow(before, token)
+                if good:
+                    break
+            counts.append(counts[start] + 1)
+            last.append(token)
         return counts, last
 
     def piece(self, piece: str) -> tuple[int, bytes | None, bytes]:
         """The number of tokens of a piece, the steps between the counts of its prefixes of characters,
         one byte each (None if one does not fit), and the bytes of its tokens, 16 bits each."""
-        found = self._known.get(piece)
-        if found is None:
-            if len(self._known) >= PIECES:
-                self._known.clear()
-                self._may_follow.clear()
-            data = piece.encode()
-            counts, last = self.prefix_counts(data)
-            sizes, end = [], len(data)
-            while end:
-                sizes.append(len(last[end]))
-                end -= sizes[-1]
-            if len(data) != len(piece):
-                ends = accumulate((len(c.encode()) for c in piece), initial=0)
-                counts = [counts[e] for e in ends]
-            if piece[0] == "'" and len(piece) > 2 and self.pattern.fullmatch(piece[:2]) is None:
-                # The front of a contraction is no piece of its own.
-                counts[2] = sum(self.piece(p)[0] for p in self.pattern.findall(piece[:2]))
-            try:
-                steps = array("b", map(sub, counts[1:], counts)).tobytes()
-            except OverflowError:
-                steps = None
-            found = self._known[piece] = len(sizes), steps, array("H", sizes[::-1]).tobytes()
+        return self._known[piece]
+
+    def _new_piece(self, piece: str) -> tuple[int, bytes | None, bytes]:
+        if len(self._known) >= PIECES:
+            self._forget()
+        data = piece.encode()
+        counts, last = self.prefix_counts(data)
+        sizes, end = [], len(data)
+        while end:
+            sizes.append(len(last[end]))
+            end -= sizes[-1]
+        if len(data) != len(piece):
+            ends = accumulate((len(c.encode()) for c in piece), initial=0)
+            counts = [counts[e] for e in ends]
+        if piece[0] == "'" and len(piece) > 2 and self.pattern.fullmatch(piece[:2]) is None:
+            # The front of a contraction is no piece of its own.
+            counts[2] = sum(self.piece(p)[0] for p in self.pattern.findall(piece[:2]))
+        try:
+            steps = array("b", map(sub, counts[1:], counts)).tobytes()
+        except OverflowError:
+            steps = None
+        sizes.reverse()
+        found = self._known[piece] = len(sizes), steps, array("H", sizes).tobytes()
         return found
 
     def pieces(self, text: str) -> Iterator[tuple[str, bool]]:
@@ -190,8 +252,8 @@ class PrefixCounter:
 
     def _fast(self, pieces: list[str], runs: bool) -> tuple[int, bytes, bytes] | None:
         """What `table` tells, put together from pieces; None if a step does not fit one byte."""
-        known, piece = self._known, self.piece
-        found = [known.get(p) or piece(p) for p in pieces]
+        piece = self.piece
+        found = list(map(self._known.__getitem__, pieces))
         sizes = b"".join([f[2] for f in found])
         try:
             steps = b"".join([f[1] for f in found])
@@ -214,8 +276,10 @@ class PrefixCounter:
 
     def table(self, text: str) -> tuple[int, bytes, bytes]:
         """The number of tokens, the steps of the counts of all prefixes, and the bytes of all tokens."""
-        if not (self.special and self.special.search(text)):
-            found = self._fast(self.pattern.findall(text), _RUN.search(text) is not None)
+        if not any(special in text for special in self.specials):
+            in_plane = text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text)
+            cut, run = (self._plane, self._plane_run) if in_plane else (self.pattern, _RUN)
+            found = self._fast(cut.findall(text), run.search(text) is not None)
             if found is not None:
                 return found
         # Counts of prefixes that end where the whole text's pieces do not apply are told one by one.
