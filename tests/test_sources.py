@@ -447,3 +447,15 @@ def test_sample_files_are_made_once_and_alike_by_tasks_and_by_spark(spark):
     assert found(samples.write_files(files)) == want and made.value == len(rows)
     samples._write_by_spark(files, folder := shared_folder(spark, "files"))
     assert found(folder) == want and made.value == 2 * len(rows)
+
+
+def test_sample_tars_with_links_are_packed_in_the_smallest_blocks():
+    """Members that repeat within a block take longest to sort; the members themselves are told here again."""
+    lines = [f"line {k}" for k in range(1000)]
+    name, content = samples._sample_file("links", 7, lines)
+    assert name == "access.log.7.tar.bz2" and content[:4] == b"BZh1"
+    even, odd = ("\n".join(lines[k::2]).encode() for k in (0, 1))
+    with tarfile.open(fileobj=io.BytesIO(content), mode="r:bz2") as tar:
+        found = [(i.name, i.linkname if i.issym() else tar.extractfile(i).read()) for i in tar]
+    assert found == [("access.log", even), ("access.log.current", "access.log"), ("access.log.gone", "nothing"),
+                     ("../access.log", odd), ("access.log.1", odd), ("./access.log.1", even)]
