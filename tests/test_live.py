@@ -130,3 +130,63 @@ def test_missing_requests_equal_the_anti_join(spark, tmp_path):
              for lines, fmt in ((proxy, NGINX), (repository, NEXUS))]
     want = sorted(r.raw_log for r in correlate.requests_missing_in_repository(*batch, seconds=3).collect())
     assert sorted(r.raw_log for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want and want
+
+
+def _missing(spark, folders, tmp_path, files_per_batch):
+    rows = [p.accepted(live.parsed_stream(spark, str(f), fmt, ["access.log*"], files_per_batch)).drop("file_source", "file_path")
+            for f, fmt in zip(folders, (NGINX, NEXUS))]
+    query = live.append_to(live.missing_stream(*rows, seconds=3, delay=2000), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    query.awaitTermination()
+    return query
+
+
+def _never_arrived(spark, tmp_path):
+    """Both folders with logs, and the lines the anti join finds."""
+    folders = tmp_path / "nginx", tmp_path / "nexus"
+    logs = ([_nginx(s % 3, s, f"/{s % 5}") for s in range(0, 700, 4)] * 2, [_nexus(s % 3, s + 3, f"/{s % 5}") for s in range(0, 700, 8)] * 3)
+    for folder, lines in zip(folders, logs):
+        folder.mkdir()
+        for n in range(3):
+            _put(folder, f"access.log.{n}", *lines[n::3])
+    batch = [p.accepted(p.parse(spark.createDataFrame([(x,) for x in lines], "value string"), fmt))
+             for lines, fmt in zip(logs, (NGINX, NEXUS))]
+    return folders, sorted(r.raw_log for r in correlate.requests_missing_in_repository(*batch, seconds=3).collect())
+
+
+def _close(folders):
+    for folder, line in zip(folders, (_nginx(99, 10**6), _nexus(99, 10**6))):
+        _put(folder, "access.log.9", line)
+
+
+def test_requests_wait_in_files_not_in_executors_memory(spark, tmp_path):
+    folders, want = _never_arrived(spark, tmp_path)
+    queries = [_missing(spark, folders, tmp_path, 1)]
+    assert not spark.read.parquet(str(tmp_path / "out")).count()
+    _close(folders)
+    queries.append(_missing(spark, folders, tmp_path, 1))
+    assert sorted(r.raw_log for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want and want
+    held = [op.numRowsTotal for query in queries for progress in query.recentProgress for op in progress.stateOperators]
+    assert sum(held) == 0
+    assert spark.read.parquet(str(tmp_path / "checkpoint" / "missing" / "step=*" / "*")).count() == 2  # the last line of each log is open
+
+
+@pytest.mark.parametrize("where", ["write_small", "rename", "remove_folder"])
+def test_missing_requests_are_given_out_once_whatever_breaks_off(spark, tmp_path, monkeypatch, where):
+    folders, want = _never_arrived(spark, tmp_path)
+    _missing(spark, folders, tmp_path, 1000)
+    _close(folders)
+    real, calls = getattr(live, where), []
+
+    def breaks(spark, path, *rest):  # at the second run's end, when what is final is written aside
+        if "_step-3" in path or path.endswith("/3.json"):
+            calls.append(path)
+            raise RuntimeError("broke off")
+        return real(spark, path, *rest)
+
+    monkeypatch.setattr(live, where, breaks)
+    with pytest.raises(Exception, match="broke off"):
+        _missing(spark, folders, tmp_path, 1000)
+    monkeypatch.setattr(live, where, real)
+    assert calls
+    _missing(spark, folders, tmp_path, 1000)
+    assert sorted(r.raw_log for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want

@@ -8,6 +8,7 @@ bucket is part of the shuffle key, so no task receives the whole history of one
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -97,7 +98,7 @@ def correlated_requests(
     )
 
 
-def _reach(nexus: DataFrame, seconds: int, normalise: bool) -> DataFrame:
+def _reach(nexus: DataFrame, seconds: int, normalise: bool, keys: Sequence[str]) -> DataFrame:
     """One row per key and time bucket saying which seconds of the bucket the log covers.
 
     With buckets `max(seconds, 1)` long, any request of the same bucket is near enough; of the
@@ -105,10 +106,10 @@ def _reach(nexus: DataFrame, seconds: int, normalise: bool) -> DataFrame:
     """
     width = max(seconds, 1)
     spread = nexus.select(
-        *KEYS, _epoch(nexus, normalise).alias("second"),
+        *keys, _epoch(nexus, normalise).alias("second"),
         F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("shift"),
     )
-    return spread.groupBy(*KEYS, (F.floor(F.col("second") / width) + F.col("shift")).alias("bucket")).agg(
+    return spread.groupBy(*keys, (F.floor(F.col("second") / width) + F.col("shift")).alias("bucket")).agg(
         F.bool_or(F.col("shift") == 0).alias("same"),
         F.max(F.when(F.col("shift") == 1, F.col("second"))).alias("latest_before"),
         F.min(F.when(F.col("shift") == -1, F.col("second"))).alias("earliest_after"),
@@ -116,13 +117,13 @@ def _reach(nexus: DataFrame, seconds: int, normalise: bool) -> DataFrame:
 
 
 def _match(
-    nginx: DataFrame, nexus: DataFrame, seconds: int, normalise: bool, how: str
+    nginx: DataFrame, nexus: DataFrame, seconds: int, normalise: bool, how: str, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     width = max(_check(seconds), 1)
-    reach = _reach(nexus, seconds, normalise).alias("r")
+    reach = _reach(nexus, seconds, normalise, keys).alias("r")
     second = _epoch(nginx, normalise)
     proxy = nginx.select("*", second.alias("_second"), F.floor(second / width).alias("_bucket")).alias("p")
-    same_key = [F.col(f"p.{k}") == F.col(f"r.{k}") for k in KEYS]
+    same_key = [F.col(f"p.{k}") == F.col(f"r.{k}") for k in keys]
     near = (
         F.col("r.same")
         | (F.col("p._second") - F.col("r.latest_before") <= seconds)
@@ -144,7 +145,7 @@ def requests_reaching_repository(
 
 
 def requests_missing_in_repository(
-    nginx: DataFrame, nexus: DataFrame, seconds: int = 5, normalise: bool = False
+    nginx: DataFrame, nexus: DataFrame, seconds: int = 5, normalise: bool = False, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """Proxy requests that never reached the repository."""
-    return _match(nginx, nexus, seconds, normalise, "left_anti")
+    return _match(nginx, nexus, seconds, normalise, "left_anti", keys)

@@ -93,6 +93,12 @@ def read_small(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    jvm_path, system = file_system(spark, path)
+    if not system.rename(jvm_path, file_system(spark, to)[0]):
+        raise OSError(f"could not rename {path} to {to}")
+
+
 def write_small(spark: SparkSession, path: str, text: str) -> None:
     """A small file that is there as a whole or not at all: written aside, then renamed."""
     jvm_path, system = file_system(spark, path)
